@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+# Rows of one key that a single aggregate buffer may hold.
+GATHER_LIMIT = 2_000_000
 
 
 def time_bucket(ts_us: str, seconds: int) -> Column:
@@ -102,9 +104,35 @@ def with_halo(df: DataFrame, rn: str, chunk_rows: int, before: int, after: int)
 
 
 def exact_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: dict[str, float],
+    counted: DataFrame | None = None,
+    gather_limit: int = GATHER_LIMIT,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """Linear-interpolated percentiles per key, whatever the size of a key.
+
+    The largest key is counted first (on `counted`, a cheaper table with at least
+    as many rows per key, where given). Up to `gather_limit` rows Spark's own exact
+    aggregate is used; beyond it the values are located in ranks without gathering
+    a key in one task. Both give the same numbers.
+    """
+    if largest_group(df if counted is None else counted, keys) <= gather_limit:
+        return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(name) for name, p in probabilities.items()])
+    return ranked_percentiles(df, keys, value, probabilities, accuracy)
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
+def ranked_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
-    """Linear-interpolated percentiles per key without gathering a key in one task.
+    """Percentiles by distributed rank selection.
 
     A bounded sketch proposes cuts around each rank; rows are counted per region
     exactly; only the regions that hold a wanted rank are sorted. The cuts steer
@@ -112,7 +140,7 @@ def exact_percentiles(
     """
     if not keys:
         whole = df.select(F.lit(0).alias("_all"), value)
-        return exact_percentiles(whole, ["_all"], value, probabilities, accuracy).drop("_all")
+        return ranked_percentiles(whole, ["_all"], value, probabilities, accuracy).drop("_all")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 4.0 / accuracy
     ps = list(probabilities.values())

@@ -231,7 +231,7 @@ def cadence(df: DataFrame, keys: list[str], bucket_seconds: int = 86_400) -> Dat
     stepped = with_previous(df.select(*keys, "ts_us"), keys, ["ts_us"], ["ts_us"], time_bucket("ts_us", bucket_seconds))
     steps = stepped.withColumn("step_sec", (F.col("ts_us") - F.col("prev")["ts_us"]) / F.lit(1_000_000.0))
     positive = steps.where(F.col("step_sec") > 0)
-    median = exact_percentiles(positive, keys, "step_sec", {"median_sec": 0.5})
+    median = exact_percentiles(positive, keys, "step_sec", {"median_sec": 0.5}, counted=df)
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
     largest = positive.groupBy(*keys).agg(F.max("step_sec").alias("max_sec"))
     joined = size.join(largest, keys, "left").join(median, keys, "left")

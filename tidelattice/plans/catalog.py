@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, quality
+from . import Query, hygiene, quality
 
-MODULES = (quality,)
+MODULES = (quality, hygiene)
 
 
 def all_queries() -> dict[str, Query]:
