@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, hygiene, quality
+from . import Query, context, hygiene, quality
 
-MODULES = (quality, hygiene)
+MODULES = (quality, hygiene, context)
 
 
 def all_queries() -> dict[str, Query]:
