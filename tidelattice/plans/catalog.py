@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, context, hygiene, quality
+from . import Query, context, detect, hygiene, quality
 
-MODULES = (quality, hygiene, context)
+MODULES = (quality, hygiene, context, detect)
 
 
 def all_queries() -> dict[str, Query]:
