@@ -50,6 +50,18 @@ def with_previous(
     )
 
 
+def with_next(
+    df: DataFrame, keys: Sequence[str], payload: Sequence[str], bucket_seconds: int, ts_us: str = "ts_us", tie: str | None = None
+) -> DataFrame:
+    """Add struct `next` of `payload` from the row after in (keys, time)."""
+    order = ["_back", *(["_back_tie"] if tie else [])]
+    turned = df.withColumn("_back", -F.col(ts_us))
+    if tie:
+        turned = turned.withColumn("_back_tie", -F.col(tie))
+    out = with_previous(turned, keys, order, payload, time_bucket("_back", bucket_seconds))
+    return out.withColumnRenamed("prev", "next").drop("_back", "_back_tie")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, into: str = "rn", total: str | None = None
 ) -> DataFrame:
@@ -130,10 +142,12 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def ranked_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000, zero_based: bool = False
 ) -> DataFrame:
     """Percentiles by distributed rank selection.
 
+    With `zero_based` the value at rank int(n * p) is taken, without interpolation.
+
     A bounded sketch proposes cuts around each rank; rows are counted per region
     exactly; only the regions that hold a wanted rank are sorted. The cuts steer
     the cost, never the answer.
@@ -156,6 +170,8 @@ def ranked_percentiles(
     sizes = sizes.withColumn("_below", F.sum("_m").over(by_key) - F.col("_m"))
 
     def rank(p: float, up: bool) -> Column:
+        if zero_based:
+            return F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1).cast("long")
         place = (F.col("_n") - 1) * F.lit(p)
         return (F.ceil(place) if up else F.floor(place)).cast("long")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, context, detect, hygiene, quality
+from . import Query, context, detect, evaluation, hygiene, quality
 
-MODULES = (quality, hygiene, context, detect)
+MODULES = (quality, hygiene, context, detect, evaluation)
 
 
 def all_queries() -> dict[str, Query]:
