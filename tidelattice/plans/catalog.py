@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, context, detect, evaluation, hygiene, quality
+from . import Query, context, detect, evaluation, hygiene, inversion, lineage, quality
 
-MODULES = (quality, hygiene, context, detect, evaluation)
+MODULES = (quality, hygiene, context, detect, evaluation, lineage, inversion)
 
 
 def all_queries() -> dict[str, Query]:
