@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, context, detect, evaluation, hygiene, inversion, lineage, quality
+from . import Query, context, detect, evaluation, hygiene, inversion, lineage, quality, text
 
-MODULES = (quality, hygiene, context, detect, evaluation, lineage, inversion)
+MODULES = (quality, hygiene, context, detect, evaluation, lineage, inversion, text)
 
 
 def all_queries() -> dict[str, Query]:
