@@ -34,7 +34,7 @@ PROPER_NOUNS = (
 DISCLAIMER = "Non-authoritative situational awareness. Not an official NOAA tsunami message."
 # Joiners that build one word, letters that look alike, shapes read as another letter,
 # and characters that show nothing.
-JOINERS = "-_/.:~|‐‑‒–—―‗⁃−⸗⸺⸻∕⁄⧸꞉ː։׃⸮・··•⸱¦"
+JOINERS = "-_/.:~|\u2010\u2011\u2012\u2013\u2014\u2015\u2017\u2043\u2212\u2e17\u2e3a\u2e3b\u2215\u2044\u29f8\ua789\u02d0\u0589\u05c3\u2e2e\u30fb\u00b7\u00b7\u2022\u2e31\u00a6"
 LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "м": "m", "н": "n", "і": "i", "ѕ": "s",
@@ -43,7 +43,7 @@ LOOKALIKES = {
     "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o",
 }
 SHAPES = {"I": "l", "1": "l", "|": "l", "0": "o"}
-INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏   ⠀ㅤﾠ￼"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u2028\u2029\u202f\u2800\u3164\uffa0\ufffc"
 CONTEXT_CHARS = 30
 
 
@@ -60,7 +60,7 @@ def _letters_by_name() -> dict[str, str]:
 
 _FOLD = str.maketrans(_letters_by_name() | LOOKALIKES)
 _SHAPE = str.maketrans(SHAPES)
-_SELECTORS = re.compile("[︀-️\U000e0100-\U000e01ef" + INVISIBLE + "]")
+_SELECTORS = re.compile("[\ufe00-\ufe0f\U000e0100-\U000e01ef" + INVISIBLE + "]")
 
 
 def _plural(word: str) -> str:
