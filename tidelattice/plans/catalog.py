@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import Query, context, detect, evaluation, hygiene, ingest, inversion, lineage, quality, text
+from . import Query, context, detect, evaluation, hygiene, ingest, inversion, lineage, quality, streams, text
 
-MODULES = (ingest, quality, hygiene, context, detect, evaluation, lineage, inversion, text)
+MODULES = (ingest, quality, hygiene, context, detect, evaluation, lineage, inversion, text, streams)
 
 
 def all_queries() -> dict[str, Query]:

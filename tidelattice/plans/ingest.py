@@ -62,18 +62,18 @@ def dart_line_counts(spark, sf_dir):
     return feeds.reason_counts(feeds.parse_dart_lines(lines(spark, sf_dir)), ["station_id"])
 
 
-COOPS = """rows_ AS (SELECT user_id, epoch_us(ts) // 86400000000 AS day, event_id, CASE WHEN event_id % 9 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS t, ts,
+COOPS = """rows_ AS (SELECT user_id, event_id // 100 AS pack, event_id, CASE WHEN event_id % 9 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS t, ts,
   CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'nan' ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || 'e-2' END AS v FROM events)"""
 
 
 def gauge_payloads(spark, sf_dir):
-    """One JSON payload per user and day; some are error payloads."""
+    """Small JSON payloads per station, at most 100 rows each; some are error payloads."""
     k = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
     cents = F.round(F.col("value") * 100).cast("long").cast("string")
     rows = table(spark, sf_dir, "events").select(
         (9_410_000 + F.col("user_id")).cast("string").alias("station_id"),
-        F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 86400000000").alias("day"),
+        F.floor(k / 100).cast("long").alias("pack"),
         F.struct(
             F.when(k % 9 == 0, "soon").otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm")).alias("t"),
             F.when(k % 7 == 0, "").when(k % 7 == 1, "nan").otherwise(F.concat(cents, F.lit("e-2"))).alias("v"),
@@ -81,17 +81,17 @@ def gauge_payloads(spark, sf_dir):
             F.lit("v").alias("q"),
         ).alias("row"),
     )
-    grouped = rows.groupBy("station_id", "day").agg(F.collect_list("row").alias("data"))
+    grouped = rows.groupBy("station_id", "pack").agg(F.collect_list("row").alias("data"))
     good = F.to_json(F.struct(F.struct(F.lit("gauge").alias("name")).alias("metadata"), "data"))
     bad = F.lit('{"error": {"message": "No data was found"}}')
-    return grouped.select("station_id", F.lit("water_level").alias("product"), F.when(F.col("day") % 5 == 0, bad).otherwise(good).alias("value"))
+    return grouped.select("station_id", F.lit("water_level").alias("product"), F.when(F.col("pack") % 5 == 0, bad).otherwise(good).alias("value"))
 
 
 @C.add(
     "read_coops",
     with_cte(COOPS, body="""SELECT 'coops:' || CAST(9410000 + user_id AS VARCHAR) || ':water_level:' || strftime(ts, '%Y%m%d%H%M') AS source_id,
   epoch_us(date_trunc('minute', ts)) AS ts_us, CASE WHEN event_id % 7 > 1 THEN CAST(v AS DOUBLE) END AS water_level_m, '0,0,0,0' AS flags, 'v' AS quality
-FROM rows_ WHERE event_id % 9 <> 0 AND day % 5 <> 0"""),
+FROM rows_ WHERE event_id % 9 <> 0 AND pack % 5 <> 0"""),
 )
 def read_coops(spark, sf_dir):
     out = feeds.parse_coops_payloads(gauge_payloads(spark, sf_dir))
@@ -99,7 +99,7 @@ def read_coops(spark, sf_dir):
 
 
 def quake_payloads(spark, sf_dir):
-    """One GeoJSON collection per customer."""
+    """GeoJSON collections of at most 50 earthquakes."""
     k = F.col("o_orderkey")
     at = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("long")
     feature = F.struct(
@@ -118,7 +118,7 @@ def quake_payloads(spark, sf_dir):
             ).alias("coordinates")
         ).alias("geometry"),
     )
-    grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(feature).alias("features"))
+    grouped = table(spark, sf_dir, "orders").groupBy(F.floor(k / 50).alias("pack")).agg(F.collect_list(feature).alias("features"))
     return grouped.select(F.to_json(F.struct("features")).alias("value"))
 
 
