@@ -143,7 +143,7 @@ def stream_revisions(spark, sf_dir):
         F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("seq"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ts_us"), F.col("o_orderpriority").alias("version"),
     )
-    return jobs.run_to_table(jobs.revisions(rows), "revisions")
+    return jobs.run_to_table(jobs.revisions(rows, live=False), "revisions")
 
 
 @C.add(

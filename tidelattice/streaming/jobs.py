@@ -36,8 +36,9 @@ def high_water(rows: DataFrame) -> DataFrame:
     return keyed(rows, ["source_type", "station_id"], P.HighWater(), P.HIGH_WATER_OUT)
 
 
-def revisions(rows: DataFrame) -> DataFrame:
-    return keyed(rows, ["event_id"], P.Revisions(), P.REVISION_OUT, "ProcessingTime")
+def revisions(rows: DataFrame, live: bool = True) -> DataFrame:
+    """Changed versions; `live` adds the wall-clock expiry, which never lets a query end by itself."""
+    return keyed(rows, ["event_id"], P.Revisions(live), P.REVISION_OUT, "ProcessingTime" if live else "None")
 
 
 def rolling_windows(rows: DataFrame) -> DataFrame:

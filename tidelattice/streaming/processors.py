@@ -55,11 +55,19 @@ REVISION_OUT = _schema(event_id=T.LongType(), seq=T.LongType(), version=T.String
 
 
 class Revisions(StatefulProcessor):
-    """An earthquake passes when its version changes; forgotten after thirty days without a message."""
+    """An earthquake passes when its version changes; forgotten after thirty days without a message.
+
+    With `expire` the store also drops silent earthquakes by wall clock. That keeps
+    a query alive without input, so a replay of closed input leaves it off.
+    """
+
+    def __init__(self, expire: bool) -> None:
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = _schema(version=T.StringType(), seen_us=T.LongType())
-        self.known = handle.getValueState("known", schema, REVISION_DAYS * DAY_US // 1000)
+        ttl = REVISION_DAYS * DAY_US // 1000 if self.expire else None
+        self.known = handle.getValueState("known", schema, ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         version, seen = self.known.get() if self.known.exists() else (None, None)
@@ -90,17 +98,20 @@ class RollingWindow(StatefulProcessor):
         self.samples = handle.getMapState("samples", _schema(ts_us=T.LongType()), _schema(value_m=T.DoubleType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.samples.iterator()}
+        stored = {k[0]: v[0] for k, v in self.samples.iterator()}
+        held = dict(stored)
         for row in _in_order(rows, ["seq"]).itertuples(index=False):
-            if row.ts_us not in held:
-                held[int(row.ts_us)] = float(row.value_m)
-                self.samples.updateValue((int(row.ts_us),), (float(row.value_m),))
+            held.setdefault(int(row.ts_us), float(row.value_m))
         if not held:
             return
         newest = max(held)
         kept = sorted(t for t in held if t >= newest - WINDOW_HOURS * 3_600_000_000)[-WINDOW_CAP:]
-        for t in held.keys() - set(kept):
+        # Only the difference to what is stored crosses to the state store.
+        for t in stored.keys() - set(kept):
             self.samples.removeKey((t,))
+        for t in kept:
+            if t not in stored:
+                self.samples.updateValue((t,), (held[t],))
         yield pd.DataFrame([(*key, len(kept), kept[0], newest)], columns=ROLLING_OUT.names)
 
     def close(self) -> None:
