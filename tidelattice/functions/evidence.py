@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,16 +112,16 @@ def graded(x: Column, concern: float, fail: float) -> Column:
     return F.when(x > fail, "FAIL").when(x > concern, "CONCERN").otherwise("PASS")
 
 
-def check(name: str, missing: Column, result: Column) -> Column:
-    """One check of an assessment: its result, or not evaluated for want of input."""
-    return F.struct(
-        F.lit(name).alias("check"),
-        F.when(missing, "NOT_EVALUATED").otherwise(result).alias("result"),
-        F.when(missing, "MISSING").otherwise("AVAILABLE").alias("prerequisite"),
-    )
+@dataclass(frozen=True)
+class Check:
+    """One check of an assessment: when its input is missing, and its result otherwise."""
+
+    name: str
+    missing: Column
+    result: Column
 
 
-def holdout_check(arrival_error_min: Column, observed_peak: Column, predicted_peak: Column) -> Column:
+def holdout_check(arrival_error_min: Column, observed_peak: Column, predicted_peak: Column) -> Check:
     tiny = observed_peak < AMPLITUDE_FLOOR
     error = (
         F.when(tiny & (predicted_peak < AMPLITUDE_FLOOR), 0.0)
@@ -129,57 +131,57 @@ def holdout_check(arrival_error_min: Column, observed_peak: Column, predicted_pe
     late = F.coalesce(arrival_error_min, F.lit(0.0))
     fail = (late > ARRIVAL_FAIL_MIN) | (error > AMPLITUDE_FAIL)
     concern = (late > ARRIVAL_CONCERN_MIN) | (error > AMPLITUDE_CONCERN)
-    return check(
+    return Check(
         "holdout_station_validation",
         observed_peak.isNull() | predicted_peak.isNull(),
         F.when(fail, "FAIL").when(concern, "CONCERN").otherwise("PASS"),
     )
 
 
-def coverage_check(n_stations: Column, spread_deg: Column) -> Column:
+def coverage_check(n_stations: Column, spread_deg: Column) -> Check:
     few = n_stations < MIN_STATIONS
-    return check(
+    return Check(
         "data_coverage",
         ~few & spread_deg.isNull(),
         F.when(few, "FAIL").when(spread_deg < SPREAD_CONCERN_DEG, "CONCERN").otherwise("PASS"),
     )
 
 
-def consistency_check(mw_fit: Column, mw_seismic: Column) -> Column:
+def consistency_check(mw_fit: Column, mw_seismic: Column) -> Check:
     delta = F.abs(mw_fit - mw_seismic)
-    return check("physical_consistency", delta.isNull(), graded(delta, MW_CONCERN, MW_FAIL))
+    return Check("physical_consistency", delta.isNull(), graded(delta, MW_CONCERN, MW_FAIL))
 
 
-def fit_check(rmse_cm: Column, biased: Column) -> Column:
-    return check(
+def fit_check(rmse_cm: Column, biased: Column) -> Check:
+    return Check(
         "model_fit_quality",
         rmse_cm.isNull(),
         F.when(F.coalesce(biased, F.lit(False)), "FAIL").otherwise(graded(rmse_cm, RMSE_CONCERN_CM, RMSE_FAIL_CM)),
     )
 
 
-def tidal_check(n_proxies: Column, n_uncorrected: Column, needed: Column) -> Column:
-    return check(
+def tidal_check(n_proxies: Column, n_uncorrected: Column, needed: Column) -> Check:
+    return Check(
         "tidal_state_review",
         n_proxies == 0,
         F.when(n_uncorrected == 0, "PASS").when(needed, "FAIL").otherwise("CONCERN"),
     )
 
 
-def weather_check(score: Column) -> Column:
-    return check("meteotsunami_discriminator", score.isNull(), graded(score, METEO_CONCERN, METEO_FAIL))
+def weather_check(score: Column) -> Check:
+    return Check("meteotsunami_discriminator", score.isNull(), graded(score, METEO_CONCERN, METEO_FAIL))
 
 
-def surface_wave_check(suspect: Column) -> Column:
-    return check("rayleigh_wave_suspect", suspect.isNull(), F.when(suspect, "CONCERN").otherwise("PASS"))
+def surface_wave_check(suspect: Column) -> Check:
+    return Check("rayleigh_wave_suspect", suspect.isNull(), F.when(suspect, "CONCERN").otherwise("PASS"))
 
 
-def stability_check(changed: Column) -> Column:
-    return check("posterior_stability", changed.isNull(), F.when(changed, "CONCERN").otherwise("PASS"))
+def stability_check(changed: Column) -> Check:
+    return Check("posterior_stability", changed.isNull(), F.when(changed, "CONCERN").otherwise("PASS"))
 
 
-def sensitivity_check(result: Column) -> Column:
-    return check("sensitivity_analysis", result.isNull(), result)
+def sensitivity_check(result: Column) -> Check:
+    return Check("sensitivity_analysis", result.isNull(), result)
 
 
 # Checks a stage requires, and those that do not apply to it; all others are optional.
@@ -193,15 +195,21 @@ NOT_APPLICABLE = {
 }
 
 
-def applicability(stage: Column, name: Column) -> Column:
-    required = [(stage == s) & name.isin(*checks) for s, checks in REQUIRED.items()]
-    out_of_scope = [(stage == s) & name.isin(*checks) for s, checks in NOT_APPLICABLE.items()]
-    need, skip = F.lit(False), F.lit(False)
-    for c in required:
-        need = need | c
-    for c in out_of_scope:
-        skip = skip | c
-    return F.when(skip, "NOT_APPLICABLE").when(need, "REQUIRED").otherwise("OPTIONAL")
+def applicability(stage: Column, name: str) -> Column:
+    needed = [s for s, names in REQUIRED.items() if name in names]
+    skipped = [s for s, names in NOT_APPLICABLE.items() if name in names]
+    return F.when(stage.isin(skipped), "NOT_APPLICABLE").when(stage.isin(needed), "REQUIRED").otherwise("OPTIONAL")
+
+
+def scoped_check(stage: Column, c: Check) -> Column:
+    """The check as a struct at the row's stage."""
+    skipped = stage.isin([s for s, names in NOT_APPLICABLE.items() if c.name in names])
+    return F.struct(
+        F.lit(c.name).alias("check"),
+        applicability(stage, c.name).alias("applicability"),
+        F.when(skipped, "NOT_APPLICABLE").when(c.missing, "NOT_EVALUATED").otherwise(c.result).alias("result"),
+        F.when(skipped, "NOT_REQUIRED").when(c.missing, "MISSING").otherwise("AVAILABLE").alias("prerequisite"),
+    )
 
 
 # Confidence weights, outcome and spread scores, and report levels.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,7 +61,15 @@ def _letters_by_name() -> dict[str, str]:
 
 _FOLD = str.maketrans(_letters_by_name() | LOOKALIKES)
 _SHAPE = str.maketrans(SHAPES)
-_SELECTORS = re.compile("[\ufe00-\ufe0f\U000e0100-\U000e01ef" + INVISIBLE + "]")
+
+
+def _class_of(test) -> str:
+    """Character class of all code points that pass the test."""
+    return "".join(re.escape(chr(c)) for c in range(0x80, 0x110000) if test(chr(c)))
+
+
+_UNSEEN = re.compile("[\ufe00-\ufe0f\U000e0100-\U000e01ef" + INVISIBLE + _class_of(lambda c: unicodedata.category(c) == "Cf") + "]")
+_MARKS = re.compile("[" + _class_of(unicodedata.combining) + "]")
 
 
 def _plural(word: str) -> str:
@@ -77,22 +86,23 @@ def _phrase(term: str, separator: str) -> str:
 _SEPARATOR = r"(?:\s+|[" + re.escape(JOINERS) + r"]+)?"
 
 
-def _patterns(terms: tuple[str, ...]) -> list[tuple[str, re.Pattern[str]]]:
-    return [(t, re.compile(rf"\b{_phrase(t, _SEPARATOR)}\b", re.IGNORECASE)) for t in terms]
+def _any_of(terms: Iterable[str]) -> re.Pattern[str]:
+    """One pattern with a group per term, so a text is read once for all of them."""
+    return re.compile(r"\b(?:" + "|".join(f"({_phrase(t, _SEPARATOR)})" for t in terms) + r")\b", re.IGNORECASE)
 
 
-_PLAIN = _patterns(RESERVED_TERMS)
-_SHAPED = [(t, p) for t, (_, p) in zip(RESERVED_TERMS, _patterns(tuple(t.translate(_SHAPE) for t in RESERVED_TERMS)))]
-_NOUNS = _patterns(PROPER_NOUNS)
+_PLAIN = _any_of(RESERVED_TERMS)
+_SHAPED = _any_of(t.translate(_SHAPE) for t in RESERVED_TERMS)
+_NOUNS = _any_of(PROPER_NOUNS[::-1])
 
 
 def strip_invisible(text: str) -> str:
-    return "".join(c for c in _SELECTORS.sub("", text) if c.isascii() or unicodedata.category(c) != "Cf")
+    return text if text.isascii() else _UNSEEN.sub("", text)
 
 
 def _bare(text: str) -> str:
     spread = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
-    return "".join(c for c in spread if not unicodedata.combining(c)).translate(_FOLD)
+    return _MARKS.sub("", spread).translate(_FOLD)
 
 
 def fold(text: str) -> tuple[str, str]:
@@ -110,19 +120,15 @@ def find_terms(text: str) -> tuple[list[tuple[str, int, str]], bool]:
     settled: set[str] = set()
     for view in (first,) if second == first else (first, second):
         shaped = view.translate(_SHAPE)
-        excused = {i for _, p in _NOUNS for v in (view, shaped) for m in p.finditer(v) for i in range(*m.span())}
-        seen: set[str] = set()
-        for patterns, text_view in ((_PLAIN, view), (_SHAPED, shaped)):
-            for term, pattern in patterns:
-                # The second view only adds terms the first one neither reported nor excused.
-                if term in settled:
-                    continue
-                for m in pattern.finditer(text_view):
-                    seen.add(term)
-                    if excused.isdisjoint(range(*m.span())):
-                        context = view[max(0, m.start() - CONTEXT_CHARS) : m.end() + CONTEXT_CHARS]
-                        hits.setdefault((term, m.start()), context)
-        settled |= seen
+        matches = [(RESERVED_TERMS[m.lastindex - 1], m.span()) for p, v in ((_PLAIN, view), (_SHAPED, shaped)) for m in p.finditer(v)]
+        if not matches:
+            continue
+        excused = {i for v in (view, shaped) for m in _NOUNS.finditer(v) for i in range(*m.span())}
+        for term, (start, end) in matches:
+            # The second view only adds terms the first one neither reported nor excused.
+            if term not in settled and excused.isdisjoint(range(start, end)):
+                hits.setdefault((term, start), view[max(0, start - CONTEXT_CHARS) : end + CONTEXT_CHARS])
+        settled |= {term for term, _ in matches}
     found = sorted((position, term, context) for (term, position), context in hits.items())
     return [(term, position, context) for position, term, context in found], DISCLAIMER in first
 

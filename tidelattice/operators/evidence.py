@@ -39,47 +39,53 @@ def source_rollup(entries: DataFrame, by: Sequence[str] = ("source_type",)) -> D
     )
 
 
-def explode_checks(assessments: DataFrame, checks: Sequence) -> DataFrame:
-    """One row per (assessment, check) with its applicability at the assessment's stage."""
-    long = assessments.select("assessment_id", "stage", F.explode(F.array(*checks)).alias("c"))
-    named = long.select("assessment_id", "stage", "c.check", "c.result", "c.prerequisite")
-    scope = named.withColumn("applicability", rule.applicability(F.col("stage"), F.col("check")))
-    skipped = F.col("applicability") == "NOT_APPLICABLE"
-    return scope.withColumn("result", F.when(skipped, "NOT_APPLICABLE").otherwise(F.col("result"))).withColumn(
-        "prerequisite", F.when(skipped, "NOT_REQUIRED").otherwise(F.col("prerequisite"))
-    )
+def with_checks(assessments: DataFrame, checks: Sequence[rule.Check]) -> DataFrame:
+    """Add `checks`: every check of the row with its applicability at the row's stage."""
+    return assessments.withColumn("checks", F.array(*[rule.scoped_check(F.col("stage"), c) for c in checks]))
+
+
+def explode_checks(checked: DataFrame) -> DataFrame:
+    """One row per (assessment, check)."""
+    return checked.select("assessment_id", "stage", F.explode("checks").alias("c")).select("assessment_id", "stage", "c.*")
+
+
+def verification_outcome(checked: DataFrame) -> DataFrame:
+    """Outcome per assessment: any failure, then missing required input, then concerns.
 
+    All checks of an assessment sit in its row, so nothing is regrouped.
+    """
+
+    def applies(c):
+        return c["applicability"] != "NOT_APPLICABLE"
+
+    def blocked(c):
+        return c["prerequisite"].isin("MISSING", "ERROR")
 
-def verification_outcome(checks: DataFrame) -> DataFrame:
-    """Outcome per assessment: any failure, then missing required input, then concerns."""
-    applies = F.col("applicability") != "NOT_APPLICABLE"
-    failed = applies & (F.col("result") == "FAIL")
-    blocked = F.col("prerequisite").isin("MISSING", "ERROR")
-    required = (F.col("applicability") == "REQUIRED") & blocked
-    concern = (applies & (F.col("result") == "CONCERN")) | ((F.col("applicability") == "OPTIONAL") & blocked)
-    sums = checks.groupBy("assessment_id").agg(
-        F.count_if(applies).alias("_n"),
-        F.bool_or(failed).alias("_f"),
-        F.bool_or(required).alias("_r"),
-        F.bool_or(concern).alias("_c"),
-        F.sort_array(F.collect_list(F.when(failed, F.col("check")))).alias("_failed"),
-        F.sort_array(F.collect_list(F.when(required, F.col("check")))).alias("_blocked"),
+    def named(test):
+        return F.sort_array(F.transform(F.filter("checks", test), lambda c: c["check"]))
+
+    judged = checked.select(
+        "assessment_id",
+        F.exists("checks", applies).alias("_any"),
+        named(lambda c: applies(c) & (c["result"] == "FAIL")).alias("_failed"),
+        named(lambda c: (c["applicability"] == "REQUIRED") & blocked(c)).alias("_blocked"),
+        F.exists("checks", lambda c: (applies(c) & (c["result"] == "CONCERN")) | ((c["applicability"] == "OPTIONAL") & blocked(c))).alias("_c"),
     )
+    failed, lacking = F.size("_failed") > 0, F.size("_blocked") > 0
     outcome = (
-        F.when(F.col("_n") == 0, "INCOMPLETE")
-        .when(F.col("_f"), "FAIL")
-        .when(F.col("_r"), "INCOMPLETE")
+        F.when(~F.col("_any"), "INCOMPLETE")
+        .when(failed, "FAIL")
+        .when(lacking, "INCOMPLETE")
         .when(F.col("_c"), "PASS_WITH_CONCERNS")
         .otherwise("PASS")
     )
     reason = (
-        F.when(F.col("_n") == 0, "no applicable checks")
-        .when(F.col("_f"), F.concat(F.lit("failed: "), F.array_join("_failed", "; ")))
-        .when(F.col("_r"), F.concat(F.lit("without input: "), F.array_join("_blocked", "; ")))
-    )
-    return sums.select(
-        "assessment_id", outcome.alias("outcome"), outcome.isin("FAIL", "INCOMPLETE").alias("abstain"), reason.alias("abstain_reason")
+        F.when(~F.col("_any"), "no applicable checks")
+        .when(failed, F.concat(F.lit("failed: "), F.array_join("_failed", "; ")))
+        .when(lacking, F.concat(F.lit("without input: "), F.array_join("_blocked", "; ")))
     )
+    out = judged.select("assessment_id", outcome.alias("outcome"), reason.alias("abstain_reason"))
+    return out.withColumn("abstain", F.col("outcome").isin("FAIL", "INCOMPLETE"))
 
 
 def model_bias(residuals: DataFrame, key: str = "event_id") -> DataFrame:

@@ -75,8 +75,12 @@ def rayleigh_suspects(spikes: DataFrame, quakes: DataFrame, key: str) -> DataFra
     travel = (F.col("ts_us") - F.col("origin_us")) / F.lit(1_000_000.0)
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"))
     expected = km / RAYLEIGH_SPEED_KM_S
+    # Latitude alone bounds the distance from below (111 km a degree), so most pairs
+    # fall to one subtraction before any trigonometry.
+    at_most_km = travel * (RAYLEIGH_SPEED_KM_S / (1 - RAYLEIGH_TOLERANCE))
+    possible = (F.col("ts_us") > F.col("origin_us")) & (F.abs(F.col("lat") - F.col("q_lat")) * 111.0 <= at_most_km)
     fits = (
-        (travel > 0)
+        possible
         & (km <= RAYLEIGH_MAX_KM)
         & (expected >= RAYLEIGH_MIN_TRAVEL_SEC)
         & (F.abs(travel - expected) / expected <= RAYLEIGH_TOLERANCE)

@@ -53,7 +53,7 @@ def duplicate_stats(df: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 
 def array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     n = F.size(ordered)
     low = F.floor((n - 1) / 2).cast("int")
     high = F.floor(n / 2).cast("int")

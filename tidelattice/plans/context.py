@@ -8,6 +8,7 @@ from ..functions import geo
 from ..operators import joins as J
 from ..operators import series as S
 from ..schemas import ESCALATION_DEPTH_KM, ESCALATION_MAGNITUDE, TRIGGER_MAGNITUDE
+from ..session import spread
 from . import Catalog
 from .adapters import (
     OBS, QUAKES, REGISTRY, SERIES, ZONE_SQL, ZQUAKES, bearing_sql, haversine_sql, observations, quakes, registry, series,
@@ -95,7 +96,8 @@ def seismic_quiet(spark, sf_dir):
     ON q.origin_us BETWEEN o.ts_us - 1001000000 AND o.ts_us) GROUP BY 1"""),
 )
 def rayleigh_suspect(spark, sf_dir):
-    spikes = J.with_coordinates(observations(spark, sf_dir), registry(spark, sf_dir)).where(F.col("lat").isNotNull())
+    readings = spread(observations(spark, sf_dir).select("seq", "station_id", "ts_us"))
+    spikes = J.with_coordinates(readings, registry(spark, sf_dir)).where(F.col("lat").isNotNull())
     hits = J.rayleigh_suspects(spikes, quakes(spark, sf_dir), "seq").withColumn("hit", F.lit(True))
     out = spikes.select("seq").join(hits, "seq", "left")
     return out.select("seq", F.coalesce("hit", F.lit(False)).alias("suspect"))
@@ -173,7 +175,7 @@ def sources(spark, sf_dir):
     FROM quakes q JOIN sources s ON s.lat BETWEEN q.lat - 5 AND q.lat + 5 WHERE q.magnitude >= 7.5) WHERE km <= 500) WHERE rank <= 45"""),
 )
 def nearest_sources(spark, sf_dir):
-    big = quakes(spark, sf_dir).where(F.col("magnitude") >= 7.5)
+    big = spread(quakes(spark, sf_dir)).where(F.col("magnitude") >= 7.5)
     out = J.nearest_sources(big, sources(spark, sf_dir))
     return out.select("event_id", "source_id", F.round("km", 4).alias("km"), F.col("rank").cast("long").alias("rank"))
 

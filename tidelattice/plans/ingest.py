@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..session import spread
 from ..sources import feeds, sinks
 from . import Catalog
 from .adapters import EPOCH_2024_US, OBS, observations, table, with_cte
@@ -38,7 +39,7 @@ def lines(spark, sf_dir):
         .otherwise(F.concat(stamp, F.lit(" 1 "), (5000 + k % 9).cast("string"), F.lit(".5")))
     )
     station = (21400 + F.col("user_id") % 4).cast("string")
-    return table(spark, sf_dir, "events").select("event_id", station.alias("station_id"), text.alias("value"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", station.alias("station_id"), text.alias("value"))
 
 
 @C.add(

@@ -9,6 +9,7 @@ from ..operators import evidence as V
 from ..operators import joins as J
 from ..operators import lineage as L
 from ..operators.partitioned import time_bucket
+from ..session import spread
 from . import Catalog
 from .adapters import OBS, QUAKES, SCORES, observations, quakes, scores, table, with_cte
 from .quality import FLAGS_SQL, flagged
@@ -166,10 +167,10 @@ outcomes AS (SELECT assessment_id, CASE WHEN f THEN 'FAIL' WHEN r THEN 'INCOMPLE
     CASE WHEN f THEN 'failed: ' || failed WHEN r THEN 'without input: ' || blocked END AS abstain_reason FROM sums)"""
 
 
-def verification_checks_of(spark, sf_dir):
+def checked_assessments(spark, sf_dir):
     k = F.col("o_orderkey")
     stage = F.array(F.lit("SEISMIC_ONLY"), F.lit("DART_CONSTRAINED"), F.lit("MULTI_STATION"))[(k % 3).cast("int")]
-    asm = table(spark, sf_dir, "orders").select(k.alias("assessment_id"), stage.alias("stage"), k)
+    asm = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(k.alias("assessment_id"), stage.alias("stage"), k)
     checks = [
         R.holdout_check(
             F.when(k % 7 != 0, (k % 9).cast("double")), F.when(k % 10 != 0, F.lit(1.0)), F.lit(1.0) + (k % 13) / F.lit(20.0)
@@ -183,17 +184,17 @@ def verification_checks_of(spark, sf_dir):
         R.weather_check(F.when(k % 9 != 0, (k % 11) / F.lit(15.0))),
         R.surface_wave_check(F.when(k % 5 != 0, k % 15 == 1)),
     ]
-    return V.explode_checks(asm, checks)
+    return V.with_checks(asm, checks)
 
 
 @C.add("verification_checks", with_cte(VERIF, body='SELECT assessment_id, stage, "check", applicability, result, prerequisite FROM checks'))
 def verification_checks(spark, sf_dir):
-    return verification_checks_of(spark, sf_dir)
+    return V.explode_checks(checked_assessments(spark, sf_dir))
 
 
 @C.add("verification_outcome", with_cte(VERIF, body="SELECT * FROM outcomes"))
 def verification_outcome(spark, sf_dir):
-    return V.verification_outcome(verification_checks_of(spark, sf_dir))
+    return V.verification_outcome(checked_assessments(spark, sf_dir))
 
 
 @C.add(
@@ -207,7 +208,7 @@ def verification_outcome(spark, sf_dir):
 def system_confidence(spark, sf_dir):
     k = F.col("assessment_id")
     spread = F.when(k % 3 == 0, "LOW").when(k % 3 == 1, "MODERATE").otherwise("HIGH")
-    return V.verification_outcome(verification_checks_of(spark, sf_dir)).select(
+    return V.verification_outcome(checked_assessments(spark, sf_dir)).select(
         "assessment_id",
         F.round(R.system_confidence(F.col("outcome"), k % 8, spread, k % 4 == 0), 6).alias("confidence"),
         R.confidence_level(F.col("outcome"), spread).alias("level"),

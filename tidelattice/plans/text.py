@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import spread
 from . import Catalog
 from .adapters import table, with_cte
 
@@ -63,14 +64,14 @@ def scan_terms_ascii(spark, sf_dir):
 @C.add("scan_terms")
 def scan_terms(spark, sf_dir):
     body = marked_text(F.col("text"), F.col("doc_id"), len(PHRASES))
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.scan_terms(body).alias("s"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.scan_terms(body).alias("s"))
     terms = F.array_join(F.transform("s.violations", lambda v: v["term"]), ";")
     return rows.select("doc_id", F.size("s.violations").alias("n_hits"), terms.alias("terms"), "s.has_disclaimer", "s.passed")
 
 
 @C.add("fold_text")
 def fold_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.fold_text("text").alias("folded"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.fold_text("text").alias("folded"))
     return rows.select("doc_id", F.length("folded").alias("n_chars"), F.sha2("folded", 256).alias("folded_hash"))
 
 

@@ -15,6 +15,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -23,6 +24,15 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on a scan that has fewer splits than cores.
+
+    A scan with enough splits, as on any large table, is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` reliably so a lost executor does not replay what made it.
 

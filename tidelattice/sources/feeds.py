@@ -25,45 +25,35 @@ def parse_dart_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     reason is null for a reading, `blank` for blanks and comments, `missing` for
     marked or sentinel values, `skipped` for anything that cannot be read.
     """
-    text = F.trim(F.regexp_replace(F.col(line), r"^\s+|\s+$", ""))
+    text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
     rows = lines.withColumn("_line", text).withColumn("_f", F.split("_line", r"\s+"))
-    field = F.col("_f")
-    year = _whole(field[0])
-    parsed = (
-        rows.withColumn("_year", F.when(year < 100, year + 2000).otherwise(year))
-        .withColumn("_kind", _whole(F.try_element_at("_f", F.lit(7))))
-        .withColumn("_text", F.try_element_at("_f", F.lit(8)))
-        .withColumn("_height", F.try_element_at("_f", F.lit(8)).try_cast("double"))
-        .withColumn(
-            "_ts",
-            F.try_make_timestamp(
-                F.col("_year"), *[_whole(F.try_element_at("_f", F.lit(i))) for i in (2, 3, 4, 5)],
-                _whole(F.try_element_at("_f", F.lit(6))).cast("decimal(16,6)"),
-            ),
-        )
+    # The seven whole numbers are read once per line; everything else refers to them.
+    rows = rows.withColumn("_n", F.transform(F.slice("_f", 1, 7), _whole)).withColumn("_height", F.try_element_at("_f", F.lit(8)).try_cast("double"))
+    number = [F.try_element_at("_n", F.lit(i)) for i in range(1, 8)]
+    year = F.when(number[0] < 100, number[0] + 2000).otherwise(number[0])
+    parsed = rows.withColumn("_kind", number[6]).withColumn(
+        "_ts", F.try_make_timestamp(year, *number[1:5], number[5].cast("decimal(16,6)"))
     )
     marked = F.exists(F.slice("_f", 1, MIN_FIELDS), lambda x: F.upper(x) == MISSING_MARK)
-    numbers = F.lit(False)
-    for i in range(1, 8):
-        numbers = numbers | _whole(F.try_element_at("_f", F.lit(i))).isNull()
-    second = _whole(F.try_element_at("_f", F.lit(6)))
     reason = (
         F.when((F.col("_line") == "") | F.col("_line").startswith("#"), "blank")
         .when(F.size("_f") < MIN_FIELDS, "skipped")
         .when(marked, "missing")
-        .when(numbers | F.col("_height").isNull(), "skipped")
+        .when(F.exists("_n", lambda x: x.isNull()) | F.col("_height").isNull(), "skipped")
         .when(~F.col("_kind").isin(1, 2, 3), "skipped")
         .when(F.isnan("_height") | (F.abs("_height") == float("inf")) | (F.col("_height") >= HEIGHT_SENTINEL), "missing")
-        .when(F.col("_ts").isNull() | (second > 59), "skipped")
+        .when(F.col("_ts").isNull() | (number[5] > 59), "skipped")
     )
-    return parsed.withColumn("reason", reason).select(
-        *[c for c in lines.columns if c != line],
-        F.col("_line").alias("raw_line"),
-        F.when(F.col("reason").isNull(), F.col("_ts")).alias("ts"),
-        F.when(F.col("reason").isNull(), F.col("_kind")).alias("measurement_type"),
-        F.when(F.col("reason").isNull(), F.col("_height")).alias("height_m"),
-        "reason",
+    # One generated struct per line: a later filter on the reason stays above it and
+    # does not drag copies of the parsing expressions down to the scan.
+    read = reason.isNull()
+    found = F.struct(
+        reason.alias("reason"),
+        F.when(read, F.col("_ts")).alias("ts"),
+        F.when(read, F.col("_kind")).alias("measurement_type"),
+        F.when(read, F.col("_height")).alias("height_m"),
     )
+    return parsed.select(*[c for c in lines.columns if c != line], F.col("_line").alias("raw_line"), F.inline(F.array(found)))
 
 
 def dart_records(parsed: DataFrame) -> DataFrame:
