@@ -88,17 +88,17 @@ def quality_flags(df: DataFrame, bucket_seconds: int = 6 * 3600) -> DataFrame:
     spread = spread.withColumn("_ctx", F.col(BUCKET) != F.col("_home")).drop("_home")
     both = spread.unionByName(carried, allowMissingColumns=True)
     ordered = Window.partitionBy(*STATION, BUCKET).orderBy(*order)
-    # An integer order key lets the frame reach back exactly one hour; rows of the
-    # same instant are peers of it, and exact instants are collapsed beforehand.
-    by_time = Window.partitionBy(*STATION, BUCKET).orderBy("ts_us")
-    hour = by_time.rangeBetween(-look, 0)
+    # The last hour is everything strictly earlier within reach plus the rows of the
+    # same instant that sort before; all three windows share one sort.
+    hour = Window.partitionBy(*STATION, BUCKET).orderBy("ts_us").rangeBetween(-look, -1)
+    same = Window.partitionBy(*STATION, BUCKET, "ts_us").orderBy("payload_hash").rowsBetween(Window.unboundedPreceding, 0)
     value = F.col("value_m")
     present = F.when(value.isNotNull(), value)
     seen = (
         both.withColumn("_prev", F.lag(F.struct("ts_us", *payload)).over(ordered))
-        .withColumn("_low", F.min(present).over(hour))
-        .withColumn("_high", F.max(present).over(hour))
-        .withColumn("_count", F.count(present).over(hour))
+        .withColumn("_low", F.least(F.min(present).over(hour), F.min(present).over(same)))
+        .withColumn("_high", F.greatest(F.max(present).over(hour), F.max(present).over(same)))
+        .withColumn("_count", F.count(present).over(hour) + F.count(present).over(same))
         .where(~F.col("_ctx"))
     )
     prev = F.col("_prev")
