@@ -21,6 +21,8 @@ from ..schemas import (
 )
 
 TICK_US = 60_000_000
+# Order of a tick's rows: triggers, then the score, then decisions.
+TRIGGER, SCORE, RESOLUTION = 0, 1, 2
 UP = {"MONITOR": "INVESTIGATE", "INVESTIGATE": "ASSESS", "ASSESS": "ESCALATE"}
 DOWN = {"INVESTIGATE": "MONITOR", "ASSESS": "INVESTIGATE"}
 RISE_AT = {"MONITOR": T1, "INVESTIGATE": T2, "ASSESS": T3}
@@ -69,8 +71,10 @@ class Machine:
     def apply(self, row) -> list[tuple]:
         """Transitions one log row causes, in order."""
         out = self._expire(row.ts_us)
-        if row.rank == 0:
+        if row.rank == TRIGGER:
             return out + self._trigger(row)
+        if row.rank == RESOLUTION:
+            return out + self._resolve(row.ts_us)
         if self.state == "IDLE":
             return out
         # Event-mode evidence older than the origin is not this event's evidence.
@@ -88,7 +92,14 @@ class Machine:
         waited = ts_us - self.trigger_us >= MONITOR_TIMEOUT_HOURS * 3_600_000_000
         if self.state != "MONITOR" or not waited or self.score >= T1:
             return []
-        done = [self._move(ts_us, "IDLE", self.score, "monitor timeout")]
+        return [self._end(ts_us, self.score, "monitor timeout")]
+
+    def _resolve(self, ts_us: int) -> list[tuple]:
+        """Only an explicit decision ends an escalation."""
+        return [self._end(ts_us, None, "resolved")] if self.state == "ESCALATE" else []
+
+    def _end(self, ts_us: int, score: float | None, reason: str) -> tuple:
+        done = self._move(ts_us, "IDLE", score, reason)
         self.event_id, self.magnitude, self.confirmed, self.score = -1, 0.0, False, 0.0
         return done
 
@@ -115,8 +126,8 @@ class Machine:
         return []
 
 
-def machine_input(scores: DataFrame, quakes: DataFrame) -> DataFrame:
-    """Log rows for the machine: admissible triggers, and one best score per basin and tick.
+def machine_input(scores: DataFrame, quakes: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
+    """Log rows for the machine: admissible triggers, one best score per basin and tick, and decisions.
 
     Folding a tick to its best score happens map-side, so a basin is bounded by
     its number of ticks, whatever the number of stations and readings behind it.
@@ -128,13 +139,16 @@ def machine_input(scores: DataFrame, quakes: DataFrame) -> DataFrame:
     triggers = quakes.where((F.col("magnitude") >= TRIGGER_MAGNITUDE) & (F.col("zone") != "unknown")).select(
         "basin",
         F.floor(F.col("origin_us") / TICK_US).cast("long").alias("tick"),
-        F.lit(0).alias("rank"),
+        F.lit(TRIGGER).alias("rank"),
         F.col("origin_us").alias("ts_us"),
         "event_id",
         "magnitude",
         "depth_km",
     )
-    both = triggers.unionByName(ticks.withColumn("rank", F.lit(1)), allowMissingColumns=True)
+    both = triggers.unionByName(ticks.withColumn("rank", F.lit(SCORE)), allowMissingColumns=True)
+    if resolutions is not None:
+        decided = resolutions.select("basin", "ts_us", F.lit(RESOLUTION).alias("rank"), F.floor(F.col("ts_us") / TICK_US).cast("long").alias("tick"))
+        both = both.unionByName(decided, allowMissingColumns=True)
     return both.select(*[F.col(f.name).cast(f.dataType) for f in INPUT.fields])
 
 

@@ -244,8 +244,15 @@ def basin_quakes(spark, sf_dir):
     return zoned_quakes(spark, sf_dir).withColumn("basin", F.col("event_id") % 5)
 
 
+def alert_log(spark, sf_dir):
+    """Triggers, best scores and the decisions that end escalations."""
+    big = basin_quakes(spark, sf_dir)
+    decisions = big.where(F.col("event_id") % 40 < 5).select("basin", (F.col("origin_us") + 1_000_000).alias("ts_us"))
+    return A.machine_input(basin_scores(spark, sf_dir), big, decisions)
+
+
 def transitions(spark, sf_dir):
-    return A.replay(A.machine_input(basin_scores(spark, sf_dir), basin_quakes(spark, sf_dir)))
+    return A.replay(alert_log(spark, sf_dir))
 
 
 @C.add("alert_state_machine")

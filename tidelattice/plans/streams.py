@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import replay as R
-from ..operators.alerts import INPUT, machine_input
+from ..operators.alerts import INPUT
 from ..operators.partitioned import time_bucket
 from ..streaming import jobs
 from . import Catalog
 from .adapters import EPOCH_2024_US, OBS, observations, table, with_cte
-from .evaluation import basin_quakes, basin_scores
+from .evaluation import alert_log
 
 C = Catalog()
 
@@ -179,7 +179,7 @@ def stream_event_mode(spark, sf_dir):
 def stream_alerts(spark, sf_dir):
     """The alert machine as a stream over the written log of triggers and best scores."""
     folder = jobs.shared_folder(spark, "alert-log")
-    machine_input(basin_scores(spark, sf_dir), basin_quakes(spark, sf_dir)).write.parquet(folder)
+    alert_log(spark, sf_dir).write.parquet(folder)
     log = spark.readStream.schema(INPUT).parquet(folder)
     return jobs.run_to_table(jobs.alerts(log), "alerts")
 
