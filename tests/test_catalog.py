@@ -32,7 +32,7 @@ def test_equals_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"stream_alerts"}))
 def test_has_rows(spark, name):
-    assert not QUERIES[name](spark, SF).isEmpty()
+    assert not QUERIES[name](spark, "/root/testdata/sf0.01").isEmpty()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_") and n != "windowed_metrics"))

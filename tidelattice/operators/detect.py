@@ -19,7 +19,7 @@ from ..functions import scores as score
 from ..functions import signals
 from ..functions.tides import basis_matrix, fit_robust
 from ..schemas import WINDOW_CAP, WINDOW_HOURS, WINDOW_MIN_SAMPLES
-from .joins import broadcast_if_small
+from .partitioned import broadcast_if_small, number_rows, time_bucket
 
 STATION = ["source_type", "station_id"]
 SLICE = 64
@@ -50,8 +50,9 @@ def collect_windows(df: DataFrame, value: str = "value_m", hours: int = WINDOW_H
     width = hours * 3_600_000_000
     single = df.groupBy(*STATION, "ts_us").agg(F.min_by(value, "seq").alias("_v"))
     placed = single.withColumn("window_no", F.floor(F.col("ts_us") / width).cast("long"))
-    newest = Window.partitionBy(*STATION, "window_no").orderBy(F.desc("ts_us"))
-    kept = placed.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= cap)
+    # Numbered from the newest back in quarter-hour pieces, so not even one window is sorted whole.
+    backwards = placed.withColumn("_age", -F.col("ts_us"))
+    kept = number_rows(backwards, [*STATION, "window_no"], ["_age"], time_bucket("_age", 900), "_back").where(F.col("_back") <= cap)
     return kept.groupBy(*STATION, "window_no").agg(
         F.array_sort(F.collect_list(F.struct("ts_us", "_v"))).alias("_s"), F.max("ts_us").alias("window_end_us")
     ).select(*STATION, "window_no", "window_end_us", F.col("_s.ts_us").alias("times"), F.col("_s._v").alias("samples"))
@@ -213,6 +214,8 @@ def score_forest(features: DataFrame, forest: DataFrame, columns: Sequence[str],
             depth += nodes[at, 5] + _unsuccessful_path(nodes[at, 4])
         return depth / len(trees)
 
+    if not trees:
+        return features.withColumn("ml_score", F.lit(None).cast("double"))
     scale = float(_unsuccessful_path(np.array([trees[0][0]]))[0])
 
     @F.pandas_udf("double")

@@ -22,14 +22,7 @@ from ..schemas import (
     RAYLEIGH_TOLERANCE,
     SOURCE_RADIUS_KM,
 )
-
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side keeps a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
+from .partitioned import BROADCAST_ROWS, broadcast_if_small
 
 def with_coordinates(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Station coordinates; unknown stations keep nulls."""

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small, latest_by
-from .partitioned import number_rows
+from .joins import latest_by
+from .partitioned import broadcast_if_small, number_rows
 
 NO_TRACE = "__no_trace__"
 DIGEST_BLOCK = 10_000

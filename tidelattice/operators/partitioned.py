@@ -13,9 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bucket"
 # Rows of one key that a single aggregate buffer may hold.
 GATHER_LIMIT = 2_000_000
+# Rows of a side that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting; a larger side keeps a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def settle(per_key: DataFrame) -> DataFrame:
+    """Compute a small table of one row per key once, and broadcast it if it is small.
+
+    Joining it back then leaves the rows of a hot key where they are, instead of
+    sending them all to one task; with very many keys the join shuffles.
+    """
+    return broadcast_if_small(cut_lineage(per_key))
 
 
 def time_bucket(ts_us: str, seconds: int) -> Column:
@@ -164,7 +182,7 @@ def ranked_percentiles(
         F.count(F.lit(1)).alias("_n"),
     )
     region = sum((F.when(F.col("_v") > F.col("_cuts")[i], 1).otherwise(0) for i in range(len(grid))), F.lit(0))
-    placed = rows.join(cuts, list(keys)).select(*keys, "_v", "_n", region.alias("_region"))
+    placed = rows.join(settle(cuts), list(keys)).select(*keys, "_v", "_n", region.alias("_region"))
     by_key = Window.partitionBy(*keys).orderBy("_region")
     sizes = placed.groupBy(*keys, "_region", "_n").agg(F.count(F.lit(1)).alias("_m"))
     sizes = sizes.withColumn("_below", F.sum("_m").over(by_key) - F.col("_m"))
@@ -181,7 +199,7 @@ def ranked_percentiles(
     wanted = holds[0]
     for h in holds[1:]:
         wanted = wanted | h
-    wanted_regions = sizes.where(wanted).select(*keys, "_region", "_below")
+    wanted_regions = settle(sizes.where(wanted).select(*keys, "_region", "_below"))
     counted = (
         placed.join(wanted_regions, [*keys, "_region"])
         .groupBy(*keys, "_region", "_below", "_n", "_v")

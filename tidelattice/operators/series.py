@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import GAP_FACTOR, HAMPEL_HALF, HAMPEL_SIGMAS, LEVEL_SAMPLES, MAD_SCALE, WINDOW_CAP, WINDOW_HOURS, WINDOW_MIN_SAMPLES
 from ..session import cut_lineage
-from .partitioned import exact_percentiles, number_rows, running_sum, time_bucket, with_halo, with_previous
+from .partitioned import exact_percentiles, number_rows, running_sum, settle, time_bucket, with_halo, with_previous
 
 CHUNK_ROWS = 20_000
 DAY = 86_400
@@ -92,7 +92,7 @@ def correct_level_shifts(numbered: DataFrame, keys: Sequence[str], value: str =
     typical = exact_percentiles(stepped, keys, "dt", {"median_dt": 0.5}, counted=numbered)
     gaps = (
         stepped.where(F.col("dt").isNotNull() & (F.col("n") >= 2 * LEVEL_SAMPLES + 1))
-        .join(typical, list(keys))
+        .join(settle(typical), list(keys))
         .where((F.col("median_dt") > 0) & (F.col("dt") > GAP_FACTOR * F.col("median_dt")))
         .select(*keys, "n", F.col("rn").alias("gap_rn"))
     )
@@ -123,16 +123,16 @@ def clean_calibration(df: DataFrame, keys: Sequence[str], value: str = "value")
     numbered = number_series(df, keys, total="n")
     levelled = cut_lineage(correct_level_shifts(cut_lineage(hampel(numbered, keys, value)), keys))
     first = levelled.groupBy(*keys).agg(F.min("ts_us").alias("_t0"))
-    hours = levelled.join(first, list(keys)).withColumn("hours", (F.col("ts_us") - F.col("_t0")) / F.lit(3_600_000_000.0))
+    hours = levelled.join(settle(first), list(keys)).withColumn("hours", (F.col("ts_us") - F.col("_t0")) / F.lit(3_600_000_000.0))
     slopes = hours.groupBy(*keys).agg(F.regr_slope("levelled", "hours").alias("slope"))
-    out = hours.join(slopes, list(keys))
+    out = hours.join(settle(slopes), list(keys))
     return out.withColumn("clean", F.col("levelled") - F.coalesce("slope", F.lit(0.0)) * F.col("hours")).drop("_t0")
 
 
 def rolling_window(df: DataFrame, keys: Sequence[str], value: str = "value_m") -> DataFrame:
     """The last six hours of each station up to its newest reading, one sample per instant."""
     newest = df.groupBy(*keys).agg(F.max("ts_us").alias("_ref"))
-    recent = df.join(newest, list(keys)).where(F.col("ts_us") >= F.col("_ref") - WINDOW_HOURS * 3_600_000_000)
+    recent = df.join(settle(newest), list(keys)).where(F.col("ts_us") >= F.col("_ref") - WINDOW_HOURS * 3_600_000_000)
     single = recent.groupBy(*keys, "ts_us").agg(F.min_by(value, "seq").alias(value))
     numbered = number_rows(single, keys, ["ts_us"], time_bucket("ts_us", 900), "rn", "n")
     kept = numbered.where(F.col("rn") > F.col("n") - WINDOW_CAP)
@@ -151,7 +151,7 @@ def sample_windows(df: DataFrame, keys: Sequence[str], hours: float, bucket_seco
     steps = stepped.withColumn("dt", (F.col("ts_us") - F.col("prev")["ts_us"]) / F.lit(1_000_000.0))
     size = exact_percentiles(steps, keys, "dt", {"median_dt": 0.5}, counted=df).where(F.col("median_dt") > 0)
     size = size.select(*keys, F.greatest(F.lit(1), F.floor(F.lit(hours * 3600.0) / F.col("median_dt"))).cast("long").alias("per_window"))
-    placed = numbered.join(size, list(keys)).withColumn("window_no", F.floor((F.col("rn") - 1) / F.col("per_window")).cast("long"))
+    placed = numbered.join(settle(size), list(keys)).withColumn("window_no", F.floor((F.col("rn") - 1) / F.col("per_window")).cast("long"))
     in_window = F.least(F.col("per_window"), F.col("n") - F.col("window_no") * F.col("per_window"))
     return placed.where(in_window >= WINDOW_MIN_SAMPLES).drop("rn", "n")
 

@@ -147,7 +147,7 @@ def bind_to_event(spark, sf_dir):
     triggers = zoned_quakes(spark, sf_dir).where(F.col("magnitude") >= 8.3).select(
         (F.col("event_id") % 5).alias("basin"), F.col("origin_us").alias("trigger_us"), "event_id"
     )
-    out = J.bind_to_event(rows, triggers, ["basin"], 43_200_000_000, ["seq"], 43_200_000_000)
+    out = J.bind_to_event(rows, triggers, ["basin"], 43_200_000_000, ["seq"], 3_600_000_000)
     return out.select("seq", "event_id", "trigger_us")
 
 

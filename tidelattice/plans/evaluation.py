@@ -272,7 +272,7 @@ def confirmation_latch(spark, sf_dir):
     marks = basin_quakes(spark, sf_dir).where((F.col("magnitude") >= 7.5) & (F.col("zone") != "unknown")).select(
         "basin", F.col("origin_us").alias("trigger_us"), "event_id"
     )
-    bound = J.bind_to_event(rows, marks, ["basin"], 43_200_000_000, ["window_id"], 43_200_000_000)
+    bound = J.bind_to_event(rows, marks, ["basin"], 43_200_000_000, ["window_id"], 3_600_000_000)
     out = A.confirmation_timeline(bound)
     return out.withColumn("n_stations", F.col("n_stations").cast("long"))
 
@@ -282,7 +282,7 @@ def escalations(spark, sf_dir):
     moved = cut_lineage(transitions(spark, sf_dir))
     obs = observations(spark, sf_dir).select("ts_us", "seq", "payload_hash", (F.col("seq") % 5).alias("basin"))
     marks = moved.where(F.col("from_state") == "IDLE").select("basin", F.col("ts_us").alias("trigger_us"), "event_id")
-    bound = J.bind_to_event(obs, marks, ["basin"], 43_200_000_000, ["seq"], 43_200_000_000)
+    bound = J.bind_to_event(obs, marks, ["basin"], 43_200_000_000, ["seq"], 3_600_000_000)
     refs = bound.where(F.col("event_id").isNotNull()).select("event_id", F.lit(1).alias("source_rank"), "payload_hash")
     return A.escalations(moved, basin_scores(spark, sf_dir), refs, 1000).select(
         "basin", "event_id", "escalated_us", F.size("timeline").alias("n_steps"), "best.source_type", "best.station_id",

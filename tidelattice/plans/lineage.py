@@ -342,7 +342,7 @@ def activity_report(spark, sf_dir):
     count(*) OVER (PARTITION BY coalesce(trace_id, '__no_trace__')) AS n FROM audit) WHERE rn <= 200 GROUP BY 1"""),
 )
 def lineage_by_event(spark, sf_dir):
-    out = L.lineage_by_trace(audit(spark, sf_dir), 200, time_bucket("recorded_us", 86_400))
+    out = L.lineage_by_trace(audit(spark, sf_dir), 200, time_bucket("recorded_us", 3_600))
     return out.withColumn("audit_ids", F.array_join(F.transform("audit_ids", lambda x: x.cast("string")), ","))
 
 
