@@ -53,7 +53,9 @@ def collect_windows(df: DataFrame, value: str = "value_m", hours: int = WINDOW_H
     # Numbered from the newest back in quarter-hour pieces, so not even one window is sorted whole.
     backwards = placed.withColumn("_age", -F.col("ts_us"))
     kept = number_rows(backwards, [*STATION, "window_no"], ["_age"], time_bucket("_age", 900), "_back").where(F.col("_back") <= cap)
-    return kept.groupBy(*STATION, "window_no").agg(
+    # A fixed number of partitions keeps the costly detector pass on all cores.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept.repartition(parts, *STATION, "window_no").groupBy(*STATION, "window_no").agg(
         F.array_sort(F.collect_list(F.struct("ts_us", "_v"))).alias("_s"), F.max("ts_us").alias("window_end_us")
     ).select(*STATION, "window_no", "window_end_us", F.col("_s.ts_us").alias("times"), F.col("_s._v").alias("samples"))
 
