@@ -32,13 +32,13 @@ FALSE_SQL = """rep AS (SELECT source_type, station_id, count(*) AS n_windows, co
 @C.add(
     "false_trigger_report",
     with_cte(SCORES, FALSE_SQL, body="""SELECT source_type, station_id, n_windows, triggers_t1, triggers_t2, triggers_t3, max_score,
-  round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, round(p95_score, 6) AS p95_score, round(p99_score, 6) AS p99_score,
+  round(mean_score, 10) AS mean_score, round(std_score, 6) AS std_score, round(p95_score, 6) AS p95_score, round(p99_score, 6) AS p99_score,
   round(CASE WHEN months > 0 THEN triggers_t1 / months ELSE 0 END, 4) AS t1_per_month,
   round(CASE WHEN months > 0 THEN triggers_t2 / months ELSE 0 END, 4) AS t2_per_month FROM rep"""),
 )
 def false_trigger_report(spark, sf_dir):
     out = E.false_trigger_report(scores(spark, sf_dir), ["source_type", "station_id"])
-    out = rounded(out, "mean_score", "std_score", "p95_score", "p99_score")
+    out = rounded(rounded(out, "mean_score", digits=10), "std_score", "p95_score", "p99_score")
     return rounded(out, "t1_per_month", "t2_per_month", digits=4)
 
 

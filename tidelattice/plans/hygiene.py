@@ -45,13 +45,13 @@ def one_per_instant(spark, sf_dir):
 @C.add(
     "dedup_series",
     with_cte(SERIES, body="""SELECT station_id, ts_us, min_by(value, seq) AS v_first, max_by(value, seq) AS v_last, min(value) AS v_min,
-  max(value) AS v_max, round(avg(value), 6) AS v_mean, count(*) AS copies FROM series GROUP BY 1, 2"""),
+  max(value) AS v_max, round(avg(value), 9) AS v_mean, count(*) AS copies FROM series GROUP BY 1, 2"""),
 )
 def dedup_series(spark, sf_dir):
     out = S.dedup_policies(series(spark, sf_dir), KEY)
     return out.select(
         "station_id", "ts_us", F.col("first").alias("v_first"), F.col("last").alias("v_last"), F.col("min").alias("v_min"),
-        F.col("max").alias("v_max"), F.round("mean", 6).alias("v_mean"), "copies",
+        F.col("max").alias("v_max"), F.round("mean", 9).alias("v_mean"), "copies",
     )
 
 
@@ -194,7 +194,7 @@ def canonical_order(spark, sf_dir):
 
 @C.add(
     "union_observations",
-    with_cte(OBS, body="""SELECT source_type, station_id, count(*) AS n, round(avg(value_m), 6) AS mean_m, min(expected_interval_sec) AS min_interval FROM obs GROUP BY 1, 2"""),
+    with_cte(OBS, body="""SELECT source_type, station_id, count(*) AS n, round(avg(value_m), 10) AS mean_m, min(expected_interval_sec) AS min_interval FROM obs GROUP BY 1, 2"""),
 )
 def union_observations(spark, sf_dir):
     obs = observations(spark, sf_dir)
@@ -203,5 +203,5 @@ def union_observations(spark, sf_dir):
     coops = obs.where(F.col("source_type") == "coops").select(*common, "product")
     both = dart.unionByName(coops, allowMissingColumns=True)
     return both.groupBy(*STATION).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value_m"), 6).alias("mean_m"), F.min("expected_interval_sec").alias("min_interval")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value_m"), 10).alias("mean_m"), F.min("expected_interval_sec").alias("min_interval")
     )

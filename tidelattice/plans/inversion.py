@@ -21,18 +21,18 @@ RIGIDITY = [4.0e10] * K
 def greens(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(
         (F.col("l_suppkey") % 20).alias("station_id"), (F.col("l_orderkey") % 64).alias("t"), (F.col("l_partkey") % K).alias("source_id")
-    ).agg((F.avg("l_quantity") / 50.0).alias("h"))
+    ).agg((F.avg("l_quantity") * 0.0199731).alias("h"))
 
 
 def waveforms(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(
         F.year("l_shipdate").cast("long").alias("event_id"), (F.col("l_suppkey") % 20).alias("station_id"), (F.col("l_orderkey") % 64).alias("t")
-    ).agg((F.avg("l_extendedprice") / 1e5).alias("d"))
+    ).agg((F.avg("l_extendedprice") * 1.00137e-5).alias("d"))
 
 
 _PAIRS = I.pairs(K)
-BLOCKS = f"""g AS (SELECT l_suppkey % 20 AS station_id, l_orderkey % 64 AS t, l_partkey % {K} AS source_id, avg(l_quantity) / 50.0::DOUBLE AS h FROM lineitem GROUP BY 1, 2, 3),
-w AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS event_id, l_suppkey % 20 AS station_id, l_orderkey % 64 AS t, avg(l_extendedprice) / 100000.0::DOUBLE AS d FROM lineitem GROUP BY 1, 2, 3),
+BLOCKS = f"""g AS (SELECT l_suppkey % 20 AS station_id, l_orderkey % 64 AS t, l_partkey % {K} AS source_id, avg(l_quantity) * 0.0199731::DOUBLE AS h FROM lineitem GROUP BY 1, 2, 3),
+w AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS event_id, l_suppkey % 20 AS station_id, l_orderkey % 64 AS t, avg(l_extendedprice) * 1.00137e-5::DOUBLE AS d FROM lineitem GROUP BY 1, 2, 3),
 v AS (SELECT station_id, t, {', '.join(f'coalesce(sum(h) FILTER (source_id = {i}), 0) AS h{i}' for i in range(K))} FROM g GROUP BY 1, 2)"""
 
 
