@@ -303,7 +303,7 @@ def provenance_chain(spark, sf_dir):
     )
     named = noted.withColumn("ref", F.explode_outer("refs")).join(hash_of, "ref", "left").groupBy(
         "audit_id", "recorded_us", "trace_id", "handoff_id"
-    ).agg(F.collect_list("payload_hash").alias("input_hashes"))
+    ).agg(F.collect_list(F.when(F.col("ref").isNotNull(), F.coalesce("payload_hash", F.lit("unknown")))).alias("input_hashes"))
     raw = obs.where(F.col("seq") % 10 != 0).select("payload_hash", F.col("seq").alias("raw_id"), "station_id")
     return L.provenance_chain(features, named, raw)
 
