@@ -94,13 +94,14 @@ def quality_flags(df: DataFrame, bucket_seconds: int = 6 * 3600) -> DataFrame:
     same = Window.partitionBy(*STATION, BUCKET, "ts_us").orderBy("payload_hash").rowsBetween(Window.unboundedPreceding, 0)
     value = F.col("value_m")
     present = F.when(value.isNotNull(), value)
-    seen = (
-        both.withColumn("_prev", F.lag(F.struct("ts_us", *payload)).over(ordered))
-        .withColumn("_low", F.least(F.min(present).over(hour), F.min(present).over(same)))
-        .withColumn("_high", F.greatest(F.max(present).over(hour), F.max(present).over(same)))
-        .withColumn("_count", F.count(present).over(hour) + F.count(present).over(same))
-        .where(~F.col("_ctx"))
-    )
+    # All in one select, so each window is passed over once.
+    seen = both.select(
+        "*",
+        F.lag(F.struct("ts_us", *payload)).over(ordered).alias("_prev"),
+        F.least(F.min(present).over(hour), F.min(present).over(same)).alias("_low"),
+        F.greatest(F.max(present).over(hour), F.max(present).over(same)).alias("_high"),
+        (F.count(present).over(hour) + F.count(present).over(same)).alias("_count"),
+    ).where(~F.col("_ctx"))
     prev = F.col("_prev")
     dt = (F.col("ts_us") - prev["ts_us"]) / F.lit(1_000_000.0)
     no_step = prev.isNull() | prev["value_m"].isNull() | (dt <= 0)
