@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Catalog
-from . import mixing, packing, quality_neighbours, quality_rules, token_counts, toxicity
+from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, token_counts, toxicity
 from .learning import held_out
 
 C = Catalog()
@@ -22,6 +22,12 @@ def _predictions(docs: DataFrame, scored, folds: int, fold: int) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@C.add("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("f")).alias("fingerprint"), "component_id")
+
+
 @C.add("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -58,3 +64,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@C.add("op10_embedding_dedup")
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_caps.near_vectors(table(spark, sf_dir, "embeddings"))
