@@ -38,3 +38,16 @@ def broadcast_if_light(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_
     """
     total = df.agg(F.sum(row_bytes)).first()[0] or 0
     return F.broadcast(df) if total <= limit else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table once into the shared checkpoint folder and read it back.
+
+    Like `keep`, but in columns and compressed: for large intermediate tables of which
+    later steps read a few columns.
+    """
+    spark = df.sparkSession
+    keep(spark.range(0))  # sets the folder where none is configured
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Catalog
-from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, token_counts, toxicity
+from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_counts, toxicity
 from .learning import held_out
 
 C = Catalog()
@@ -66,6 +66,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@C.add("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @C.add("op10_embedding_dedup")
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical_caps.near_vectors(table(spark, sf_dir, "embeddings"))
