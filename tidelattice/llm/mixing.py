@@ -22,23 +22,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.partitioned import running_sum
+from ..operators.partitioned import number_rows, running_sum
 from .common import WORD, broadcast_if_light, keep
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CEILING = 1.5, 2.0
 BLOCK_WORDS = 16_384
-SHARDS = 16
+# Words of one output shard, and the least number of shards, where none is given.
+SHARD_WORDS, LEAST_SHARDS = 4_000_000, 16
 BUCKETS = 512
 SEED = 20_26
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size): size is the number of words; a null text has none."""
+    """(doc_id, source, size, text_hash): size is the number of words; a null text has none."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     )
 
 
@@ -142,7 +144,7 @@ def _draw(seed: Column) -> Callable[[Column, Column], Column]:
     return draw
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(shard, source, blocks): the exact quotas (source, blocks) dealt over the shards.
 
     A node holds its shards and one count per source. The left half draws its share
@@ -167,8 +169,9 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
             F.struct((F.col("lo") + half).alias("lo"), (F.col("width") - half).alias("width"), side(False).alias("cells")),
         )
         # Cut each level: draws are computed once, and expressions do not nest level in level.
+        # From 256 nodes on they are spread over tasks.
         nodes = keep(
-            drawn.select(F.when(F.col("width") > 1, halves).otherwise(F.array(F.struct("lo", "width", "cells"))).alias("h"))
+            (drawn.repartition("lo") if level >= 8 else drawn).select(F.when(F.col("width") > 1, halves).otherwise(F.array(F.struct("lo", "width", "cells"))).alias("h"))
             .select(F.inline("h"))
         )
     return nodes.select(F.col("lo").alias("shard"), F.explode("cells").alias("c")).select("shard", "c.source", F.col("c.n").alias("blocks"))
@@ -183,21 +186,22 @@ def mix(
     share: float = SHARE,
     ceiling: float = CEILING,
     block_words: int = BLOCK_WORDS,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """(draws, documents).
 
-    draws: (shard, place, doc_id, source, pass, words, source_size, target), one row per
+    draws: (shard, place, doc_id, source, text_hash, size, pass, words), one row per
     document and pass that the mix reads; `words` of its first words are taken and
-    `place` orders the shard. documents: (doc_id, size, source_size, target, taken),
+    `place` orders the shard. Without `shards` their number is the power of two that
+    gives a shard at most SHARD_WORDS words. documents: (doc_id, size, source_size, target, taken),
     one row per input row.
 
     Null texts have size 0 and are never drawn; a null source is a source of its own;
     repeated rows are drawn each for itself, in an order fixed by id and size, so that
     reruns agree. Extra columns are ignored. Empty tables give empty results.
     """
-    sizes = keep(sized(docs, doc_id, source, text).withColumn("_key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 1)))
+    sizes = keep(sized(docs, doc_id, source, text).withColumn("_key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 1)))
     targets = keep(source_targets(sizes, weights, share, ceiling))
     light = broadcast_if_light(targets, F.coalesce(F.length("source"), F.lit(0)) + 64)
     sources = light.withColumnRenamed("source", "_source")
@@ -205,7 +209,7 @@ def mix(
     # Words of the source before and up to this document, in the source's random order.
     bucket = F.floor(F.col("_key") / F.lit((1 << 63) // BUCKETS)).cast("long")
     named = known.withColumn("_name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    ends = keep(running_sum(named, ["_name"], ["_key", "doc_id", "size"], bucket, F.col("size"), "_end"))
+    ends = keep(running_sum(named, ["_name"], ["_key", "doc_id", "text_hash"], bucket, F.col("size"), "_end"))
     goal = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - full * F.col("source_size")
@@ -225,17 +229,19 @@ def mix(
     per_pass = F.ceil(F.col("source_size") / block_words).cast("long")
     in_blocks = reads.withColumn("_block", F.col("pass") * per_pass + F.floor(F.col("_begin") / block_words).cast("long"))
     blocks = keep(in_blocks.groupBy("_name", "source", "_block").agg(F.sum("words").alias("_words")))
-    shuffled = Window.partitionBy("_name").orderBy(F.xxhash64(F.lit(seed + 1), "_block"), "_block")
-    numbered = blocks.withColumn("_turn", F.row_number().over(shuffled))
+    if shards is None:
+        words = targets.agg(F.sum("target")).first()[0] or 0
+        shards = max(LEAST_SHARDS, 1 << max(0, math.ceil(math.log2(max(1, words / SHARD_WORDS)))))
+    keyed = blocks.withColumn("_at", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "_name", "_block"), 1))
+    numbered = number_rows(keyed, ["_name"], ["_at", "_block"], F.floor(F.col("_at") / F.lit((1 << 63) // BUCKETS)).cast("long"), "_turn")
     dealt = split_quotas(blocks.groupBy("_name", "source").agg(F.count(F.lit(1)).alias("blocks")).select("source", "blocks"), shards, seed)
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     upto = Window.partitionBy("_name").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = dealt.where("blocks > 0").withColumn("_name", name).withColumn("_to", F.sum("blocks").over(upto))
-    ranges = ranges.select("_name", "shard", "_to", (F.col("_to") - F.col("blocks")).alias("_from"))
-    # A source has one range per shard at most, so the range condition meets `shards` rows of a block.
-    homes = numbered.join(ranges, "_name").where((F.col("_turn") > F.col("_from")) & (F.col("_turn") <= F.col("_to"))).select("_name", "_block", "shard")
+    turns = ranges.select("_name", "shard", F.explode(F.sequence(F.col("_to") - F.col("blocks") + 1, F.col("_to"))).alias("_turn"))
+    homes = numbered.join(turns, ["_name", "_turn"]).select("_name", "_block", "shard")
     draws = in_blocks.join(homes, ["_name", "_block"]).select(
-        "shard", F.xxhash64(F.lit(seed + 2), "doc_id", "pass", "_begin").alias("place"), "doc_id", "source", "pass", "words", "source_size", "target",
+        "shard", F.xxhash64(F.lit(seed + 2), "doc_id", "pass", "_begin").alias("place"), "doc_id", "source", "text_hash", "size", "pass", "words",
         "_name", "_end",
     )
     # A row with words is known by its source and where it ends there.
@@ -244,3 +250,22 @@ def mix(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     return draws.drop("_name", "_end"), documents
+
+
+def drawn_texts(
+    docs: DataFrame, draws: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = ("lang",)
+) -> DataFrame:
+    """(doc_id, text, source, carry..., n_chars, shard, place): one row per draw.
+
+    A draw of a whole document has its text as it is; a trimmed one has its first
+    words, joined by blanks. Rows with equal id, source and text are interchangeable;
+    of their carried columns the smallest stay.
+    """
+    key = [F.col(doc_id).alias("_id"), F.col(source).cast("string").alias("_source"), F.xxhash64(F.col(text).cast("string")).alias("_hash")]
+    texts = docs.select(*key, F.col(text).cast("string").alias("_text"), F.struct(*carry).alias("_carry")).groupBy("_id", "_source", "_hash")
+    texts = texts.agg(F.min("_text").alias("_text"), F.min("_carry").alias("_carry"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("text_hash") == F.col("_hash"))
+    words = F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.when(F.col("words") == F.col("size"), F.col("_text")).otherwise(F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
+    joined = draws.join(texts, same).select("doc_id", part.alias("text"), "source", "_carry.*", "shard", "place")
+    return joined.withColumn("n_chars", F.length("text").cast("long"))
