@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Catalog
-from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_counts, toxicity
+from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_counts, toxicity, url_filters
 from .learning import held_out
 
 C = Catalog()
@@ -75,6 +75,61 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_pages(pages: DataFrame) -> DataFrame:
+    """Captures with a fetch day; the table has none, so the id gives it."""
+    return pages.withColumn("day", (F.col("page_id") * 101) % 3000)
+
+
+def list_changes(pages: DataFrame) -> DataFrame:
+    """A log of list changes from the pages themselves: hosts, parent domains and first path segments."""
+    host = url_filters.host_of(F.col("url"))
+    turn = F.col("page_id") % 20
+    first = F.concat(host, F.lit("/"), F.get(url_filters.segments_of(F.col("url")), 0))
+    entry = F.when(turn.isin(0, 1), host).when(turn.isin(2, 3), first).when(F.col("page_id") % 400 == 4, F.regexp_replace(host, r"^[^.]*\.", ""))
+    action = F.when(turn.isin(0, 2, 4), "add").otherwise("remove")
+    return pages.select(entry.alias("entry"), ((F.col("page_id") * 37) % 3000).alias("day"), action.alias("action")).where("entry is not null")
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, (page_id * 101) % 3000 AS day, (page_id * 37) % 3000 AS change_day,
+    regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS host,
+    list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS seg
+  FROM pages
+), changes AS (
+  SELECT change_day AS day,
+    CASE WHEN page_id % 20 IN (0, 1) THEN host WHEN page_id % 20 IN (2, 3) THEN host || '/' || seg[1]
+      WHEN page_id % 400 = 4 THEN regexp_replace(host, '^[^.]*\.', '') END AS entry,
+    CASE WHEN page_id % 20 IN (0, 2, 4) THEN 'add' ELSE 'remove' END AS action
+  FROM p
+), daily AS (
+  SELECT entry, day, max(action) AS action FROM changes WHERE entry IS NOT NULL GROUP BY entry, day
+), turns AS (
+  SELECT * FROM (SELECT *, coalesce(lag(action) OVER (PARTITION BY entry ORDER BY day), 'remove') AS before FROM daily) WHERE action <> before
+), intervals AS (
+  SELECT entry, day AS valid_from, valid_to, action
+  FROM (SELECT *, lead(day) OVER (PARTITION BY entry ORDER BY day) AS valid_to FROM turns) WHERE action = 'add'
+), keyed AS (
+  SELECT page_id, day, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(seg) + 1), lambda i: host || '/' || array_to_string(seg[1:i], '/')))) AS entry
+  FROM p WHERE host <> ''
+), hits AS (
+  SELECT k.page_id, k.entry, i.valid_from,
+    row_number() OVER (PARTITION BY k.page_id ORDER BY length(k.entry) DESC, k.entry) AS rn, count(*) OVER (PARTITION BY k.page_id) AS n
+  FROM keyed k JOIN intervals i ON k.entry = i.entry AND i.valid_from <= k.day AND (i.valid_to IS NULL OR k.day < i.valid_to)
+)
+SELECT p.page_id, p.day, h.n IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_matches, h.entry, h.valid_from
+FROM p LEFT JOIN (SELECT * FROM hits WHERE rn = 1) h USING (page_id)
+"""
+
+
+@C.add("op9_url_filters", OP9_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.filter_captures(dated_pages(pages), list_changes(pages))
+
+
 @C.add("op10_embedding_dedup")
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical_caps.near_vectors(table(spark, sf_dir, "embeddings"))
