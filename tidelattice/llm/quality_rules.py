@@ -89,16 +89,22 @@ def base_failed() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), summed from k down until terms vanish."""
+    """P(X <= k) for X ~ Binomial(n, p), summed away from the mean until terms vanish."""
     if n == 0 or k >= n:
         return 1.0
-    log_term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    term, total, i = math.exp(log_term), 0.0, k
-    while i >= 0 and term > 1e-18 * (total or 1e-300):
+    lower = k <= n * p
+    i = k if lower else k + 1
+    log_term = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    term, total = math.exp(log_term), 0.0
+    while 0 <= i <= n and term > 1e-18 * (total or 1e-300):
         total += term
-        term *= i * (1 - p) / ((n - i + 1) * p)
-        i -= 1
-    return min(1.0, total)
+        if lower:
+            term *= i * (1 - p) / ((n - i + 1) * p)
+            i -= 1
+        else:
+            term *= (n - i) * p / ((i + 1) * (1 - p))
+            i += 1
+    return min(1.0, total if lower else 1 - total)
 
 
 def certified(passed_at: Iterable[tuple[int, int]], good: int, grid: tuple[float, ...], share: float, level: float) -> float | None:

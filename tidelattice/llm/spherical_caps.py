@@ -31,6 +31,8 @@ COSINE = 0.98
 CODE_WORDS = 2048
 # Mean number of filters of a random vector; the cap height follows from it.
 FILTERS = 96
+# A vector that exceeds fewer filters than this takes its highest ones instead.
+LEAST_FILTERS = 24
 BLOCK = 512
 SEED = 11
 
@@ -59,7 +61,7 @@ def _scores(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.nd
 
 
 def decode(x: np.ndarray) -> list[np.ndarray]:
-    """All filters that each unit vector exceeds, as sorted numbers."""
+    """All filters that each unit vector exceeds, LEAST_FILTERS at least, as sorted numbers."""
     first, second, height = code(x.shape[1])
     out = []
     for a, b in zip(*_scores(x, first, second)):
@@ -67,7 +69,13 @@ def decode(x: np.ndarray) -> list[np.ndarray]:
         falling = -b[order]
         heads = np.flatnonzero(a >= height + falling[0])
         counts = np.searchsorted(falling, a[heads] - height, side="right")
-        tails = np.concatenate([order[:c] for c in counts]) if len(counts) else np.zeros(0, dtype=np.int64)
+        if counts.sum() < LEAST_FILTERS:
+            # The best sums are among the best words of both halves.
+            heads, tails = np.argsort(-a, kind="stable")[:LEAST_FILTERS], order[:LEAST_FILTERS]
+            best = np.argsort(-np.add.outer(a[heads], b[tails]).ravel(), kind="stable")[:LEAST_FILTERS]
+            out.append(np.sort(heads[best // len(tails)] * len(second) + tails[best % len(tails)]).astype(np.int32))
+            continue
+        tails = np.concatenate([order[:c] for c in counts])
         out.append(np.sort(np.repeat(heads, counts) * len(second) + tails).astype(np.int32))
     return out
 
