@@ -41,9 +41,18 @@ def test_unknown_depth_needs_confirmation(spark):
     assert got == [("IDLE", "MONITOR"), ("MONITOR", "INVESTIGATE"), ("INVESTIGATE", "ASSESS"), ("ASSESS", "ESCALATE")]
 
 
-def test_timeout_at_exactly_twelve_hours(spark):
+def test_evidence_in_the_tick_of_the_limit_counts_before_the_timeout(spark):
     assert run(spark, (0, 0, 6.0, 10.0), (1, 11.99, 0.1, None)) == [("IDLE", "MONITOR")]
-    assert run(spark, (0, 0, 6.0, 10.0), (1, 12, 0.9, None)) == [("IDLE", "MONITOR"), ("MONITOR", "IDLE")]
+    assert run(spark, (0, 0, 6.0, 10.0), (1, 12, 0.9, None)) == [("IDLE", "MONITOR"), ("MONITOR", "INVESTIGATE")]
+    assert run(spark, (0, 0, 6.0, 10.0), (1, 12, 0.1, None)) == [("IDLE", "MONITOR"), ("MONITOR", "IDLE")]
+
+
+def test_silence_ends_monitoring_at_the_limit(spark):
+    got = A.replay(spark.createDataFrame(log((0, 0, 6.0, 10.0), (1, 13, 0.9, None)), A.INPUT)).orderBy("step").collect()
+    assert [(r["from_state"], r["to_state"], r["ts_us"]) for r in got] == [("IDLE", "MONITOR", 0), ("MONITOR", "IDLE", 12 * HOUR)]
+    # A score at the first threshold keeps the event, and a trigger after the end starts the next one.
+    assert run(spark, (0, 0, 6.0, 10.0), (1, 1, 0.35, None), (1, 2, 0.2, None), (1, 13, 0.9, None))[-1] == ("MONITOR", "IDLE")
+    assert run(spark, (0, 0, 6.0, 10.0), (0, 12.5, 6.1, 10.0))[-2:] == [("MONITOR", "IDLE"), ("IDLE", "MONITOR")]
 
 
 def test_thresholds_are_inclusive_and_second_trigger_is_dropped(spark):

@@ -84,3 +84,23 @@ def test_forest_ranks_the_outlier_first(spark):
     assert forest.count() == 100
     scores = D.score_forest(df, forest, ["a", "b"]).orderBy(F.desc("ml_score")).toPandas()
     assert scores.iloc[0]["window_no"] == 7 and 0 <= scores["ml_score"].min() and scores["ml_score"].max() <= 1
+
+
+def test_drift_follows_the_parabola_and_ignores_a_burst(spark):
+    t = np.linspace(0, 30, 400)
+    y = 1 + 0.02 * t + 0.001 * t * t + 0.002 * np.sin(40 * t)
+    z = y.copy()
+    z[180:220] += 5
+    rows = [("a", int(h * 3.6e9), float(v), i + 1, 400) for i, (h, v) in enumerate(zip(t, z))]
+    rows += [("b", i * 60_000_000, 2.0, i + 1, 50) for i in range(50)] + [("c", 7, 3.0, 1, 1)]
+    numbered = spark.createDataFrame(rows, "k string, ts_us long, v double, rn long, n long")
+    got = T.drift_baseline(numbered, ["k"], "v").orderBy("k", "ts_us").toPandas()
+    a = got[got.k == "a"].baseline.to_numpy()
+    assert np.max(np.abs(a - (1 + 0.02 * t + 0.001 * t * t))) < 0.05
+    inner = slice(60, 180)
+    clean = np.delete(np.arange(400), np.arange(180, 220))
+    fit = np.polyval(np.polyfit(t[clean], z[clean], 2), t)
+    assert np.allclose(a[inner], fit[inner], atol=1e-6)
+    # At both ends the curve meets the median of the outermost rows.
+    assert np.isclose(a[0], np.median(z[:5])) and abs(a[-1] - np.median(z[-5:])) < 1e-3
+    assert np.allclose(got[got.k == "b"].baseline, 2.0) and np.allclose(got[got.k == "c"].baseline, 3.0)

@@ -6,7 +6,6 @@ import pytest
 from tidelattice.functions import signals as S
 from tidelattice.functions.tides import SPEEDS, basis_matrix, fit_robust
 from tidelattice.operators.inversion import nonnegative_weights
-from tidelattice.operators.tide import clipped_parabola
 
 
 @pytest.mark.parametrize("step", [15.0, 60.0])
@@ -107,11 +106,3 @@ def test_nonnegative_weights_meet_their_conditions():
     true = np.array([1.0, 0, 2.0, 0])
     h = rng.normal(size=(30, 4))
     assert np.allclose(nonnegative_weights(h.T @ h, h.T @ (h @ true)), true, atol=1e-8)
-
-
-def test_clipped_parabola_ignores_a_burst():
-    t = np.linspace(0, 30, 400)
-    y = 1 + 0.02 * t + 0.001 * t * t + 0.002 * np.sin(40 * t)
-    z = y.copy()
-    z[180:220] += 5
-    assert np.max(np.abs(clipped_parabola(t, z) - (1 + 0.02 * t + 0.001 * t * t))) < 0.05

@@ -69,8 +69,12 @@ class Machine:
     step: int = 0
 
     def apply(self, row) -> list[tuple]:
-        """Transitions one log row causes, in order."""
-        out = self._expire(row.ts_us)
+        """Transitions one log row causes, in order.
+
+        A limit that passed in an earlier tick has ended the event by now. In the tick
+        of the limit itself the tick's evidence counts first.
+        """
+        out = self.expire_before(row.tick * TICK_US)
         if row.rank == TRIGGER:
             return out + self._trigger(row)
         if row.rank == RESOLUTION:
@@ -80,7 +84,8 @@ class Machine:
         # Event-mode evidence older than the origin is not this event's evidence.
         self.confirmed |= pd.notna(row.event_mode_us) and row.event_mode_us >= self.trigger_us
         self.score = row.score
-        return out + self._evaluate(row.ts_us)
+        out += self._evaluate(row.ts_us)
+        return out + (self._expire(row.ts_us) if row.ts_us >= self.deadline_us() else [])
 
     def _move(self, ts_us: int, to: str, score: float | None, reason: str) -> tuple:
         moved = (self.step, int(ts_us), int(self.event_id), self.state, to, score, reason)
@@ -88,9 +93,16 @@ class Machine:
         self.state = to
         return moved
 
+    def deadline_us(self) -> int:
+        """When monitoring without evidence ends."""
+        return self.trigger_us + MONITOR_TIMEOUT_HOURS * 3_600_000_000
+
+    def expire_before(self, ts_us: int) -> list[tuple]:
+        """End a monitored event whose limit is in a tick that is over at `ts_us`."""
+        return self._expire(self.deadline_us()) if self.deadline_us() // TICK_US * TICK_US + TICK_US <= ts_us else []
+
     def _expire(self, ts_us: int) -> list[tuple]:
-        waited = ts_us - self.trigger_us >= MONITOR_TIMEOUT_HOURS * 3_600_000_000
-        if self.state != "MONITOR" or not waited or self.score >= T1:
+        if self.state != "MONITOR" or self.score >= T1:
             return []
         return [self._end(ts_us, self.score, "monitor timeout")]
 

@@ -17,8 +17,6 @@ from .adapters import EPOCH_2024_US, OBS, SCORES, observations, quakes, registry
 C = Catalog()
 STATION = ["source_type", "station_id"]
 CAL_END_US = EPOCH_2024_US + 10 * 86_400_000_000
-# Samples of one drift fit; a longer series is fitted in pieces of this length.
-BASELINE_ROWS = 5_000
 FIXED_FIT = [0.5] + [0.01 * (i + 1) for i in range(16)]
 
 HOURS = OBS + f""",
@@ -128,9 +126,7 @@ def tide_amplitudes(spark, sf_dir):
 @C.add("robust_baseline")
 def robust_baseline(spark, sf_dir):
     one = S.dedup_series(series(spark, sf_dir), ["station_id"], "first")
-    numbered = S.number_series(one, ["station_id"])
-    pieces = numbered.withColumn("piece", F.floor((F.col("rn") - 1) / BASELINE_ROWS).cast("long"))
-    return T.robust_baseline(pieces, ["station_id", "piece"], "value")
+    return T.drift_baseline(S.number_series(one, ["station_id"], total="n"), ["station_id"], "value")
 
 
 def features(spark, sf_dir):
