@@ -68,3 +68,13 @@ def test_both_percentile_paths_agree(spark, log):
     small = P.exact_percentiles(df, ["k"], "v", {"q": 0.31}).toPandas().sort_values("k")["q"].to_numpy()
     large = P.exact_percentiles(df, ["k"], "v", {"q": 0.31}, gather_limit=10).toPandas().sort_values("k")["q"].to_numpy()
     assert np.allclose(small, large)
+
+
+def test_both_percentile_paths_give_equal_bits(spark):
+    rng = np.random.default_rng(12)
+    data = pd.DataFrame({"k": rng.integers(0, 40, 6000), "v": np.round(rng.normal(size=6000), 3)})
+    df = spark.createDataFrame(data)
+    wanted = {"a": 0.1, "b": 0.5, "c": 0.9, "d": 1 / 3}
+    one = P.exact_percentiles(df, ["k"], "v", wanted).orderBy("k").collect()
+    two = P.exact_percentiles(df, ["k"], "v", wanted, gather_limit=1, accuracy=50).orderBy("k").select("k", *wanted).collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]

@@ -12,7 +12,6 @@ FILTER_ORDER = 4
 BAND_SHORT_SEC, BAND_LONG_SEC = 300.0, 7200.0
 WAVELET_LEVELS, WAVELET_LEVELS_FAST, FAST_SEC = 6, 8, 15.0
 HAZARD = 1.0 / 300.0
-MAX_RUNS = 600
 BURN_IN = 10
 # Daubechies-4 scaling filter.
 DB4 = np.array(
@@ -90,8 +89,11 @@ def wavelet_energy(signal: np.ndarray, step_sec: float) -> float:
     return energy
 
 
-def change_surprise(values: np.ndarray, lengths: np.ndarray, prior_precision: float = 1.0) -> np.ndarray:
-    """Negative log predictive density of each sample under run-length mixing, per row."""
+def change_surprise(values: np.ndarray, lengths: np.ndarray, prior_precision: float = 1.0, max_runs: int | None = None) -> np.ndarray:
+    """Negative log predictive density of each sample under run-length mixing, per row.
+
+    `max_runs` bounds the run lengths kept for each sample; by default all are.
+    """
     rows, width = values.shape
     counts = np.arange(width + 1)
     spread = np.array([math.lgamma((r + 3) / 2) - math.lgamma((r + 2) / 2) for r in counts])
@@ -114,9 +116,9 @@ def change_surprise(values: np.ndarray, lengths: np.ndarray, prior_precision: fl
         mean = np.concatenate([np.zeros((rows, 1)), (kappa * mean + x) / (kappa + 1)], axis=1)
         beta = np.concatenate([np.ones((rows, 1)), beta + 0.5 * kappa * off**2 / (kappa + 1)], axis=1)
         runs = np.concatenate([np.zeros((rows, 1), dtype=np.int64), runs + 1], axis=1)
-        if runs.shape[1] > MAX_RUNS:
+        if max_runs is not None and runs.shape[1] > max_runs:
             # The fresh run always stays; of the others the least likely one leaves.
-            order = np.argsort(-log_p[:, 1:], axis=1, kind="stable")[:, : MAX_RUNS - 1] + 1
+            order = np.argsort(-log_p[:, 1:], axis=1, kind="stable")[:, : max_runs - 1] + 1
             keep = np.concatenate([np.zeros((rows, 1), dtype=np.int64), np.sort(order, axis=1)], axis=1)
             log_p, mean, beta, runs = (np.take_along_axis(a, keep, axis=1) for a in (log_p, mean, beta, runs))
             top = log_p.max(axis=1, keepdims=True)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,7 +35,7 @@ PROPER_NOUNS = (
 DISCLAIMER = "Non-authoritative situational awareness. Not an official NOAA tsunami message."
 # Joiners that build one word, letters that look alike, shapes read as another letter,
 # and characters that show nothing.
-JOINERS = "-_/.:~|\u2010\u2011\u2012\u2013\u2014\u2015\u2017\u2043\u2212\u2e17\u2e3a\u2e3b\u2215\u2044\u29f8\ua789\u02d0\u0589\u05c3\u2e2e\u30fb\u00b7\u00b7\u2022\u2e31\u00a6"
+JOINERS = "-_/.:~|\u2010\u2011\u2012\u2013\u2014\u2015\u2017\u2043\u2212\u2e17\u2e3a\u2e3b\u2215\u2044\u29f8\ua789\u02d0\u0589\u05c3\u2e2e\u30fb\u00b7\u2022\u2e31\u00a6"
 LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "м": "m", "н": "n", "і": "i", "ѕ": "s",
@@ -72,28 +72,52 @@ _UNSEEN = re.compile("[\ufe00-\ufe0f\U000e0100-\U000e01ef" + INVISIBLE + _class_
 _MARKS = re.compile("[" + _class_of(unicodedata.combining) + "]")
 
 
-def _plural(word: str) -> str:
-    if word.endswith("y"):
-        return f"{word[:-1]}(?:y|ies)"
-    return f"{word}(?:es)?" if word.endswith(("s", "x", "z", "ch", "sh")) else f"{word}s?"
+# Accepted forms of the last word of a term or name.
+WORD_FORMS = {
+    "Warning": ("warning", "warnings"),
+    "Advisory": ("advisory", "advisories"),
+    "Watch": ("watch", "watches"),
+    "Statement": ("statement", "statements"),
+    "Message": ("message", "messages"),
+    "Cancellation": ("cancellation", "cancellations"),
+    "Clear": ("clear", "clears"),
+    "Bulletin": ("bulletin", "bulletins"),
+    "Center": ("center", "centers"),
+    "Board": ("board", "boards"),
+}
+_SEPARATOR = r"(?:\s+|[" + re.escape(JOINERS) + r"]+)?"
+_BETWEEN = re.compile(r"[\s" + re.escape(JOINERS) + "]+")
 
 
-def _phrase(term: str, separator: str) -> str:
-    *head, last = term.split()
-    return separator.join([*head, _plural(last)])
+def written_forms(term: str) -> list[list[str]]:
+    """The words of a term in lower case, once for each form of the last word."""
+    words = term.split()
+    return [[w.lower() for w in words[:-1]] + [form] for form in WORD_FORMS[words[-1]]]
 
 
-_SEPARATOR = r"(?:\s+|[" + re.escape(JOINERS) + r"]+)?"
+class _Finder:
+    """Finds written forms and names the term of each, by the letters that matched."""
 
+    def __init__(self, terms: Iterable[str], respell: Callable[[str], str] = str) -> None:
+        self.term_of: dict[str, str] = {}
+        spelled = []
+        for term in terms:
+            for words in written_forms(term):
+                # Shapes are read off the term as it is written, in either case.
+                for shown in {respell(" ".join(words)), respell(" ".join(w.capitalize() for w in words))}:
+                    self.term_of[shown.replace(" ", "").lower()] = term
+                    spelled.append(_SEPARATOR.join(map(re.escape, shown.split())))
+        spelled.sort(key=len, reverse=True)
+        self.pattern = re.compile(rf"\b(?:{'|'.join(spelled)})\b", re.IGNORECASE)
 
-def _any_of(terms: Iterable[str]) -> re.Pattern[str]:
-    """One pattern with a group per term, so a text is read once for all of them."""
-    return re.compile(r"\b(?:" + "|".join(f"({_phrase(t, _SEPARATOR)})" for t in terms) + r")\b", re.IGNORECASE)
+    def __call__(self, text: str) -> list[tuple[str, int, int]]:
+        """(term, start, end)"""
+        return [(self.term_of[_BETWEEN.sub("", m[0]).lower()], *m.span()) for m in self.pattern.finditer(text)]
 
 
-_PLAIN = _any_of(RESERVED_TERMS)
-_SHAPED = _any_of(t.translate(_SHAPE) for t in RESERVED_TERMS)
-_NOUNS = _any_of(PROPER_NOUNS[::-1])
+_PLAIN = _Finder(RESERVED_TERMS)
+_SHAPED = _Finder(RESERVED_TERMS, lambda t: t.translate(_SHAPE))
+_NOUNS = _Finder(PROPER_NOUNS)
 
 
 def strip_invisible(text: str) -> str:
@@ -120,23 +144,29 @@ def find_terms(text: str) -> tuple[list[tuple[str, int, str]], bool]:
     settled: set[str] = set()
     for view in (first,) if second == first else (first, second):
         shaped = view.translate(_SHAPE)
-        matches = [(RESERVED_TERMS[m.lastindex - 1], m.span()) for p, v in ((_PLAIN, view), (_SHAPED, shaped)) for m in p.finditer(v)]
+        matches = [*_PLAIN(view), *_SHAPED(shaped)]
         if not matches:
             continue
-        excused = {i for v in (view, shaped) for m in _NOUNS.finditer(v) for i in range(*m.span())}
-        for term, (start, end) in matches:
+        excused = {i for v in (view, shaped) for _, start, end in _NOUNS(v) for i in range(start, end)}
+        for term, start, end in matches:
             # The second view only adds terms the first one neither reported nor excused.
             if term not in settled and excused.isdisjoint(range(start, end)):
                 hits.setdefault((term, start), view[max(0, start - CONTEXT_CHARS) : end + CONTEXT_CHARS])
-        settled |= {term for term, _ in matches}
+        settled |= {term for term, _, _ in matches}
     found = sorted((position, term, context) for (term, position), context in hits.items())
     return [(term, position, context) for position, term, context in found], DISCLAIMER in first
 
 
 # Java and RE2 read this the same way; proper nouns come first so they swallow the term inside them.
 _ASCII_SEPARATOR = r"(?:\s+|[-_/.:~|]+)?"
-_ASCII_NOUN = "|".join(_phrase(t.lower(), _ASCII_SEPARATOR) for t in ("Tsunami Warning Center", "Tsunami Bulletin Board"))
-_ASCII_TERM = "|".join(_phrase(t.lower(), _ASCII_SEPARATOR) for t in RESERVED_TERMS)
+
+
+def _ascii(terms: Iterable[str], respell: Callable[[str], str] = str) -> str:
+    return "|".join(_ASCII_SEPARATOR.join(respell(w) for w in words) for t in terms for words in written_forms(t)[::-1])
+
+
+_ASCII_NOUN = _ascii(("Tsunami Warning Center", "Tsunami Bulletin Board"))
+_ASCII_TERM = _ascii(RESERVED_TERMS)
 ASCII_PATTERN = rf"(?i)\b(?:{_ASCII_NOUN}|({_ASCII_TERM}))\b"
 
 
@@ -149,7 +179,7 @@ def may_hold_term(text: Column) -> Column:
     """False only for texts no term can be in: ASCII, and no match as it is or by shape."""
     plain = text.rlike(rf"(?i)\b(?:{_ASCII_TERM})\b")
     shaped = F.translate(text, "".join(SHAPES), "".join(SHAPES.values())).rlike(
-        rf"(?i)\b(?:{'|'.join(_phrase(t.translate(_SHAPE).lower(), _ASCII_SEPARATOR) for t in RESERVED_TERMS)})\b"
+        rf"(?i)\b(?:{_ascii(RESERVED_TERMS, lambda w: w.capitalize().translate(_SHAPE).lower())}|{_ascii(RESERVED_TERMS, lambda w: w.translate(_SHAPE))})\b"
     )
     return text.rlike(r"[^\x00-\x7F]") | plain | shaped
 

@@ -188,22 +188,25 @@ def confirmation_timeline(bound: DataFrame) -> DataFrame:
     return first.withColumn("n_stations", F.row_number().over(along))
 
 
-def escalations(transitions: DataFrame, scores: DataFrame, refs: DataFrame, max_refs: int) -> DataFrame:
-    """Packets: each step into ESCALATE with the event's timeline, best station and input references."""
+def escalations(transitions: DataFrame, scores: DataFrame, refs: DataFrame) -> DataFrame:
+    """Packets: each step into ESCALATE with the event's timeline, best station and number of input references."""
     steps = transitions.groupBy("basin", "event_id").agg(
         F.array_sort(F.collect_list(F.struct("step", "from_state", "to_state", "ts_us"))).alias("timeline"),
         F.min(F.when(F.col("to_state") == "ESCALATE", F.col("ts_us"))).alias("escalated_us"),
     ).where(F.col("escalated_us").isNotNull())
     tick = F.floor(F.col("escalated_us") / TICK_US).cast("long")
     best = scores.groupBy("basin", F.floor(F.col("ts_us") / TICK_US).cast("long").alias("tick")).agg(best_station().alias("best"))
-    ranked = Window.partitionBy("event_id").orderBy("source_rank", "payload_hash")
-    kept = refs.dropDuplicates(["event_id", "payload_hash"]).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= max_refs)
-    listed = kept.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("source_rank", "payload_hash"))).alias("input_refs"))
-    out = steps.withColumn("tick", tick).join(best, ["basin", "tick"], "left").join(listed, "event_id", "left")
+    counted = escalation_refs(refs).groupBy("event_id").agg(F.count(F.lit(1)).alias("n_refs"))
+    out = steps.withColumn("tick", tick).join(best, ["basin", "tick"], "left").join(counted, "event_id", "left")
     packet = F.to_json(F.struct("event_id", "escalated_us", "timeline"))
     return out.withColumn("packet_hash", F.sha2(packet, 256)).drop("tick")
 
 
+def escalation_refs(refs: DataFrame) -> DataFrame:
+    """All input references of the packets, one row per event and hash, seismic sources first."""
+    return refs.groupBy("event_id", "payload_hash").agg(F.min("source_rank").alias("source_rank"))
+
+
 def best_station() -> Column:
     """Aggregate: the highest score; ties go to the first source and station in order."""
     return F.min(F.struct((-F.col("score")).alias("neg_score"), F.col("source_type"), F.col("station_id")))

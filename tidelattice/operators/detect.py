@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from ..functions import scores as score
 from ..functions import signals
 from ..functions.tides import basis_matrix, fit_robust
-from ..schemas import WINDOW_CAP, WINDOW_HOURS, WINDOW_MIN_SAMPLES
-from .partitioned import broadcast_if_small, number_rows, time_bucket
+from ..schemas import WINDOW_HOURS, WINDOW_MIN_SAMPLES
+from .partitioned import broadcast_if_small
 
 STATION = ["source_type", "station_id"]
 SLICE = 64
@@ -45,17 +45,14 @@ FEATURES = T.StructType(
 )
 
 
-def collect_windows(df: DataFrame, value: str = "value_m", hours: int = WINDOW_HOURS, cap: int = WINDOW_CAP) -> DataFrame:
-    """One row per (station, window) holding its samples in time order, one per instant."""
+def collect_windows(df: DataFrame, value: str = "value_m", hours: int = WINDOW_HOURS) -> DataFrame:
+    """One row per (station, window) holding all its samples in time order, one per instant."""
     width = hours * 3_600_000_000
     single = df.groupBy(*STATION, "ts_us").agg(F.min_by(value, "seq").alias("_v"))
     placed = single.withColumn("window_no", F.floor(F.col("ts_us") / width).cast("long"))
-    # Numbered from the newest back in quarter-hour pieces, so not even one window is sorted whole.
-    backwards = placed.withColumn("_age", -F.col("ts_us"))
-    kept = number_rows(backwards, [*STATION, "window_no"], ["_age"], time_bucket("_age", 900), "_back").where(F.col("_back") <= cap)
     # A fixed number of partitions keeps the costly detector pass on all cores.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return kept.repartition(parts, *STATION, "window_no").groupBy(*STATION, "window_no").agg(
+    return placed.repartition(parts, *STATION, "window_no").groupBy(*STATION, "window_no").agg(
         F.array_sort(F.collect_list(F.struct("ts_us", "_v"))).alias("_s"), F.max("ts_us").alias("window_end_us")
     ).select(*STATION, "window_no", "window_end_us", F.col("_s.ts_us").alias("times"), F.col("_s._v").alias("samples"))
 
@@ -225,5 +222,5 @@ def score_forest(features: DataFrame, forest: DataFrame, columns: Sequence[str],
         return pd.Series(-np.power(2.0, -path(np.column_stack([c.to_numpy(dtype=float) for c in cols])) / scale))
 
     raw = features.withColumn("_raw", isolation(*[F.col(c) for c in columns]))
-    offset = raw.agg(F.percentile_approx("_raw", contamination, 10_000)).scalar()
+    offset = raw.agg(F.percentile("_raw", contamination)).scalar()
     return raw.withColumn("ml_score", score.forest_score_map(F.col("_raw") - offset)).drop("_raw")

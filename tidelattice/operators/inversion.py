@@ -19,9 +19,6 @@ from .partitioned import exact_percentiles
 
 ACTIVE_ABOVE = 1e-10
 SHIFT_CONCERN = 0.30
-MAX_LEFT_OUT = 50
-MIN_SHARE = 0.01
-MAX_PATTERNS = 5
 
 
 def pairs(k: int) -> list[tuple[int, int]]:
@@ -162,8 +159,6 @@ def bootstrap_inversion(blocks: DataFrame, k: int, iterations: int = 500, seed:
 
 def leave_one_out(blocks: DataFrame, k: int) -> DataFrame:
     """Stability of the active sources when each source is left out in turn."""
-    if k > MAX_LEFT_OUT:
-        raise ValueError(f"leave-one-out is not run above {MAX_LEFT_OUT} sources")
     total = sum_blocks(blocks, ["event_id"], k)
     cases = total.withColumn("dropped", F.explode(F.array(*[F.lit(i) for i in range(-1, k)])))
     weights = cases.select("event_id", "dropped", solved_weights("gram", "rhs", "dropped").alias("w"))
@@ -195,7 +190,10 @@ def leave_one_out(blocks: DataFrame, k: int) -> DataFrame:
 
 
 def pattern_posterior(samples: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
-    """Resampled solutions grouped by active sources: share, mean weights and misfit, best five per event."""
+    """Resampled solutions grouped by active sources: share, mean weights and misfit, all ranked.
+
+    Without `totals` the misfit is null.
+    """
     index = F.sequence(F.lit(0), F.lit(k - 1))
     active = F.array_join(F.transform(F.filter(index, lambda i: F.col("weights")[i] > ACTIVE_ABOVE), lambda i: i.cast("string")), ",")
     means = [F.avg(F.col("weights")[i]).alias(f"_w{i}") for i in range(k)]
@@ -203,19 +201,15 @@ def pattern_posterior(samples: DataFrame, k: int, totals: DataFrame | None = Non
     groups = samples.groupBy("event_id", active.alias("active")).agg(F.count(F.lit(1)).alias("n_iterations"), *means)
     packed = F.array(*[F.col(f"_w{i}") for i in range(k)]).alias("weights")
     shares = groups.join(sizes.select("event_id", "n_all"), "event_id").withColumn("share", F.col("n_iterations") / F.col("n_all"))
-    frequent = shares.where(F.col("share") >= MIN_SHARE).select("event_id", "active", "share", packed)
-    lonely = sizes.join(frequent.select("event_id").distinct(), "event_id", "left_anti").select(
-        "event_id", F.lit("overall mean").alias("active"), F.lit(1.0).alias("share"), packed
-    )
-    listed = frequent.unionByName(lonely)
+    listed = shares.select("event_id", "active", "share", packed)
     if totals is None:
-        fitted = listed.withColumn("rmse_cm", F.lit(0.0))
+        fitted = listed.withColumn("rmse_cm", F.lit(None).cast("double"))
     else:
         known = listed.join(totals.select("event_id", "gram", "rhs", "dd", "n"), "event_id")
         misfit = quadratic_misfit(F.col("gram"), F.col("rhs"), F.col("dd"), F.col("weights"), k)
         fitted = known.withColumn("rmse_cm", F.sqrt(misfit / F.col("n")) * 100).drop("gram", "rhs", "dd", "n")
     best = Window.partitionBy("event_id").orderBy(F.desc("share"), "rmse_cm", "active")
-    return fitted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MAX_PATTERNS)
+    return fitted.withColumn("rank", F.row_number().over(best))
 
 
 def coastal_proxies(weights: DataFrame, factors: DataFrame, tides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import latest_by
-from .partitioned import broadcast_if_small, number_rows
+from .partitioned import broadcast_if_small, number_rows, time_bucket
 
 NO_TRACE = "__no_trace__"
 DIGEST_BLOCK = 10_000
@@ -52,18 +52,14 @@ def audit_page(audit: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return audit.orderBy(F.desc("recorded_us"), F.desc("audit_id")).offset(offset).limit(limit)
 
 
-def lineage_by_trace(audit: DataFrame, cap: int, bucket: Column) -> DataFrame:
-    """Entries of each trace in time order, at most `cap`, and whether that cut it.
+def lineage_by_trace(audit: DataFrame, bucket: Column) -> DataFrame:
+    """All entries of each trace, numbered in time order, with the size of the trace.
 
     Entries without a trace form one group that may be most of the log; they are
     ranked per time bucket first, so no group is sorted or gathered whole.
     """
     named = audit.withColumn("trace", F.coalesce("trace_id", F.lit(NO_TRACE)))
-    numbered = number_rows(named, ["trace"], ["recorded_us", "audit_id"], bucket, "rn", "n")
-    head = numbered.where(F.col("rn") <= cap)
-    return head.groupBy("trace", F.col("n").alias("entry_count")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "audit_id", "event_type"))), lambda x: x["audit_id"]).alias("audit_ids")
-    ).withColumn("truncated", F.col("entry_count") >= cap)
+    return number_rows(named, ["trace"], ["recorded_us", "audit_id"], bucket, "position", "entry_count")
 
 
 def activity_report(audit: DataFrame, key: str) -> DataFrame:
@@ -122,26 +118,21 @@ def packet_of_record(packets: DataFrame, assessed: DataFrame) -> DataFrame:
     return best.select("event_id", "_b.assessment_id", (-F.col("_b.r")).alias("renderer"), "_b.packet_id")
 
 
-def event_provenance(bound: DataFrame, cap: int) -> DataFrame:
-    """Each input hash once per event, the first `cap` in time order, and whether more existed."""
+def event_provenance(bound: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+    """Each input hash once per event, ranked by first use, with the number of hashes of the event."""
     once = bound.groupBy("event_id", "payload_hash").agg(F.min("ts_us").alias("first_us"))
-    ranked = Window.partitionBy("event_id").orderBy("first_us", "payload_hash")
-    kept = once.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= cap)
-    sizes = once.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_hashes"))
-    return kept.join(sizes, "event_id").withColumn("capped", F.col("n_hashes") > cap)
+    return number_rows(once, ["event_id"], ["first_us", "payload_hash"], time_bucket("first_us", bucket_seconds), "rank", "n_hashes")
 
 
-def similar_events(events: DataFrame, history: DataFrame, k: int = 3, max_history: int = 10_000) -> DataFrame:
-    """The k historical events nearest in magnitude.
+def similar_events(events: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
+    """The k historical events nearest in magnitude; ties go to the earlier position.
 
-    History is a small catalogue; its size is checked, and it travels as one
-    sorted array so every event is answered inside its own row.
+    Each distinct magnitude is answered once, in one row, and joined back.
     """
-    if history.limit(max_history + 1).count() > max_history:
-        raise ValueError(f"the historical catalogue has more than {max_history} events")
     catalogue = history.agg(F.array_sort(F.collect_list(F.struct("position", "name", "mw")))).scalar()
     ranked = F.array_sort(
         F.transform("_catalogue", lambda h: F.struct(F.round(F.abs(h["mw"] - F.col("magnitude")), 9).alias("d"), h["position"].alias("p"), h["name"].alias("name")))
     )
-    near = events.withColumn("_catalogue", catalogue).withColumn("_n", F.slice(ranked, 1, k))
-    return near.select("event_id", F.posexplode("_n").alias("rank", "_h")).select("event_id", "rank", "_h.name", F.col("_h.d").alias("difference"))
+    near = events.select("magnitude").distinct().withColumn("_catalogue", catalogue).withColumn("_n", F.slice(ranked, 1, k))
+    rows = near.select("magnitude", F.posexplode("_n").alias("rank", "_h")).select("magnitude", "rank", "_h.name", F.col("_h.d").alias("difference"))
+    return events.select("event_id", "magnitude").join(rows, "magnitude").drop("magnitude")

@@ -216,7 +216,9 @@ def ranked_percentiles(
     found = ends.groupBy(*keys, "_n").agg(*picks)
     out = []
     for i, (name, p) in enumerate(probabilities.items()):
-        part = (F.col("_n") - 1) * F.lit(p)
-        part = part - F.floor(part)
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(name))
+        # The same two-weight form as the engine's own percentile, so both paths give equal bits.
+        place = (F.col("_n") - 1) * F.lit(p)
+        low, high = F.floor(place), F.ceil(place)
+        mixed = (high - place) * F.col(f"_lo{i}") + (place - low) * F.col(f"_hi{i}")
+        out.append(F.when((low == high) | (F.col(f"_lo{i}") == F.col(f"_hi{i}")), F.col(f"_lo{i}")).otherwise(mixed).alias(name))
     return found.select(*keys, *out)

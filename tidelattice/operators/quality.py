@@ -20,7 +20,7 @@ from ..schemas import (
     USABLE_CONFIDENCE,
     WINDOW_HOURS,
 )
-from .partitioned import BUCKET, _carry, exact_percentiles, time_bucket, with_previous
+from .partitioned import BUCKET, _carry, exact_percentiles, settle, time_bucket, with_previous
 
 STATION = ["source_type", "station_id"]
 CHECKS = ["timing", "range", "rate_of_change", "spike", "flat_line"]
@@ -208,23 +208,13 @@ def retained_window_summary(flagged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def record_hashes(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """Distinct well-formed hashes per key, sorted, at most `cap`, with a capped flag.
-
-    The cap is the report's own; ranks are taken before anything is collected.
-    """
+def record_hashes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All distinct well-formed hashes, one row each, with their number per key."""
     from ..functions.hashing import is_sha256
 
     distinct = df.where(is_sha256(F.col("payload_hash"))).groupBy(*keys, "payload_hash").agg(F.lit(1).alias("_one"))
-    # Two-level rank: keep the first `cap` of every hash prefix, then the first `cap` overall.
-    prefix = F.substring("payload_hash", 1, 2)
-    local = Window.partitionBy(*keys, "_p").orderBy("payload_hash")
-    head = distinct.withColumn("_p", prefix).withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= cap)
-    whole = Window.partitionBy(*keys).orderBy("payload_hash")
-    kept = head.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= cap)
     total = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
-    listed = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("payload_hash")).alias("refs"))
-    return listed.join(total, keys).withColumn("capped", F.col("n_distinct") > cap)
+    return distinct.drop("_one").join(settle(total), keys)
 
 
 def cadence(df: DataFrame, keys: list[str], bucket_seconds: int = 86_400) -> DataFrame:

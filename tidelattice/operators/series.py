@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import GAP_FACTOR, HAMPEL_HALF, HAMPEL_SIGMAS, LEVEL_SAMPLES, MAD_SCALE, WINDOW_CAP, WINDOW_HOURS, WINDOW_MIN_SAMPLES
+from ..schemas import GAP_FACTOR, HAMPEL_HALF, HAMPEL_SIGMAS, LEVEL_SAMPLES, MAD_SCALE, WINDOW_HOURS, WINDOW_MIN_SAMPLES
 from ..session import cut_lineage
 from .partitioned import exact_percentiles, number_rows, running_sum, settle, time_bucket, with_halo, with_previous
 
@@ -135,10 +135,7 @@ def rolling_window(df: DataFrame, keys: Sequence[str], value: str = "value_m") -
     recent = df.join(settle(newest), list(keys)).where(F.col("ts_us") >= F.col("_ref") - WINDOW_HOURS * 3_600_000_000)
     single = recent.groupBy(*keys, "ts_us").agg(F.min_by(value, "seq").alias(value))
     numbered = number_rows(single, keys, ["ts_us"], time_bucket("ts_us", 900), "rn", "n")
-    kept = numbered.where(F.col("rn") > F.col("n") - WINDOW_CAP)
-    return kept.withColumn("n_samples", F.least("n", F.lit(WINDOW_CAP))).withColumn(
-        "sufficient", F.col("n_samples") >= WINDOW_MIN_SAMPLES
-    ).drop("rn", "n")
+    return numbered.withColumnRenamed("n", "n_samples").withColumn("sufficient", F.col("n_samples") >= WINDOW_MIN_SAMPLES).drop("rn")
 
 
 def sample_windows(df: DataFrame, keys: Sequence[str], hours: float, bucket_seconds: int = DAY) -> DataFrame:

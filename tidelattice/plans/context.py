@@ -135,7 +135,7 @@ def spatial_coherence(spark, sf_dir):
 @C.add(
     "bind_to_event",
     with_cte(OBS, ZQUAKES, body="""SELECT o.seq, t.event_id, t.trigger_us FROM (SELECT *, seq % 5 AS basin FROM obs) o ASOF LEFT JOIN (
-  SELECT event_id % 5 AS basin, origin_us AS trigger_us, max(event_id) AS event_id FROM zquakes WHERE magnitude >= 8.3 GROUP BY 1, 2) t
+  SELECT event_id % 5 AS basin, origin_us AS trigger_us, max(event_id) AS event_id FROM zquakes WHERE magnitude >= 6.0 GROUP BY 1, 2) t
   ON o.basin = t.basin AND o.ts_us >= t.trigger_us""").replace(
         "SELECT o.seq, t.event_id, t.trigger_us",
         "SELECT o.seq, CASE WHEN o.ts_us < t.trigger_us + 43200000000 THEN t.event_id END AS event_id,\n"
@@ -144,7 +144,7 @@ def spatial_coherence(spark, sf_dir):
 )
 def bind_to_event(spark, sf_dir):
     rows = observations(spark, sf_dir).select("seq", "ts_us", (F.col("seq") % 5).alias("basin"))
-    triggers = zoned_quakes(spark, sf_dir).where(F.col("magnitude") >= 8.3).select(
+    triggers = zoned_quakes(spark, sf_dir).where(F.col("magnitude") >= 6.0).select(
         (F.col("event_id") % 5).alias("basin"), F.col("origin_us").alias("trigger_us"), "event_id"
     )
     out = J.bind_to_event(rows, triggers, ["basin"], 43_200_000_000, ["seq"], 3_600_000_000)
@@ -172,10 +172,10 @@ def sources(spark, sf_dir):
     with_cte(QUAKES, SOURCES, body=f"""SELECT event_id, source_id, round(km, 4) AS km, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY km, source_id) AS rank FROM (
     SELECT q.event_id, s.source_id, {haversine_sql('q.lat', 'q.lon', 's.lat', 's.lon')} AS km
-    FROM quakes q JOIN sources s ON s.lat BETWEEN q.lat - 5 AND q.lat + 5 WHERE q.magnitude >= 7.5) WHERE km <= 500) WHERE rank <= 45"""),
+    FROM quakes q JOIN sources s ON s.lat BETWEEN q.lat - 5 AND q.lat + 5 WHERE q.magnitude >= 6.0) WHERE km <= 500) WHERE rank <= 45"""),
 )
 def nearest_sources(spark, sf_dir):
-    big = spread(quakes(spark, sf_dir)).where(F.col("magnitude") >= 7.5)
+    big = spread(quakes(spark, sf_dir)).where(F.col("magnitude") >= 6.0)
     out = J.nearest_sources(big, sources(spark, sf_dir))
     return out.select("event_id", "source_id", F.round("km", 4).alias("km"), F.col("rank").cast("long").alias("rank"))
 

@@ -264,12 +264,12 @@ def alert_state_machine(spark, sf_dir):
     "confirmation_latch",
     with_cte(SCORES, ZQUAKES, body="""SELECT event_id, station_id, confirmed_us, row_number() OVER (PARTITION BY event_id ORDER BY confirmed_us, station_id) AS n_stations FROM (
   SELECT t.event_id, s.station_id, min(s.ts_us) AS confirmed_us FROM scores s ASOF JOIN (
-    SELECT event_id % 5 AS basin, origin_us AS trigger_us, max(event_id) AS event_id FROM zquakes WHERE magnitude >= 7.5 AND zone <> 'unknown' GROUP BY 1, 2) t
+    SELECT event_id % 5 AS basin, origin_us AS trigger_us, max(event_id) AS event_id FROM zquakes WHERE magnitude >= 6.0 AND zone <> 'unknown' GROUP BY 1, 2) t
     ON s.basin = t.basin AND s.ts_us >= t.trigger_us WHERE s.ts_us < t.trigger_us + 43200000000 AND s.window_id % 7 = 0 GROUP BY 1, 2)"""),
 )
 def confirmation_latch(spark, sf_dir):
     rows = scores(spark, sf_dir).select("basin", "ts_us", "station_id", "window_id", (F.col("window_id") % 7 == 0).alias("event_mode"))
-    marks = basin_quakes(spark, sf_dir).where((F.col("magnitude") >= 7.5) & (F.col("zone") != "unknown")).select(
+    marks = basin_quakes(spark, sf_dir).where((F.col("magnitude") >= 6.0) & (F.col("zone") != "unknown")).select(
         "basin", F.col("origin_us").alias("trigger_us"), "event_id"
     )
     bound = J.bind_to_event(rows, marks, ["basin"], 43_200_000_000, ["window_id"], 3_600_000_000)
@@ -284,9 +284,9 @@ def escalations(spark, sf_dir):
     marks = moved.where(F.col("from_state") == "IDLE").select("basin", F.col("ts_us").alias("trigger_us"), "event_id")
     bound = J.bind_to_event(obs, marks, ["basin"], 43_200_000_000, ["seq"], 3_600_000_000)
     refs = bound.where(F.col("event_id").isNotNull()).select("event_id", F.lit(1).alias("source_rank"), "payload_hash")
-    return A.escalations(moved, basin_scores(spark, sf_dir), refs, 1000).select(
+    return A.escalations(moved, basin_scores(spark, sf_dir), refs).select(
         "basin", "event_id", "escalated_us", F.size("timeline").alias("n_steps"), "best.source_type", "best.station_id",
-        F.size("input_refs").alias("n_refs"), "packet_hash",
+        "n_refs", "packet_hash",
     )
 
 

@@ -102,7 +102,7 @@ def wide_weights(spark, sf_dir):
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY share DESC, active) AS rank FROM (
     SELECT event_id, active, count(*) / max(n_all) AS share, """ + " + ".join(f"avg(w{i})" for i in range(6)) + """ AS total FROM (
       SELECT *, count(*) OVER (PARTITION BY event_id) AS n_all, concat_ws(',', """ + ", ".join(f"CASE WHEN w{i} > 1e-10 THEN '{i}' END" for i in range(6)) + """) AS active FROM wide)
-    GROUP BY 1, 2 HAVING count(*) / max(n_all) >= 0.01::DOUBLE)) WHERE rank <= 5"""),
+    GROUP BY 1, 2))"""),
 )
 def pattern_posterior(spark, sf_dir):
     out = I.pattern_posterior(wide_weights(spark, sf_dir), 6)

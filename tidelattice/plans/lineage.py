@@ -337,13 +337,13 @@ def activity_report(spark, sf_dir):
 
 @C.add(
     "lineage_by_event",
-    with_cte(AUDIT, body="""SELECT trace, max(n) AS entry_count, max(n) >= 200 AS truncated, string_agg(audit_id, ',' ORDER BY rn) AS audit_ids FROM (
-  SELECT coalesce(trace_id, '__no_trace__') AS trace, audit_id, row_number() OVER (PARTITION BY coalesce(trace_id, '__no_trace__') ORDER BY recorded_us, audit_id) AS rn,
-    count(*) OVER (PARTITION BY coalesce(trace_id, '__no_trace__')) AS n FROM audit) WHERE rn <= 200 GROUP BY 1"""),
+    with_cte(AUDIT, body="""SELECT coalesce(trace_id, '__no_trace__') AS trace, audit_id, event_type,
+  row_number() OVER (PARTITION BY coalesce(trace_id, '__no_trace__') ORDER BY recorded_us, audit_id) AS position,
+  count(*) OVER (PARTITION BY coalesce(trace_id, '__no_trace__')) AS entry_count FROM audit"""),
 )
 def lineage_by_event(spark, sf_dir):
-    out = L.lineage_by_trace(audit(spark, sf_dir), 200, time_bucket("recorded_us", 3_600))
-    return out.withColumn("audit_ids", F.array_join(F.transform("audit_ids", lambda x: x.cast("string")), ","))
+    out = L.lineage_by_trace(audit(spark, sf_dir), time_bucket("recorded_us", 3_600))
+    return out.select("trace", "audit_id", "event_type", "position", "entry_count")
 
 
 MESSAGES = """msg AS (SELECT event_type AS topic, CAST(user_id % 4 AS INT) AS "partition", event_id AS "offset", event_id % 10 = 3 AS rejected, epoch_us(ts) // 86400000000 AS day FROM events),
@@ -427,13 +427,13 @@ def latest_per_key(spark, sf_dir):
 
 @C.add(
     "event_provenance",
-    with_cte(OBS, body="""SELECT event_id, payload_hash, first_us, rank, n_hashes, n_hashes > 1000 AS capped FROM (
+    with_cte(OBS, body="""SELECT event_id, payload_hash, first_us, rank, n_hashes FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY first_us, payload_hash) AS rank, count(*) OVER (PARTITION BY event_id) AS n_hashes FROM (
-    SELECT seq % 5 AS event_id, payload_hash, min(ts_us) AS first_us FROM obs GROUP BY 1, 2)) WHERE rank <= 1000"""),
+    SELECT seq % 5 AS event_id, payload_hash, min(ts_us) AS first_us FROM obs GROUP BY 1, 2))"""),
 )
 def event_provenance(spark, sf_dir):
     bound = observations(spark, sf_dir).select((F.col("seq") % 5).alias("event_id"), "payload_hash", "ts_us")
-    return L.event_provenance(bound, 1000).withColumn("rank", F.col("rank").cast("long"))
+    return L.event_provenance(bound).select("event_id", "payload_hash", "first_us", "rank", "n_hashes")
 
 
 @C.add(

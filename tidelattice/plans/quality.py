@@ -218,13 +218,11 @@ def retained_window_qc(spark, sf_dir):
 
 @C.add(
     "input_refs",
-    with_cte(OBS, body="""SELECT source_type, station_id, count(*) AS n_distinct, count(*) > 1000 AS capped,
-  least(count(*), 1000) AS n_refs, array_to_string(list_sort(list(payload_hash))[1:1000], ',') AS refs
-FROM (SELECT DISTINCT source_type, station_id, payload_hash FROM obs) GROUP BY 1, 2"""),
+    with_cte(OBS, body="""SELECT source_type, station_id, payload_hash, count(*) OVER (PARTITION BY source_type, station_id) AS n_distinct
+FROM (SELECT DISTINCT source_type, station_id, payload_hash FROM obs)"""),
 )
 def input_refs(spark, sf_dir):
-    refs = Q.record_hashes(observations(spark, sf_dir), Q.STATION, 1000)
-    return refs.select(*Q.STATION, "n_distinct", "capped", F.size("refs").cast("long").alias("n_refs"), F.array_join("refs", ",").alias("refs"))
+    return Q.record_hashes(observations(spark, sf_dir), Q.STATION).select(*Q.STATION, "payload_hash", "n_distinct")
 
 
 @C.add(

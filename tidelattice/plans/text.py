@@ -43,14 +43,14 @@ plain AS (SELECT origin, id, regexp_replace(body, '[^\\x00-\\x7F]', 'x', 'g') AS
 hits AS (SELECT origin, id, list_filter(regexp_extract_all(body, '{_PATTERN_SQL}', 1), lambda x: x <> '') AS hits FROM plain)"""
 
 
-def texts(spark, sf_dir):
+def texts(spark, sf_dir, count=8):
     docs = table(spark, sf_dir, "documents").select(
-        F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), marked_text(F.col("text"), F.col("doc_id")).alias("body")
+        F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), marked_text(F.col("text"), F.col("doc_id"), count).alias("body")
     )
     talks = table(spark, sf_dir, "conversations").select(
-        F.lit("conversations"), F.col("conv_id") * 1000 + F.col("turn"), marked_text(F.col("text"), F.col("turn"))
+        F.lit("conversations"), F.col("conv_id") * 1000 + F.col("turn"), marked_text(F.col("text"), F.col("turn"), count)
     )
-    pages = table(spark, sf_dir, "pages").select(F.lit("pages"), "page_id", marked_text(F.col("html"), F.col("page_id")))
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages"), "page_id", marked_text(F.col("html"), F.col("page_id"), count))
     return docs.union(talks).union(pages)
 
 
@@ -63,16 +63,15 @@ def scan_terms_ascii(spark, sf_dir):
 
 @C.add("scan_terms")
 def scan_terms(spark, sf_dir):
-    body = marked_text(F.col("text"), F.col("doc_id"), len(PHRASES))
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.scan_terms(body).alias("s"))
+    rows = spread(texts(spark, sf_dir, len(PHRASES))).select("origin", "id", X.scan_terms(F.col("body")).alias("s"))
     terms = F.array_join(F.transform("s.violations", lambda v: v["term"]), ";")
-    return rows.select("doc_id", F.size("s.violations").alias("n_hits"), terms.alias("terms"), "s.has_disclaimer", "s.passed")
+    return rows.select("origin", "id", F.size("s.violations").alias("n_hits"), terms.alias("terms"), "s.has_disclaimer", "s.passed")
 
 
 @C.add("fold_text")
 def fold_text(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.fold_text("text").alias("folded"))
-    return rows.select("doc_id", F.length("folded").alias("n_chars"), F.sha2("folded", 256).alias("folded_hash"))
+    rows = spread(texts(spark, sf_dir, len(PHRASES))).select("origin", "id", X.fold_text("body").alias("folded"))
+    return rows.select("origin", "id", F.length("folded").alias("n_chars"), F.sha2("folded", 256).alias("folded_hash"))
 
 
 @C.add(

@@ -21,7 +21,6 @@ ESCALATION_MAGNITUDE = 7.5
 ESCALATION_DEPTH_KM = 100.0
 MONITOR_TIMEOUT_HOURS = 12
 WINDOW_HOURS = 6
-WINDOW_CAP = 50_000
 WINDOW_MIN_SAMPLES = 10
 FUTURE_TOLERANCE_SEC = 900
 QUIET_MAGNITUDE = 6.5

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.alerts import TRANSITIONS, Machine
-from ..schemas import WINDOW_CAP, WINDOW_HOURS
+from ..schemas import WINDOW_HOURS
 
 EVENT_MODE_HOURS = 4
 REVISION_DAYS = 30
@@ -105,7 +105,7 @@ class RollingWindow(StatefulProcessor):
         if not held:
             return
         newest = max(held)
-        kept = sorted(t for t in held if t >= newest - WINDOW_HOURS * 3_600_000_000)[-WINDOW_CAP:]
+        kept = sorted(t for t in held if t >= newest - WINDOW_HOURS * 3_600_000_000)
         # Only the difference to what is stored crosses to the state store.
         for t in stored.keys() - set(kept):
             self.samples.removeKey((t,))
