@@ -138,11 +138,10 @@ def cutoffs(rows: DataFrame, good: DataFrame, stratum: str = "stratum", false_re
         ]
     )
     counted = tested.select(stratum, F.inline(hits)).groupBy(stratum, "rule", "hits").agg(F.count(F.lit(1)).alias("n"))
-    strata = rows.select(stratum).distinct().agg(F.count(F.lit(1)).alias("_strata"))
-    counted = counted.join(F.broadcast(strata))  # one row: the number of tests to correct for
+    tests = rows.select(stratum).distinct().count() * len(RULES)  # to correct for
 
     def certify(group: pd.DataFrame) -> pd.DataFrame:
-        level = error / (int(group["_strata"].iloc[0]) * len(RULES))
+        level = error / tests
         good_docs = int(group.loc[group["rule"] == next(iter(RULES)), "n"].sum())
         found = {}
         for name, (_, grid) in RULES.items():
