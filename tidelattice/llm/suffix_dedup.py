@@ -21,8 +21,10 @@ What follows from the order. Neighbours in the order that share `r` bytes, and `
 bytes to the left of the anchor, share l + r bytes; where that is `length` or more, all
 of them are removed. Small groups are compared pair by pair; larger ones are refined
 leftwards, one byte at a time, keeping the sorted order within each part. Groups too
-large for one task are decided by counting the hashes of their windows instead, in
-proportion to their members.
+large for one task (a line or passage in very many documents) are narrowed instead: the
+windows of an anchor are split into ranges; a range whose common core is unique holds
+no repeat, one whose whole span occurs elsewhere is all repeat, and only what is left
+is split again, down to single windows, by counting hashes over the cluster.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_light, keep, stored
@@ -46,10 +48,14 @@ SEED_BYTES = 48
 SCAN = 1 << 20
 _PLACE_BITS = 22
 # Suffixes of one sorted run, and of one range of the exchange.
-RUN_SUFFIXES, RANGE_SUFFIXES = 20_000, 20_000
+RUN_SUFFIXES, RANGE_SUFFIXES = 20_000, 4_000
 # Classes of one seed that one task refines.
-GROUP_LIMIT = 20_000
+GROUP_LIMIT = 2_000
 PAIRWISE = 24
+# A range of windows is split into so many at a time.
+SPLIT = 4
+# Sides up to this measured size are broadcast; beyond it the join shuffles.
+LIGHT = 64_000_000
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _HEAD = struct.Struct("<HHHQ")
@@ -375,18 +381,33 @@ def _runs(length: int, seed_bytes: int, ranges: int) -> Callable[[Iterable[pa.Re
     return run
 
 
-def _window_hashes(length: int, seed_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cores(length: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of the ranges of `width` windows within each wanted range.
+
+    Windows are named by the bytes they take left of the anchor. The core of a range is
+    in all its windows; its span (two longs, null if the text ends within it) holds them.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "seed", "context", "left"]
-        for s in _suffixes(batches, length, seed_bytes):
-            right, back = s.text[8:], s.left[::-1]
-            whole, seed = back + right, int.from_bytes(s.text[:8], "big", signed=True)
-            lefts = [x for x in range(len(back) + 1) if len(right) >= length - x]
-            digests = [xxhash.xxh3_128_digest(whole[len(back) - x : len(back) - x + length]) for x in lefts]
-            h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            n = len(lefts)
-            context = s.context - (1 << 64) * (s.context >> 63)
-            columns = [h[:, 0].copy(), h[:, 1].copy(), np.full(n, seed), np.full(n, context), np.array(lefts, dtype=np.int64)]
+        names = ["k1", "k2", "pos", "seed", "context", "p", "q", "core", "s1", "s2"]
+        for batch in batches:
+            rows: list[tuple] = []
+            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                t = text.as_py().encode()
+                for w in wanted:
+                    at = w["pos"]
+                    least, most = max(0, length - (len(t) - at)), at
+                    for p in range(w["p"], w["q"] + 1, width):
+                        q = min(p + width - 1, w["q"])
+                        if p > most or q < least:
+                            continue
+                        core = xxhash.xxh3_64_intdigest(t[at - p : at - q + length], p * 1024 + q) - (1 << 63)
+                        s1 = s2 = None
+                        if q <= most and p >= least:
+                            whole = xxhash.xxh3_128_intdigest(t[at - q : at - p + length], p * 1024 + q)
+                            s1, s2 = (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+                        rows.append((w["k1"], w["k2"], at, w["seed"], w["context"], p, q, core, s1, s2))
+            columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return run
@@ -396,59 +417,87 @@ def _window_hashes(length: int, seed_bytes: int) -> Callable[[Iterable[pa.Record
 
 
 def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: int) -> DataFrame:
-    """(k1, k2, spans) for texts (k1, k2, text) that hold repeated windows; spans may overlap."""
+    """(k1, k2, spans) for texts (k1, k2, text) that hold repeated windows: maximal spans in order."""
     anchors = stored(rows.mapInArrow(_anchors(length, seed_bytes), "k1 long, k2 long, pos long, seed long, context long, reach long"))
-    twice = anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    members = stored(anchors.join(twice, "seed"))
+    twice = keep(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"))
+    members = stored(anchors.join(_light(twice, F.lit(8)), "seed"))
     classes = keep(
         members.groupBy("seed", "context", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("first"))
     )
-    sizes = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    unequal = keep(classes.join(sizes, "seed").select("seed", "context", "classes", "first.*"))
+    sizes = keep(classes.groupBy("seed").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
+    unequal = keep(classes.join(_light(sizes, F.lit(16)), "seed").select("seed", "context", "classes", "first.*"))
     left, right = F.shiftright("reach", 16), F.col("reach").bitwiseAND(65_535)
     found = classes.where("n > 1").select("seed", "context", left.alias("l"), right.alias("r"))
-
-    def texts_of(chosen: DataFrame) -> DataFrame:
-        """Texts with the anchors wanted of each; the list is bounded by the text."""
-        wanted = keep(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "seed", "context")).alias("wanted")))
-        return rows.join(broadcast_if_light(wanted, 16 + 24 * F.size("wanted")), ["k1", "k2"]).select("text", "wanted")
-
-    counts = unequal.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("classes") > group_limit).cast("int")), F.lit(0))).first()
-    ranges = max(1, counts[0] // RANGE_SUFFIXES, min(64, counts[0] // 500))
-    if counts[0] > counts[1]:
-        runs = texts_of(unequal.where(F.col("classes") <= group_limit)).mapInArrow(_runs(length, seed_bytes, ranges), "range long, run binary")
+    sorted_, large = unequal.where(F.col("classes") <= group_limit), unequal.where(F.col("classes") > group_limit)
+    n_sorted, n_large = (
+        unequal.agg(F.count_if(F.col("classes") <= group_limit), F.count_if(F.col("classes") > group_limit)).first()
+    )
+    if n_sorted:
+        ranges = max(min(64, n_sorted // 500), n_sorted // RANGE_SUFFIXES, 1)
+        runs = _texts_of(rows, sorted_).mapInArrow(_runs(length, seed_bytes, ranges), "range long, run binary")
 
         def merged(group: pa.Table) -> pa.Table:
             rows = list(decided(merge_runs(group.column("run").to_pylist()), length, seed_bytes))
             columns = list(zip(*rows)) or [()] * 4
             return pa.table([pa.array(c, pa.int64()) for c in columns], names=["seed", "context", "l", "r"])
 
-        found = found.unionByName(runs.groupBy("range").applyInArrow(merged, "seed long, context long, l long, r long"))
-    if counts[1]:
-        windows = keep(
-            texts_of(unequal.where(F.col("classes") > group_limit)).mapInArrow(
-                _window_hashes(length, seed_bytes), "h1 long, h2 long, seed long, context long, left long"
-            )
-        )
-        again = windows.groupBy("h1", "h2", "left").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(
-            windows.join(again, ["h1", "h2", "left"]).select("seed", "context", F.col("left").alias("l"), (length - F.col("left")).alias("r"))
-        )
-    spans = members.join(keep(found), ["seed", "context"]).select(
-        "k1", "k2", F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).alias("span")
+        in_order = runs.repartition(ranges, "range").groupBy("range").applyInArrow(merged, "seed long, context long, l long, r long")
+        found = found.unionByName(in_order)
+    if n_large:
+        found = found.unionByName(narrowed(rows, large, length, seed_bytes))
+    found = keep(found)
+    spans = members.join(_light(found, F.lit(32)), ["seed", "context"]).select(
+        "k1", "k2", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")
     )
-    return keep(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")))
+    # Spans that touch are joined within each text, so that one text has few.
+    along = Window.partitionBy("k1", "k2").orderBy("a", "b")
+    before = F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = spans.distinct().withColumn("_new", F.coalesce(F.col("a") > before, F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(along))
+    joined = parts.groupBy("k1", "k2", "_part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return keep(joined.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")))
+
+
+def _light(df: DataFrame, row_bytes: Column) -> DataFrame:
+    return broadcast_if_light(df, row_bytes, LIGHT)
+
+
+def _texts_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(text, wanted): texts with the rows of `chosen` in them; the list is bounded by the text."""
+    wanted = keep(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct(*chosen.columns)).alias("wanted")))
+    return rows.join(_light(wanted, 16 + 8 * len(chosen.columns) * F.size("wanted")), ["k1", "k2"]).select("text", "wanted")
 
 
-def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def narrowed(rows: DataFrame, large: DataFrame, length: int, seed_bytes: int) -> DataFrame:
+    """(seed, context, l, r) of the classes of large groups, by ranges of windows.
+
+    Each level has at most a few rows per class, whatever the size of its group.
+    """
+    reach = length - seed_bytes
+    width = -(-(reach + 1) // 2)
+    todo = large.select("seed", "context", "k1", "k2", "pos", F.lit(0).cast("long").alias("p"), F.lit(reach).cast("long").alias("q"))
+    found: DataFrame | None = None
+    while True:
+        hashed = keep(
+            _texts_of(rows, todo).mapInArrow(
+                _cores(length, width), "k1 long, k2 long, pos long, seed long, context long, p long, q long, core long, s1 long, s2 long"
+            )
+        )
+        cores = keep(hashed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+        live = keep(hashed.join(_light(cores, F.lit(8)), "core"))
+        whole = keep(live.where("s1 is not null").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s1", "s2", F.lit(True).alias("whole")))
+        judged = keep(live.join(_light(whole, F.lit(16)), ["s1", "s2"], "left"))
+        done = judged.where("whole").select("seed", "context", F.col("q").alias("l"), (length - F.col("p")).alias("r"))
+        found = done if found is None else found.unionByName(done)
+        if width == 1:
+            return found
+        undecided = judged.where("whole is null")
+        # What is decided may still be the other place of what is not: one of each span stays.
+        open_cores = keep(undecided.select("core").distinct())
+        row = ("seed", "context", "k1", "k2", "pos", "p", "q")
+        partners = judged.where("whole").groupBy("s1", "s2", "core").agg(F.min(F.struct(*row)).alias("one"))
+        partners = partners.join(_light(open_cores, F.lit(8)), "core", "left_semi").select("one.*")
+        todo = undecided.select(*row).unionByName(partners)
+        width = max(1, width // SPLIT)
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -502,12 +551,12 @@ def remove_repeats(
         out = []
         for t, s in zip(texts, spans):
             data = t.encode()
-            joined = joined_spans((x["a"], x["b"]) for x in s) if s is not None else []
+            joined = [(x["a"], x["b"]) for x in s] if s is not None else []
             kept = without(data, joined) if joined else data
             kept_text = without(data, whole_characters(data, joined)).decode() if joined else t
             out.append((len(data), [{"a": a, "b": b} for a, b in joined], kept, kept_text))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept", "kept_text"])
 
-    light = broadcast_if_light(found, 16 + 16 * F.size("spans"))
+    light = _light(found, 16 + 16 * F.size("spans"))
     done = rows.join(light, ["k1", "k2"], "left").select("doc_id", *[f"carry_{c}" for c in carry], cut("text", "spans").alias("c"))
     return done.select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in carry], "c.*")
