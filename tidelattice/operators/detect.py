@@ -116,24 +116,33 @@ def _slice_features(part: pd.DataFrame) -> pd.DataFrame:
     return out[FEATURES.names].astype({"n_samples": "int64"})
 
 
-def calibrate_baseline(features: DataFrame) -> DataFrame:
-    """Quiet-time wavelet energy per station from features of its quiet window, with a floor."""
-    return features.where(F.col("status") == "SCORING_SUCCEEDED").groupBy(*STATION).agg(
-        F.greatest(F.lit(ENERGY_FLOOR), F.min_by("wavelet_energy", "window_no")).alias("baseline_energy")
-    )
+def calibrate_baseline(features: DataFrame, quiet_until_us: int) -> DataFrame:
+    """Quiet-time wavelet energy per sample of each buoy.
+
+    It is the mean over all windows that end before `quiet_until_us`; a buoy without
+    such a window uses its first one. Gauges have no quiet series and no baseline.
+    """
+    good = features.where((F.col("status") == "SCORING_SUCCEEDED") & (F.col("source_type") == "dart"))
+    quiet = F.col("window_end_us") < quiet_until_us
+    mean = F.sum(F.when(quiet, F.col("wavelet_energy"))) / F.sum(F.when(quiet, F.col("n_samples")))
+    first = F.min_by(F.col("wavelet_energy") / F.col("n_samples"), "window_no")
+    return good.groupBy(*STATION).agg(F.coalesce(mean, first).alias("quiet_energy"))
 
 
 def score_features(features: DataFrame, baselines: DataFrame, quiet: Column, ml: Column | None = None) -> DataFrame:
     """All score components of each window; failed windows stay as rows with null scores."""
     out = features.join(broadcast_if_small(baselines), STATION, "left")
     ok = F.col("status") == "SCORING_SUCCEEDED"
+    # The energy is a sum over samples: the baseline is that of a quiet window of the same length.
+    expected = F.greatest(F.lit(ENERGY_FLOOR), F.col("quiet_energy") * F.col("n_samples"))
+    out = out.withColumn("baseline_energy", F.when(F.col("quiet_energy").isNotNull(), expected))
     parts = (
         out.withColumn("quiet", quiet)
         .withColumn(
             "threshold_score",
             F.when(ok, score.threshold_score(F.col("peak_m"), score.detect_threshold_m(F.col("source_type")), F.col("quiet"))),
         )
-        .withColumn("wavelet_score", F.when(ok, score.wavelet_score(F.col("wavelet_energy"), F.col("baseline_energy"))))
+        .withColumn("wavelet_score", F.when(ok, F.coalesce(score.wavelet_score(F.col("wavelet_energy"), F.col("baseline_energy")), F.lit(0.0))))
         .withColumn("statistical_score", F.when(ok, score.statistical_score(F.col("wavelet_score"), F.col("bocpd_score"))))
         .withColumn("ml_score", F.lit(None).cast("double") if ml is None else ml)
     )

@@ -45,6 +45,28 @@ def validate_split(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFram
     return valid, rejected.drop("reasons")
 
 
+def feed_rules(feed: str) -> dict[str, Column]:
+    """Closed bounds of a feed's readings: 'dart', 'coops' or 'seismic'. A null value passes where it is optional."""
+    if feed == "dart":
+        return {
+            "height_m within 0..12000": F.col("height_m").between(0.0, 12_000.0),
+            "measurement_type is 1, 2 or 3": F.col("measurement_type").isin(1, 2, 3),
+        }
+    if feed == "coops":
+        return {
+            "water_level_m within -15..30": F.col("water_level_m").isNull() | F.col("water_level_m").between(-15.0, 30.0),
+        }
+    if feed == "seismic":
+        return {
+            "magnitude within -2..10": F.col("magnitude").isNull() | F.col("magnitude").between(-2.0, 10.0),
+            "depth_km within -10..1000": F.col("depth_km").isNull() | F.col("depth_km").between(-10.0, 1_000.0),
+            "lat within -90..90": F.col("lat").isNull() | F.col("lat").between(-90.0, 90.0),
+            "lon within -180..180": F.col("lon").isNull() | F.col("lon").between(-180.0, 180.0),
+            "tsunami_flag is 0 or 1": F.col("tsunami_flag").isNull() | F.col("tsunami_flag").isin(0, 1),
+        }
+    raise ValueError(f"unknown feed {feed}")
+
+
 def admit(df: DataFrame, now_us: int, ts_us: str = "ts_us", value: str = "value_m") -> DataFrame:
     """Mark rows a checkpoint at `now_us` would take into the rolling windows."""
     inside = F.col(ts_us).between(now_us - WINDOW_HOURS * 3_600_000_000, now_us + FUTURE_TOLERANCE_SEC * 1_000_000)

@@ -153,7 +153,7 @@ def bocpd_score(spark, sf_dir):
 
 @C.add("calibrate_baseline")
 def calibrate_baseline(spark, sf_dir):
-    return D.calibrate_baseline(features(spark, sf_dir))
+    return D.calibrate_baseline(features(spark, sf_dir), CAL_END_US)
 
 
 @C.add("score_windows")
@@ -162,7 +162,7 @@ def score_windows(spark, sf_dir):
     found = cut_lineage(features(spark, sf_dir))
     quake = quakes(spark, sf_dir)
     timed = J.with_quiet(found.withColumn("ts_us", F.col("window_end_us")), quake)
-    scored = D.score_features(timed, D.calibrate_baseline(found), F.col("quiet"))
+    scored = D.score_features(timed, D.calibrate_baseline(found, CAL_END_US), F.col("quiet"))
     placed = J.with_coordinates(scored, registry(spark, sf_dir)).withColumn("_key", F.concat_ws(":", *STATION, "window_no"))
     firing = placed.where((F.col("ensemble_score") > 0) & F.col("lat").isNotNull())
     hits = J.rayleigh_suspects(firing, quake, "_key").withColumn("_hit", F.lit(True))

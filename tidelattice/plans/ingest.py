@@ -141,17 +141,16 @@ def read_seismic_geojson(spark, sf_dir):
 
 @C.add(
     "event_version",
-    """WITH v AS (SELECT o_orderkey AS event_id, o_orderkey % 6 AS mag, o_custkey % 2 AS tsunami, epoch_us(o_orderdate) AS time FROM orders)
-SELECT event_id, sha256('{"mag":' || mag || ',"time":' || time || ',"tsunami":' || tsunami || '}') AS version FROM v""",
+    """WITH v AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS place, epoch_us(o_orderdate) AS t FROM orders)
+SELECT k AS event_id, sha256('{"depth":' || k % 700 || ',"kind":"earthquake","lat":' || (k % 180 - 90) || ',"lon":' || (c % 360 - 180) || ',"magnitude":' || k % 6
+  || ',"place":"' || place || '","time":' || t || ',"tsunami":' || c % 2 || ',"updated":' || (t + c) || '}') AS version FROM v""",
 )
 def event_version(spark, sf_dir):
-    from ..functions.hashing import canonical_json
+    from ..functions.hashing import event_version as fingerprint
 
-    rows = table(spark, sf_dir, "orders")
-    body = canonical_json(
-        tsunami=F.col("o_custkey") % 2, mag=F.col("o_orderkey") % 6, time=F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    )
-    return rows.select(F.col("o_orderkey").alias("event_id"), F.sha2(body, 256).alias("version"))
+    k, c, t = F.col("o_orderkey"), F.col("o_custkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    version = fingerprint(k % 6, t, t + c, c % 2, F.col("o_orderstatus"), F.lit("earthquake"), c % 360 - 180, k % 180 - 90, k % 700)
+    return table(spark, sf_dir, "orders").select(k.alias("event_id"), version.alias("version"))
 
 
 CSV = """csv AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(21000 + user_id AS VARCHAR) END AS sid,

@@ -8,7 +8,7 @@ from ..functions.values import safe_float, safe_int
 from ..operators import quality as Q
 from ..functions.hashing import is_sha256
 from . import Catalog
-from .adapters import EPOCH_2024_US, OBS, observations, table, with_cte
+from .adapters import EPOCH_2024_US, OBS, QUAKES, observations, quakes, table, with_cte
 
 C = Catalog()
 NOW_US = EPOCH_2024_US + 15 * 86_400_000_000
@@ -114,6 +114,39 @@ def validate_split(spark, sf_dir):
     return sides.groupBy("side", "reason_detail").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@C.add(
+    "validate_feeds",
+    with_cte(OBS, QUAKES, body="""SELECT feed, reason_detail, count(*) AS n_rows FROM (
+  SELECT 'dart' AS feed, concat_ws('; ', CASE WHEN value_m * 5000 NOT BETWEEN 0 AND 12000 THEN 'height_m within 0..12000' END,
+    CASE WHEN seq % 9 = 0 THEN 'measurement_type is 1, 2 or 3' END) AS reason_detail FROM obs WHERE source_type = 'dart'
+  UNION ALL SELECT 'coops', CASE WHEN value_m * 16 NOT BETWEEN -15 AND 30 THEN 'water_level_m within -15..30' ELSE '' END FROM obs WHERE source_type = 'coops'
+  UNION ALL SELECT 'seismic', concat_ws('; ', CASE WHEN magnitude * 1.5::DOUBLE NOT BETWEEN -2 AND 10 THEN 'magnitude within -2..10' END,
+    CASE WHEN depth_km * 5 NOT BETWEEN -10 AND 1000 THEN 'depth_km within -10..1000' END,
+    CASE WHEN lat * 1.5::DOUBLE NOT BETWEEN -90 AND 90 THEN 'lat within -90..90' END, CASE WHEN lon + 30 NOT BETWEEN -180 AND 180 THEN 'lon within -180..180' END,
+    CASE WHEN event_id % 5 NOT IN (0, 1) THEN 'tsunami_flag is 0 or 1' END) FROM quakes)
+GROUP BY 1, 2"""),
+)
+def validate_feeds(spark, sf_dir):
+    """The bounds of each feed, on readings stretched so that some fail; valid rows have no reason."""
+    obs = observations(spark, sf_dir)
+    buoy = obs.where(F.col("source_type") == "dart").select(
+        (F.col("value_m") * 5000).alias("height_m"), F.when(F.col("seq") % 9 == 0, 4).otherwise(F.col("measurement_type")).alias("measurement_type")
+    )
+    gauge = obs.where(F.col("source_type") == "coops").select((F.col("value_m") * 16).alias("water_level_m"))
+    quake = quakes(spark, sf_dir).select(
+        (F.col("magnitude") * 1.5).alias("magnitude"), (F.col("depth_km") * 5).alias("depth_km"), (F.col("lat") * 1.5).alias("lat"),
+        (F.col("lon") + 30).alias("lon"), (F.col("event_id") % 5).alias("tsunami_flag"),
+    )
+    sides = []
+    for feed, rows in (("dart", buoy), ("coops", gauge), ("seismic", quake)):
+        valid, bad = Q.validate_split(rows, Q.feed_rules(feed))
+        sides += [valid.select(F.lit(feed).alias("feed"), F.lit("").alias("reason_detail")), bad.select(F.lit(feed).alias("feed"), "reason_detail")]
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.unionByName(side)
+    return out.groupBy("feed", "reason_detail").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @C.add(
     "admission_window",
     with_cte(OBS, body=f"""SELECT source_type, station_id, count(*) AS attempted,
