@@ -102,3 +102,19 @@ def test_ingest_stream(spark, tmp_path):
     assert spark.read.parquet(f"{quarantine}/messages").count() == 3
     held = spark.read.parquet(f"{quarantine}/records").collect()
     assert [r["reason_detail"] for r in held] == ["station_id format; payload_hash format"]
+
+
+def test_line_order_does_not_depend_on_how_blocks_are_dealt(spark, tmp_path):
+    lines = [f"2024 01 {1 + i // 1440:02d} {i // 60 % 24:02d} {i % 60:02d} 00 1 {5000 + i % 7}.0" for i in range(4000)]
+    (tmp_path / "21413t2024.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    orders = []
+    try:
+        for size in ("16k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = feeds.read_dart_text(spark, str(tmp_path)).orderBy("seq").select("ts", "height_m").collect()
+            assert len(got) == 4000 and [r.ts for r in got] == sorted(r.ts for r in got)
+            orders.append(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert orders[0] == orders[1]

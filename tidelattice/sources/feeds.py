@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, coops_source_id, dart_source_id, event_version, payload_hash, seismic_source_id
@@ -71,13 +71,21 @@ def dart_records(parsed: DataFrame) -> DataFrame:
 
 
 def read_dart_text(spark: SparkSession, path: str) -> DataFrame:
-    """Buoy files named <station>....; every line keeps its file and row number as `seq`."""
+    """Buoy files named <station>....; `seq` follows the order of lines within a file.
+
+    A line's place is the start of its block in the file and its number in the block,
+    so it does not depend on how the cluster deals blocks to tasks.
+    """
+    in_block = Window.partitionBy("_file", "_block")
     lines = spark.read.text(path).select(
         "value",
         F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]{5})", 1).alias("station_id"),
-        F.monotonically_increasing_id().alias("seq"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
     )
-    return parse_dart_lines(lines)
+    placed = lines.withColumn("seq", F.shiftleft(F.col("_block"), 22) + F.col("_id") - F.min("_id").over(in_block))
+    return parse_dart_lines(placed.drop("_file", "_block", "_id"))
 
 
 def reason_counts(parsed: DataFrame, keys: list[str]) -> DataFrame:
