@@ -19,12 +19,13 @@ compared again and the merged order comes with its common-prefix lengths.
 
 What follows from the order. Neighbours in the order that share `r` bytes, and `l`
 bytes to the left of the anchor, share l + r bytes; where that is `length` or more, all
-of them are removed. Small groups are compared pair by pair; larger ones are refined
-leftwards, one byte at a time, keeping the sorted order within each part. Groups too
-large for one task (a line or passage in very many documents) are narrowed instead: the
-windows of an anchor are split into ranges; a range whose common core is unique holds
-no repeat, one whose whole span occurs elsewhere is all repeat, and only what is left
-is split again, down to single windows, by counting hashes over the cluster.
+of them are removed. Small groups are compared pair by pair; for larger ones what any two
+share to the right is the least of what lies between them in the merged order, and
+likewise to the left in the order of the reversed left sides. Groups too large for one
+task (a line or passage in very many documents) are narrowed instead: the windows of an
+anchor are split into ranges; a range whose common core is unique holds no repeat, one
+whose whole span occurs elsewhere is all repeat, and only what is left is split again,
+down to single windows, by counting hashes over the cluster.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ _PLACE_BITS = 22
 RUN_SUFFIXES, RANGE_SUFFIXES = 20_000, 4_000
 # Classes of one seed that one task refines.
 GROUP_LIMIT = 2_000
-PAIRWISE = 24
+PAIRWISE = 6
 # A range of windows is split into so many at a time.
 SPLIT = 4
 # Sides up to this measured size are broadcast; beyond it the join shuffles.
@@ -268,62 +269,51 @@ def merge_runs(blobs: Iterable[bytes]) -> Iterator[tuple[int, Suffix]]:
 # --- groups of the merged order ----------------------------------------------------------
 
 
-def shared_spans(group: list[Suffix], shared: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each suffix of a sorted group: (l, r) byte counts around the anchor to remove.
+def shared_spans(group: list[Suffix], shared: list[int], length: int) -> list[tuple[int, int] | None]:
+    """For each suffix of a sorted group: (l, r) bytes around the anchor to remove, if any.
 
-    `shared[i]` is the number of bytes that i has in common with i - 1.
+    `shared[i]` is the number of bytes that i has in common with i - 1. All repeated
+    strings found here hold the anchor, so together they are one span.
     """
     if len(group) > PAIRWISE:
-        return _refined(group, shared, length)
-    spans: list[list[tuple[int, int]]] = [[] for _ in group]
+        return _spans_of_many(group, shared, length)
+    best: list[tuple[int, int] | None] = [None] * len(group)
     for i in range(len(group)):
         right = length
         for j in range(i + 1, len(group)):
             right = min(right, shared[j])
             left = common_prefix(group[i].left, group[j].left)
             if left + right >= length:
-                spans[i].append((left, right))
-                spans[j].append((left, right))
-    return spans
-
-
-def _refined(group: list[Suffix], shared: list[int], length: int) -> list[list[tuple[int, int]]]:
-    reach = max(len(s.left) for s in group)
-    lefts = np.full((len(group), reach + 1), -1, dtype=np.int16)
-    for i, s in enumerate(group):
-        lefts[i, : len(s.left)] = np.frombuffer(s.left, np.uint8)
-    repeated = np.zeros((len(group), reach + 1), dtype=bool)
-    order = np.arange(len(group))
-    part = np.zeros(len(group), dtype=np.int64)
-    common = np.array(shared, dtype=np.int64)  # with the one before in the same part, else -1
-    common[0] = -1
-    for left in range(reach + 1):
-        near = common >= length - left
-        repeated[order[near], left] = True
-        repeated[order[:-1][near[1:]], left] = True
-        byte = lefts[order, left]
-        alive = np.flatnonzero(byte >= 0)
-        if not len(alive):
-            break
-        by = alive[np.lexsort((byte[alive], part[alive]))]
-        same = np.zeros(len(by), dtype=bool)
-        same[1:] = (part[by[1:]] == part[by[:-1]]) & (byte[by[1:]] == byte[by[:-1]])
-        new_common = np.full(len(by), -1, dtype=np.int64)
-        follow = np.flatnonzero(same)
-        if not len(follow):
-            break
-        # What two share is the least of what all between them in the old order share.
-        bounds = np.stack([by[follow - 1] + 1, by[follow] + 1], axis=1).ravel()
-        new_common[follow] = np.minimum.reduceat(np.append(common, 0), bounds)[::2]
-        new_part = np.cumsum(~same) - 1
-        kept = np.bincount(new_part)[new_part] > 1
-        order, common, part = order[by[kept]], new_common[kept], new_part[kept]
-    spans = []
-    for row in repeated:
-        hits = np.flatnonzero(row)
-        cuts = np.flatnonzero(np.diff(hits) > 1) + 1
-        spans.append([(int(run[-1]), length - int(run[0])) for run in np.split(hits, cuts) if len(run)])
-    return spans
+                for k in (i, j):
+                    l, r = best[k] or (0, 0)
+                    best[k] = (max(l, left), max(r, right))
+    return best
+
+
+def _common(adjacent: np.ndarray) -> np.ndarray:
+    """What any two of an order share: the least of what all between them share."""
+    n = len(adjacent)
+    far = np.iinfo(adjacent.dtype).max
+    grid = np.where(np.arange(n)[None, :] > np.arange(n)[:, None], adjacent[None, :], far).astype(adjacent.dtype)
+    np.minimum.accumulate(grid, axis=1, out=grid)
+    return np.minimum(grid, grid.T)
+
+
+def _spans_of_many(group: list[Suffix], shared: list[int], length: int) -> list[tuple[int, int] | None]:
+    """The same for a group of bounded size, by tables of shared bytes to both sides."""
+    n = len(group)
+    kind = np.int16 if length < 16_000 else np.int32
+    right = _common(np.array(shared, dtype=kind))
+    order = sorted(range(n), key=lambda i: group[i].left)
+    adjacent = [0, *(common_prefix(group[i].left, group[j].left) for i, j in zip(order, order[1:]))]
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    left = _common(np.array(adjacent, dtype=kind))[np.ix_(place, place)]
+    np.fill_diagonal(left, -1)
+    np.fill_diagonal(right, -1)
+    hit = left + right >= length
+    most_left, most_right = np.where(hit, left, -1).max(axis=1), np.where(hit, right, -1).max(axis=1)
+    return [(int(l), int(r)) if l >= 0 else None for l, r in zip(most_left, most_right)]
 
 
 def decided(merged: Iterable[tuple[int, Suffix]], length: int, seed_bytes: int) -> Iterator[tuple[int, int, int, int]]:
@@ -333,10 +323,9 @@ def decided(merged: Iterable[tuple[int, Suffix]], length: int, seed_bytes: int)
 
     def close() -> Iterator[tuple[int, int, int, int]]:
         if len(group) > 1:
-            for s, spans in zip(group, shared_spans(group, shared, length)):
-                seed = int.from_bytes(s.text[:8], "big", signed=True)
-                for left, right in set(spans):
-                    yield seed, s.context - (1 << 64) * (s.context >> 63), left, right
+            for s, span in zip(group, shared_spans(group, shared, length)):
+                if span:
+                    yield int.from_bytes(s.text[:8], "big", signed=True), s.context - (1 << 64) * (s.context >> 63), *span
 
     for known, s in merged:
         if known < 8 + seed_bytes:
