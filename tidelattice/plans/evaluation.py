@@ -255,7 +255,60 @@ def transitions(spark, sf_dir):
     return A.replay(alert_log(spark, sf_dir))
 
 
-@C.add("alert_state_machine")
+# The machine as a recursion over the numbered log of each basin: time out what ended before
+# this tick (e), take the row (t: trigger, decision or evidence), time out after evidence (x).
+MACHINE_SQL = f"""WITH RECURSIVE {SCORES}, {ZQUAKES},
+log AS (
+  SELECT event_id % 5 AS basin, origin_us // 60000000 AS tick, 0 AS rank, origin_us AS ts_us, event_id, magnitude, depth_km, NULL::DOUBLE AS score, NULL::BIGINT AS mode_us
+  FROM zquakes WHERE magnitude >= 6.0 AND zone <> 'unknown'
+  UNION ALL SELECT basin, ts_us // 60000000, 1, max(ts_us), NULL, NULL, NULL, max(score), max(ts_us) FILTER (window_id % 97 = 0)
+  FROM scores WHERE score BETWEEN 0 AND 1 GROUP BY 1, 2
+  UNION ALL SELECT event_id % 5, (origin_us + 1000000) // 60000000, 2, origin_us + 1000000, NULL, NULL, NULL, NULL, NULL FROM zquakes WHERE event_id % 40 < 5),
+num AS (SELECT *, row_number() OVER (PARTITION BY basin ORDER BY tick, rank, ts_us, event_id NULLS LAST) AS rn FROM log),
+m AS (
+  SELECT DISTINCT basin, 0::BIGINT AS rn, 'IDLE' AS state, -1::BIGINT AS event, 0.0::DOUBLE AS mag, 0::BIGINT AS trig, false AS conf, 0.0::DOUBLE AS held,
+    []::STRUCT(ts_us BIGINT, event_id BIGINT, from_state VARCHAR, to_state VARCHAR, score DOUBLE, reason VARCHAR)[] AS moves FROM num
+  UNION ALL
+  SELECT basin, rn, CASE WHEN x THEN 'IDLE' ELSE state3 END, CASE WHEN x THEN -1 ELSE event3 END, CASE WHEN x THEN 0 ELSE mag3 END, trig3,
+    CASE WHEN x THEN false ELSE conf3 END, CASE WHEN x THEN 0 ELSE held3 END,
+    list_concat(moves3, CASE WHEN x THEN [{{'ts_us': ts_us, 'event_id': event3, 'from_state': 'MONITOR', 'to_state': 'IDLE', 'score': held3, 'reason': 'monitor timeout'}}] ELSE [] END)
+  FROM (SELECT *, rank = 1 AND state3 = 'MONITOR' AND state2 <> 'IDLE' AND held3 < 0.35 AND ts_us >= trig3 + 43200000000 AS x FROM (
+    SELECT *,
+      CASE WHEN t = 'open' THEN CASE WHEN magnitude >= 7.5 AND depth_km < 100 THEN 'ESCALATE' ELSE 'MONITOR' END WHEN t = 'close' THEN 'IDLE'
+        WHEN t IN ('rise', 'override') THEN CASE state2 WHEN 'MONITOR' THEN 'INVESTIGATE' WHEN 'INVESTIGATE' THEN 'ASSESS' ELSE 'ESCALATE' END
+        WHEN t = 'fall' THEN CASE state2 WHEN 'ASSESS' THEN 'INVESTIGATE' ELSE 'MONITOR' END ELSE state2 END AS state3,
+      CASE t WHEN 'open' THEN event_id WHEN 'close' THEN -1 ELSE event2 END AS event3, CASE t WHEN 'open' THEN magnitude WHEN 'close' THEN 0 ELSE mag2 END AS mag3,
+      CASE t WHEN 'open' THEN ts_us ELSE trig END AS trig3, CASE WHEN t IN ('open', 'close') THEN false ELSE conf_now END AS conf3,
+      CASE WHEN t IN ('open', 'close') THEN 0 WHEN rank = 1 AND state2 <> 'IDLE' THEN score ELSE held2 END AS held3,
+      list_concat(moves2, CASE
+        WHEN t = 'open' AND magnitude >= 7.5 AND depth_km < 100 THEN [
+          {{'ts_us': ts_us, 'event_id': event_id, 'from_state': 'IDLE', 'to_state': 'MONITOR', 'score': NULL::DOUBLE, 'reason': 'seismic trigger'}},
+          {{'ts_us': ts_us, 'event_id': event_id, 'from_state': 'MONITOR', 'to_state': 'ESCALATE', 'score': NULL::DOUBLE, 'reason': 'seismic-only escalation'}}]
+        WHEN t = 'open' THEN [{{'ts_us': ts_us, 'event_id': event_id, 'from_state': 'IDLE', 'to_state': 'MONITOR', 'score': NULL::DOUBLE, 'reason': 'seismic trigger'}}]
+        WHEN t = 'close' THEN [{{'ts_us': ts_us, 'event_id': event2, 'from_state': 'ESCALATE', 'to_state': 'IDLE', 'score': NULL::DOUBLE, 'reason': 'resolved'}}]
+        WHEN t IN ('rise', 'override', 'fall') THEN [{{'ts_us': ts_us, 'event_id': event2, 'from_state': state2,
+          'to_state': CASE WHEN t = 'fall' THEN CASE state2 WHEN 'ASSESS' THEN 'INVESTIGATE' ELSE 'MONITOR' END
+            ELSE CASE state2 WHEN 'MONITOR' THEN 'INVESTIGATE' WHEN 'INVESTIGATE' THEN 'ASSESS' ELSE 'ESCALATE' END END,
+          'score': score, 'reason': CASE t WHEN 'rise' THEN 'score reached threshold' WHEN 'override' THEN 'seismic override' ELSE 'score fell below threshold' END}}]
+        ELSE [] END) AS moves3
+    FROM (SELECT *, CASE WHEN rank = 0 AND state2 = 'IDLE' THEN 'open' WHEN rank = 2 AND state2 = 'ESCALATE' THEN 'close'
+        WHEN rank = 1 AND state2 IN ('MONITOR', 'INVESTIGATE', 'ASSESS') THEN CASE
+          WHEN score >= CASE state2 WHEN 'MONITOR' THEN 0.35 WHEN 'INVESTIGATE' THEN 0.60 ELSE 0.85 END THEN 'rise'
+          WHEN mag2 >= 7.5 AND conf_now THEN 'override'
+          WHEN state2 = 'INVESTIGATE' AND score < 0.35 OR state2 = 'ASSESS' AND score < 0.60 THEN 'fall' ELSE 'stay' END ELSE 'stay' END AS t
+      FROM (SELECT *, CASE WHEN rank = 1 AND state2 <> 'IDLE' THEN conf2 OR coalesce(mode_us >= trig, false) ELSE conf2 END AS conf_now
+        FROM (SELECT *, CASE WHEN e THEN 'IDLE' ELSE state END AS state2, CASE WHEN e THEN -1 ELSE event END AS event2, CASE WHEN e THEN 0 ELSE mag END AS mag2,
+          CASE WHEN e THEN false ELSE conf END AS conf2, CASE WHEN e THEN 0 ELSE held END AS held2,
+          CASE WHEN e THEN [{{'ts_us': trig + 43200000000, 'event_id': event, 'from_state': 'MONITOR', 'to_state': 'IDLE', 'score': held, 'reason': 'monitor timeout'}}] ELSE [] END AS moves2
+          FROM (SELECT m.basin, n.rn, m.state, m.event, m.mag, m.trig, m.conf, m.held, n.tick, n.rank, n.ts_us, n.event_id, n.magnitude, n.depth_km, n.score, n.mode_us,
+              m.state = 'MONITOR' AND m.held < 0.35 AND (m.trig + 43200000000) // 60000000 < n.tick AS e
+            FROM m JOIN num n ON n.basin = m.basin AND n.rn = m.rn + 1)))))))
+SELECT basin, row_number() OVER (PARTITION BY basin ORDER BY rn, i) - 1 AS step, mv.ts_us AS ts_us, mv.event_id AS event_id, mv.from_state AS from_state,
+  mv.to_state AS to_state, mv.score AS score, mv.reason AS reason
+FROM (SELECT basin, rn, unnest(moves) AS mv, generate_subscripts(moves, 1) AS i FROM m)"""
+
+
+@C.add("alert_state_machine", MACHINE_SQL)
 def alert_state_machine(spark, sf_dir):
     return transitions(spark, sf_dir)
 
@@ -277,7 +330,23 @@ def confirmation_latch(spark, sf_dir):
     return out.withColumn("n_stations", F.col("n_stations").cast("long"))
 
 
-@C.add("escalations")
+@C.add(
+    "escalations",
+    f"""WITH {OBS}, {SCORES}, moved AS ({MACHINE_SQL}),
+steps AS (SELECT basin, event_id, count(*) AS n_steps, min(ts_us) FILTER (to_state = 'ESCALATE') AS escalated_us,
+  string_agg('{{"step":' || step || ',"from_state":"' || from_state || '","to_state":"' || to_state || '","ts_us":' || ts_us || '}}', ',' ORDER BY step) AS timeline
+  FROM moved GROUP BY 1, 2),
+best AS (SELECT basin, ts_us // 60000000 AS tick, source_type, station_id FROM scores
+  QUALIFY row_number() OVER (PARTITION BY basin, ts_us // 60000000 ORDER BY score DESC, source_type, station_id) = 1),
+bound AS (SELECT t.event_id, o.payload_hash FROM (SELECT *, seq % 5 AS basin FROM obs) o ASOF JOIN (
+  SELECT basin, ts_us AS trigger_us, max(event_id) AS event_id FROM moved WHERE from_state = 'IDLE' GROUP BY 1, 2) t
+  ON o.basin = t.basin AND o.ts_us >= t.trigger_us WHERE o.ts_us < t.trigger_us + 43200000000),
+refs AS (SELECT event_id, count(DISTINCT payload_hash) AS n_refs FROM bound GROUP BY 1)
+SELECT s.basin, s.event_id, s.escalated_us, s.n_steps, b.source_type, b.station_id, r.n_refs,
+  sha256('{{"event_id":' || s.event_id || ',"escalated_us":' || s.escalated_us || ',"timeline":[' || s.timeline || ']}}') AS packet_hash
+FROM steps s LEFT JOIN best b ON b.basin = s.basin AND b.tick = s.escalated_us // 60000000 LEFT JOIN refs r ON r.event_id = s.event_id
+WHERE s.escalated_us IS NOT NULL""",
+)
 def escalations(spark, sf_dir):
     moved = cut_lineage(transitions(spark, sf_dir))
     obs = observations(spark, sf_dir).select("ts_us", "seq", "payload_hash", (F.col("seq") % 5).alias("basin"))
@@ -285,7 +354,7 @@ def escalations(spark, sf_dir):
     bound = J.bind_to_event(obs, marks, ["basin"], 43_200_000_000, ["seq"], 3_600_000_000)
     refs = bound.where(F.col("event_id").isNotNull()).select("event_id", F.lit(1).alias("source_rank"), "payload_hash")
     return A.escalations(moved, basin_scores(spark, sf_dir), refs).select(
-        "basin", "event_id", "escalated_us", F.size("timeline").alias("n_steps"), "best.source_type", "best.station_id",
+        "basin", "event_id", "escalated_us", F.size("timeline").cast("long").alias("n_steps"), "best.source_type", "best.station_id",
         "n_refs", "packet_hash",
     )
 

@@ -10,7 +10,7 @@ from ..operators.partitioned import time_bucket
 from ..streaming import jobs
 from . import Catalog
 from .adapters import EPOCH_2024_US, OBS, observations, table, with_cte
-from .evaluation import alert_log
+from .evaluation import MACHINE_SQL, alert_log
 
 C = Catalog()
 
@@ -175,7 +175,7 @@ def stream_event_mode(spark, sf_dir):
     return jobs.run_to_table(jobs.event_mode(rows), "event-mode")
 
 
-@C.add("stream_alerts")
+@C.add("stream_alerts", MACHINE_SQL)
 def stream_alerts(spark, sf_dir):
     """The alert machine as a stream over the written log of triggers and best scores."""
     folder = jobs.shared_folder(spark, "alert-log")
