@@ -35,7 +35,6 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -46,7 +45,7 @@ from .common import broadcast_if_light, keep, stored
 LENGTH = 400
 SEED_BYTES = 48
 # Bytes scanned at a time, and their place in a window key.
-SCAN = 1 << 20
+SCAN = 1 << 18
 _PLACE_BITS = 22
 # Suffixes of one sorted run, and of one range of the exchange.
 RUN_SUFFIXES, RANGE_SUFFIXES = 20_000, 4_000
@@ -56,7 +55,9 @@ PAIRWISE = 6
 # A range of windows is split into so many at a time.
 SPLIT = 4
 # Sides up to this measured size are broadcast; beyond it the join shuffles.
-LIGHT = 64_000_000
+LIGHT = 16_000_000
+# Rows of a batch handled at a time in Python.
+SLICE = 256
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _HEAD = struct.Struct("<HHHQ")
@@ -145,12 +146,19 @@ class Scanner:
             yield i, p - b, g
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _anchors(length: int, seed_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     left_reach = length - seed_bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(length, seed_bytes)
-        for batch in batches:
+        for batch in _slices(batches):
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.encode() for t in batch.column(2).to_pylist()]
             rows, places, seeds, contexts, reaches = [], [], [], [], []
@@ -337,8 +345,8 @@ def decided(merged: Iterable[tuple[int, Suffix]], length: int, seed_bytes: int)
 
 
 def _suffixes(batches: Iterable[pa.RecordBatch], length: int, seed_bytes: int) -> Iterator[Suffix]:
-    for batch in batches:
-        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+    for batch in _slices(batches):
+        for text, wanted in zip(batch.column(2), batch.column(3).to_pylist()):
             t = text.as_py().encode()
             for w in wanted:
                 p = w["pos"]
@@ -379,10 +387,10 @@ def _cores(length: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "pos", "seed", "context", "p", "q", "core", "s1", "s2"]
-        for batch in batches:
+        for batch in _slices(batches):
             rows: list[tuple] = []
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-                t = text.as_py().encode()
+            for k1, k2, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                t = text.encode()
                 for w in wanted:
                     at = w["pos"]
                     least, most = max(0, length - (len(t) - at)), at
@@ -395,7 +403,7 @@ def _cores(length: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
                         if q <= most and p >= least:
                             whole = xxhash.xxh3_128_intdigest(t[at - q : at - p + length], p * 1024 + q)
                             s1, s2 = (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
-                        rows.append((w["k1"], w["k2"], at, w["seed"], w["context"], p, q, core, s1, s2))
+                        rows.append((k1, k2, at, w["seed"], w["context"], p, q, core, s1, s2))
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
@@ -414,10 +422,10 @@ def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: i
         members.groupBy("seed", "context", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("first"))
     )
     sizes = keep(classes.groupBy("seed").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
-    unequal = keep(classes.join(_light(sizes, F.lit(16)), "seed").select("seed", "context", "classes", "first.*"))
+    unequal = keep(classes.join(sizes, "seed").select("seed", "context", "classes", "first.*"))
     left, right = F.shiftright("reach", 16), F.col("reach").bitwiseAND(65_535)
     found = classes.where("n > 1").select("seed", "context", left.alias("l"), right.alias("r"))
-    sorted_, large = unequal.where(F.col("classes") <= group_limit), unequal.where(F.col("classes") > group_limit)
+    sorted_, large = (unequal.where(c).drop("classes") for c in (F.col("classes") <= group_limit, F.col("classes") > group_limit))
     n_sorted, n_large = (
         unequal.agg(F.count_if(F.col("classes") <= group_limit), F.count_if(F.col("classes") > group_limit)).first()
     )
@@ -435,7 +443,7 @@ def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: i
     if n_large:
         found = found.unionByName(narrowed(rows, large, length, seed_bytes))
     found = keep(found)
-    spans = members.join(_light(found, F.lit(32)), ["seed", "context"]).select(
+    spans = members.join(found, ["seed", "context"]).select(
         "k1", "k2", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")
     )
     # Spans that touch are joined within each text, so that one text has few.
@@ -451,9 +459,10 @@ def _light(df: DataFrame, row_bytes: Column) -> DataFrame:
 
 
 def _texts_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(text, wanted): texts with the rows of `chosen` in them; the list is bounded by the text."""
-    wanted = keep(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct(*chosen.columns)).alias("wanted")))
-    return rows.join(_light(wanted, 16 + 8 * len(chosen.columns) * F.size("wanted")), ["k1", "k2"]).select("text", "wanted")
+    """(k1, k2, text, wanted): texts with the rows of `chosen` in them; the list is bounded by the text."""
+    columns = [c for c in chosen.columns if c not in ("k1", "k2")]
+    wanted = keep(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("wanted")))
+    return rows.join(_light(wanted, 16 + 8 * len(columns) * F.size("wanted")), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
 
 
 def narrowed(rows: DataFrame, large: DataFrame, length: int, seed_bytes: int) -> DataFrame:
@@ -535,17 +544,28 @@ def remove_repeats(
     )
     found = repeated_spans(rows.select("k1", "k2", "text"), length, seed_bytes, group_limit)
 
-    @F.pandas_udf("n_bytes long, spans array<struct<a:long,b:long>>, kept binary, kept_text string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, s in zip(texts, spans):
-            data = t.encode()
-            joined = [(x["a"], x["b"]) for x in s] if s is not None else []
-            kept = without(data, joined) if joined else data
-            kept_text = without(data, whole_characters(data, joined)).decode() if joined else t
-            out.append((len(data), [{"a": a, "b": b} for a, b in joined], kept, kept_text))
-        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept", "kept_text"])
-
+    names = ["doc_id", *(f"carry_{c}" for c in carry)]
     light = _light(found, 16 + 16 * F.size("spans"))
-    done = rows.join(light, ["k1", "k2"], "left").select("doc_id", *[f"carry_{c}" for c in carry], cut("text", "spans").alias("c"))
-    return done.select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in carry], "c.*")
+    joined = rows.join(light, ["k1", "k2"], "left").select(*names, "text", "spans")
+    kinds = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
+    done = joined.mapInArrow(_cut(len(names)), f"{kinds}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, kept_text string")
+    return done.select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in carry], "n_bytes", "spans", "kept", "kept_text")
+
+
+def _cut(passed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Remove the spans of each text; the first `passed` columns go through."""
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sizes, spans, kept, texts = [], [], [], []
+            for t, s in zip(batch.column(passed).to_pylist(), batch.column(passed + 1).to_pylist()):
+                data, found = t.encode(), [(x["a"], x["b"]) for x in s or ()]
+                sizes.append(len(data))
+                spans.append([{"a": a, "b": b} for a, b in found])
+                kept.append(without(data, found) if found else data)
+                texts.append(without(data, whole_characters(data, found)).decode() if found else t)
+            columns = [*batch.columns[:passed], pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:passed], "n_bytes", "spans", "kept", "kept_text"])
+
+    return run
