@@ -80,3 +80,16 @@ def test_stream_equals_batch(spark, tmp_path):
     order = ["basin", "step"]
     pd.testing.assert_frame_equal(batch.sort_values(order).reset_index(drop=True), stream.sort_values(order).reset_index(drop=True))
     assert len(batch) > 50
+
+
+def test_a_timer_ends_silent_monitoring(spark, tmp_path):
+    first = log((0, 100, 6.0, 10.0), (1, 101, 0.1, None))
+    later = [(2, *row[1:]) for row in log((0, 130, 6.0, 10.0), (1, 131, 0.1, None))]
+    folder = str(tmp_path / "log")
+    for part in (first, later, [(2, *row[1:]) for row in log((1, 132, 0.1, None))]):
+        spark.createDataFrame(part, A.INPUT).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(A.INPUT).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = jobs.run_to_table(jobs.alerts(source, live=True), "alerts-live").orderBy("basin", "step").collect()
+    silent = [(r["from_state"], r["to_state"], r["ts_us"]) for r in got if r["basin"] == 1]
+    assert silent == [("IDLE", "MONITOR", 100 * HOUR), ("MONITOR", "IDLE", 112 * HOUR)]
+    assert [r["to_state"] for r in got if r["basin"] == 2] == ["MONITOR"]

@@ -99,7 +99,11 @@ class Machine:
 
     def expire_before(self, ts_us: int) -> list[tuple]:
         """End a monitored event whose limit is in a tick that is over at `ts_us`."""
-        return self._expire(self.deadline_us()) if self.deadline_us() // TICK_US * TICK_US + TICK_US <= ts_us else []
+        return self._expire(self.deadline_us()) if self.over_us() <= ts_us else []
+
+    def over_us(self) -> int:
+        """When the tick of the limit is over."""
+        return (self.deadline_us() // TICK_US + 1) * TICK_US
 
     def _expire(self, ts_us: int) -> list[tuple]:
         if self.state != "MONITOR" or self.score >= T1:

@@ -92,11 +92,11 @@ def clean_calibration(spark, sf_dir):
 
 @C.add(
     "rolling_station_window",
-    with_cte(OBS, body="""SELECT source_type, station_id, ts_us, round(value_m, 6) AS value_m, least(n, 50000) AS n_samples, least(n, 50000) >= 10 AS sufficient
-FROM (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY source_type, station_id ORDER BY ts_us DESC) AS back FROM (
+    with_cte(OBS, body="""SELECT source_type, station_id, ts_us, round(value_m, 6) AS value_m, n AS n_samples, n >= 10 AS sufficient
+FROM (SELECT *, count(*) OVER p AS n FROM (
   SELECT source_type, station_id, ts_us, min_by(value_m, seq) AS value_m FROM (
     SELECT *, max(ts_us) OVER (PARTITION BY source_type, station_id) AS ref FROM obs) WHERE ts_us >= ref - 21600000000 GROUP BY 1, 2, 3)
-  WINDOW p AS (PARTITION BY source_type, station_id)) WHERE back <= 50000"""),
+  WINDOW p AS (PARTITION BY source_type, station_id))"""),
 )
 def rolling_station_window(spark, sf_dir):
     return S.rolling_window(observations(spark, sf_dir), STATION).withColumn("value_m", F.round("value_m", 6))

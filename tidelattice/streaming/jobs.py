@@ -49,8 +49,12 @@ def event_mode(rows: DataFrame) -> DataFrame:
     return keyed(rows, ["station_id"], P.EventMode(), P.EVENT_MODE_OUT)
 
 
-def alerts(log: DataFrame) -> DataFrame:
-    return keyed(log, ["basin"], P.AlertMachine(), TRANSITIONS)
+def alerts(log: DataFrame, live: bool = False) -> DataFrame:
+    """Transitions of each basin; `live` adds event-time timers that end silent monitoring."""
+    if not live:
+        return keyed(log, ["basin"], P.AlertMachine(), TRANSITIONS)
+    timed = log.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", LATENESS)
+    return keyed(timed, ["basin"], P.AlertMachine(timers=True), TRANSITIONS, "EventTime")
 
 
 def windowed_metrics(events: DataFrame, label: str, ts: str, width: str = "5 minutes") -> DataFrame:

@@ -153,9 +153,17 @@ class EventMode(StatefulProcessor):
 
 
 class AlertMachine(StatefulProcessor):
-    """The alert machine of one basin over the live log."""
+    """The alert machine of one basin over the live log.
+
+    With `timers` a monitored event also ends when the watermark passes its limit and
+    the basin stays silent; a replay of closed input leaves that to the next row.
+    """
+
+    def __init__(self, timers: bool = False) -> None:
+        self.timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getValueState(
             "machine",
             _schema(
@@ -169,10 +177,21 @@ class AlertMachine(StatefulProcessor):
         out = []
         for row in _in_order(rows, ["tick", "rank", "ts_us", "event_id"]).itertuples(index=False):
             out += [(key[0], *moved) for moved in machine.apply(row)]
+        self._keep(machine)
+        if self.timers and machine.state == "MONITOR":
+            self.handle.registerTimer(machine.over_us() // 1000)
+        yield pd.DataFrame(out, columns=TRANSITIONS.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        machine = Machine(*self.held.get()) if self.held.exists() else Machine()
+        out = [(key[0], *moved) for moved in machine.expire_before(expiredTimerInfo.getExpiryTimeInMs() * 1000)]
+        self._keep(machine)
+        yield pd.DataFrame(out, columns=TRANSITIONS.names)
+
+    def _keep(self, machine: Machine) -> None:
         self.held.update(
             (machine.state, machine.event_id, machine.magnitude, machine.trigger_us, bool(machine.confirmed), float(machine.score), machine.step)
         )
-        yield pd.DataFrame(out, columns=TRANSITIONS.names)
 
     def close(self) -> None:
         pass
