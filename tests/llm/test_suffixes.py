@@ -41,8 +41,11 @@ def corpus(seed=5):
 
 
 # Pairs, refinement by bytes, hashed windows of groups too large, parts of long texts.
-@pytest.mark.parametrize(("seed_bytes", "limit", "pairwise", "scan"), [(8, 20_000, 24, 1 << 20), (8, 20_000, 2, 90), (8, 3, 24, 1 << 20), (20, 20_000, 3, 1 << 20)])
-def test_spans_equal_brute_force(spark, monkeypatch, seed_bytes, limit, pairwise, scan):
+@pytest.mark.parametrize(
+    ("seed_bytes", "limit", "pairwise", "scan", "often"),
+    [(8, 20_000, 24, 1 << 20, 3000), (8, 20_000, 2, 90, 3000), (8, 3, 24, 1 << 20, 3000), (20, 20_000, 3, 1 << 20, 2), (8, 3, 2, 1 << 20, 4)],
+)
+def test_spans_equal_brute_force(spark, monkeypatch, seed_bytes, limit, pairwise, scan, often):
     texts = corpus()
     monkeypatch.setattr(sd, "PAIRWISE", pairwise)
     if scan < 1 << 20:  # executors fork before this is set, so the scanner is tried on its own
@@ -53,7 +56,7 @@ def test_spans_equal_brute_force(spark, monkeypatch, seed_bytes, limit, pairwise
         parts = [(i, int(p)) for i, places, _ in scanner.texts(data) for p in places]
         assert set(parts) == whole and len(parts) == len(whole)
     rows = [(None if i == 20 else i, t, "en", "a") for i, t in enumerate(texts)]
-    got = sd.remove_repeats(make(spark, rows), length=40, seed_bytes=seed_bytes, group_limit=limit, carry=("lang",)).collect()
+    got = sd.remove_repeats(make(spark, rows), length=40, seed_bytes=seed_bytes, group_limit=limit, often=often, carry=("lang",)).collect()
     want = covered([(t or "").encode() for t in texts], 40)
     by_id = {r.doc_id: r for r in got}
     assert len(got) == len(rows)

@@ -5,7 +5,9 @@ A byte is removed if a string of `length` bytes that covers it also starts elsew
 Which suffixes are sorted. Of each window of `length` bytes one position is its
 anchor: the leftmost of the smallest hashes of the window's `seed_bytes`-byte strings.
 The choice depends on the window's bytes alone, so equal windows have the same anchor,
-and only suffixes that start at anchors (about 1 in 180 positions) need sorting. An
+and only suffixes that start at anchors (about 1 in 180 positions) need sorting. Seeds
+that would be the anchor of very many windows (a line in most documents) are counted
+first and passed over wherever a window has another; they are at most SEEDS_AVOIDED. An
 anchor whose seed occurs once cannot lie in a repeated window; it is dropped by
 counting hashes, as distinguishing prefixes are found in distributed string sorting.
 Anchors with the same bytes on both sides (one class) decide each other at once, and
@@ -50,7 +52,10 @@ _PLACE_BITS = 22
 # Suffixes of one sorted run, and of one range of the exchange.
 RUN_SUFFIXES, RANGE_SUFFIXES = 20_000, 4_000
 # Classes of one seed that one task refines.
-GROUP_LIMIT = 2_000
+GROUP_LIMIT = 6_000
+# A seed is passed over if it anchors more often than this, or than its even share of
+# SEEDS_AVOIDED seeds; so no more than SEEDS_AVOIDED are sent to the executors.
+OFTEN, SEEDS_AVOIDED = 3_000, 100_000
 PAIRWISE = 6
 # A range of windows is split into so many at a time.
 SPLIT = 4
@@ -97,8 +102,9 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 class Scanner:
     """Anchors of texts; blocks of many short texts or of parts of a long one."""
 
-    def __init__(self, length: int, seed_bytes: int) -> None:
+    def __init__(self, length: int, seed_bytes: int, avoided: np.ndarray | None = None) -> None:
         self.length, self.seed_bytes = length, seed_bytes
+        self.avoided = np.sort(avoided) if avoided is not None and len(avoided) else None
         self.hasher = _Hasher(seed_bytes, SCAN + length)
 
     def block(self, block: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +112,19 @@ class Scanner:
         h = self.hasher(block)
         low = np.uint64((1 << _PLACE_BITS) - 1)
         keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        least = _sliding_least(keys, self.length - self.seed_bytes + 1)[starts]
-        places = np.unique((least & low).astype(np.int64))
+        width = self.length - self.seed_bytes + 1
+        places = np.unique((_sliding_least(keys, width)[starts] & low).astype(np.int64))
+        if self.avoided is not None and self._avoid(h[places]).any():
+            often = self._avoid(h)
+            keys[often] |= ~low  # last choice of any window
+            places = np.unique((_sliding_least(keys, width)[starts] & low).astype(np.int64))
         return places, h[places]
 
+    def _avoid(self, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.avoided, h)
+        at[at == len(self.avoided)] = 0
+        return self.avoided[at] == h
+
     def texts(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(text number, places, seed hashes); a long text comes in several parts."""
         batch: list[int] = []
@@ -153,11 +168,34 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def _anchors(length: int, seed_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    left_reach = length - seed_bytes
+def _seeds(length: int, seed_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Seed hashes of all anchors, with how often a few texts have them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(length, seed_bytes)
+        for batch in _slices(batches):
+            found = [h for _, _, h in scanner.texts([t.encode() for t in batch.column(0).to_pylist()])]
+            if found:
+                seeds, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(counts.astype(np.int64))], names=["seed", "n"])
+
+    return run
+
+
+def frequent_seeds(rows: DataFrame, length: int, seed_bytes: int, often: int) -> np.ndarray:
+    """Seeds to pass over; their number is bounded by SEEDS_AVOIDED."""
+    counts = keep(rows.select("text").mapInArrow(_seeds(length, seed_bytes), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") > often))
+    # An even share of all counted: no more than SEEDS_AVOIDED seeds can be above it.
+    share = (counts.agg(F.sum("n")).first()[0] or 0) / SEEDS_AVOIDED
+    found = [r.seed for r in counts.where(F.col("n") > share).select("seed").collect()]
+    return np.array(found, dtype=np.int64).view(np.uint64)
+
+
+def _anchors(length: int, seed_bytes: int, avoided: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    left_reach = length - seed_bytes
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(length, seed_bytes, avoided)
         for batch in _slices(batches):
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.encode() for t in batch.column(2).to_pylist()]
@@ -298,30 +336,40 @@ def shared_spans(group: list[Suffix], shared: list[int], length: int) -> list[tu
     return best
 
 
-def _common(adjacent: np.ndarray) -> np.ndarray:
-    """What any two of an order share: the least of what all between them share."""
+def _common(adjacent: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What each of `rows` shares with all of an order: the least of what all between share."""
     n = len(adjacent)
     far = np.iinfo(adjacent.dtype).max
-    grid = np.where(np.arange(n)[None, :] > np.arange(n)[:, None], adjacent[None, :], far).astype(adjacent.dtype)
-    np.minimum.accumulate(grid, axis=1, out=grid)
-    return np.minimum(grid, grid.T)
+    place = np.arange(n)[None, :]
+    after = np.where(place > rows[:, None], adjacent[None, :], far).astype(adjacent.dtype)
+    np.minimum.accumulate(after, axis=1, out=after)
+    # Backwards, the value between two neighbours belongs to the later one.
+    ahead = np.append(adjacent[1:], far)
+    before = np.where(place < rows[:, None], ahead[None, :], far).astype(adjacent.dtype)[:, ::-1]
+    before = np.minimum.accumulate(before, axis=1)[:, ::-1]
+    return np.where(place > rows[:, None], after, before)
 
 
 def _spans_of_many(group: list[Suffix], shared: list[int], length: int) -> list[tuple[int, int] | None]:
-    """The same for a group of bounded size, by tables of shared bytes to both sides."""
+    """The same for a group of bounded size, by tables of shared bytes, some rows at a time."""
     n = len(group)
     kind = np.int16 if length < 16_000 else np.int32
-    right = _common(np.array(shared, dtype=kind))
+    right_adjacent = np.array(shared, dtype=kind)
     order = sorted(range(n), key=lambda i: group[i].left)
-    adjacent = [0, *(common_prefix(group[i].left, group[j].left) for i, j in zip(order, order[1:]))]
+    left_adjacent = np.array([0, *(common_prefix(group[i].left, group[j].left) for i, j in zip(order, order[1:]))], dtype=kind)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
-    left = _common(np.array(adjacent, dtype=kind))[np.ix_(place, place)]
-    np.fill_diagonal(left, -1)
-    np.fill_diagonal(right, -1)
-    hit = left + right >= length
-    most_left, most_right = np.where(hit, left, -1).max(axis=1), np.where(hit, right, -1).max(axis=1)
-    return [(int(l), int(r)) if l >= 0 else None for l, r in zip(most_left, most_right)]
+    out: list[tuple[int, int] | None] = []
+    for start in range(0, n, 256):
+        rows = np.arange(start, min(n, start + 256))
+        right = _common(right_adjacent, rows)
+        left = _common(left_adjacent, place[rows])[:, place]
+        own = (np.arange(len(rows)), rows)
+        left[own] = right[own] = -1
+        hit = left + right >= length
+        most_left, most_right = np.where(hit, left, -1).max(axis=1), np.where(hit, right, -1).max(axis=1)
+        out += [(int(l), int(r)) if l >= 0 else None for l, r in zip(most_left, most_right)]
+    return out
 
 
 def decided(merged: Iterable[tuple[int, Suffix]], length: int, seed_bytes: int) -> Iterator[tuple[int, int, int, int]]:
@@ -413,9 +461,10 @@ def _cores(length: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
 # --- the operator -------------------------------------------------------------------------
 
 
-def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: int) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: int, often: int) -> DataFrame:
     """(k1, k2, spans) for texts (k1, k2, text) that hold repeated windows: maximal spans in order."""
-    anchors = stored(rows.mapInArrow(_anchors(length, seed_bytes), "k1 long, k2 long, pos long, seed long, context long, reach long"))
+    avoided = frequent_seeds(rows, length, seed_bytes, often)
+    anchors = stored(rows.mapInArrow(_anchors(length, seed_bytes, avoided), "k1 long, k2 long, pos long, seed long, context long, reach long"))
     twice = keep(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"))
     members = stored(anchors.join(_light(twice, F.lit(8)), "seed"))
     classes = keep(
@@ -431,7 +480,7 @@ def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: i
     )
     if n_sorted:
         ranges = max(min(64, n_sorted // 500), n_sorted // RANGE_SUFFIXES, 1)
-        runs = _texts_of(rows, sorted_).mapInArrow(_runs(length, seed_bytes, ranges), "range long, run binary")
+        runs = _texts_of(rows, sorted_, limit=0).mapInArrow(_runs(length, seed_bytes, ranges), "range long, run binary")
 
         def merged(group: pa.Table) -> pa.Table:
             rows = list(decided(merge_runs(group.column("run").to_pylist()), length, seed_bytes))
@@ -458,11 +507,16 @@ def _light(df: DataFrame, row_bytes: Column) -> DataFrame:
     return broadcast_if_light(df, row_bytes, LIGHT)
 
 
-def _texts_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(k1, k2, text, wanted): texts with the rows of `chosen` in them; the list is bounded by the text."""
+def _texts_of(rows: DataFrame, chosen: DataFrame, limit: int = LIGHT) -> DataFrame:
+    """(k1, k2, text, wanted): texts with the rows of `chosen` in them; the list is bounded by the text.
+
+    The list of all suffixes to sort follows the data and is joined by a shuffle at
+    every size (limit 0); the lists of the few large groups are broadcast if light.
+    """
     columns = [c for c in chosen.columns if c not in ("k1", "k2")]
     wanted = keep(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("wanted")))
-    return rows.join(_light(wanted, 16 + 8 * len(columns) * F.size("wanted")), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+    listed = broadcast_if_light(wanted, 16 + 8 * len(columns) * F.size("wanted"), limit) if limit else wanted.hint("shuffle_hash")
+    return rows.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
 
 
 def narrowed(rows: DataFrame, large: DataFrame, length: int, seed_bytes: int) -> DataFrame:
@@ -526,6 +580,7 @@ def remove_repeats(
     length: int = LENGTH,
     seed_bytes: int = SEED_BYTES,
     group_limit: int = GROUP_LIMIT,
+    often: int = OFTEN,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, carry..., n_bytes, spans, kept, kept_text): one row per input row.
@@ -542,7 +597,7 @@ def remove_repeats(
         F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"carry_{c}") for c in carry], value.alias("text"),
         F.xxhash64(F.col(doc_id), F.lit("id")).alias("k1"), F.xxhash64(value).alias("k2"),
     )
-    found = repeated_spans(rows.select("k1", "k2", "text"), length, seed_bytes, group_limit)
+    found = repeated_spans(rows.select("k1", "k2", "text"), length, seed_bytes, group_limit, often)
 
     names = ["doc_id", *(f"carry_{c}" for c in carry)]
     light = _light(found, 16 + 16 * F.size("spans"))
