@@ -145,6 +145,22 @@ def test_sequences_are_balanced_by_cost():
     assert costs.std() < 0.5 * plain.std()
 
 
+def test_pieces_go_to_the_cheapest_sequence_with_room():
+    rng = random.Random(9)
+    pieces = [packing.Piece(i, 0, min(2047, int(rng.lognormvariate(5.8, 1)) + 1)) for i in range(6000)]
+    done, _ = packing.pack(pieces, 2048, close=False)
+    bins = [[0.0, i, 2048, []] for i in range(sum(p.length for p in pieces) // 2048)]
+    for p in sorted(pieces, key=lambda p: (-p.length, p.doc)):
+        fit = min((b for b in bins if b[2] >= p.length), key=lambda b: b[:2], default=None)
+        if fit:
+            fit[0] += p.length + p.length**2 / 2048
+            fit[2] -= p.length
+            fit[3].append(p.doc)
+    assert len(bins) > 1000
+    whole = [[p.doc for p in s.pieces if p.length == pieces[p.doc].length] for s in done]
+    assert [b[3] for b in bins] == whole
+
+
 def test_words_have_the_ids_of_the_whole_text():
     ids = packing.word_ids(WORD_BPE)
     rng = random.Random(5)

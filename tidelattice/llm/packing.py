@@ -29,6 +29,7 @@ WORDS_KEPT = 400_000
 # ASCII marks that are pre-tokens of their own after a letter (the apostrophe may start a contraction).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = 1
+_NONE = (float("inf"), -1)
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 
@@ -94,6 +95,46 @@ class Sequence:
         self.cost += LINEAR * piece.length + QUADRATIC * piece.length**2
 
 
+class _CheapestWithRoom:
+    """Open sequences by room: a heap of (cost, number) each, under a tree of their least."""
+
+    def __init__(self, size: int, count: int) -> None:
+        self.base = 1 << size.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+        self.least: list[tuple[float, int]] = [_NONE] * (2 * self.base)
+        self.heaps[size] = [(0.0, i) for i in range(count)]
+        self._update(size)
+
+    def _update(self, room: int) -> None:
+        least, at = self.least, self.base + room
+        least[at] = self.heaps[room][0] if self.heaps[room] else _NONE
+        while at > 1:
+            at >>= 1
+            least[at] = min(least[2 * at], least[2 * at + 1])
+
+    def add(self, room: int, cost: float, i: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, i))
+            self._update(room)
+
+    def take(self, length: int) -> int | None:
+        """The cheapest sequence with at least `length` room, which leaves; None without one."""
+        at, found, place = self.base + length, _NONE, 0
+        if self.least[at] < found:
+            found, place = self.least[at], at
+        while at > 1:
+            if not at & 1 and self.least[at + 1] < found:
+                found, place = self.least[at + 1], at + 1
+            at >>= 1
+        if not place:
+            return None
+        while place < self.base:
+            place = 2 * place if self.least[2 * place] == found else 2 * place + 1
+        heapq.heappop(self.heaps[place - self.base])
+        self._update(place - self.base)
+        return found[1]
+
+
 def pack(pieces: Iterable[Piece], size: int, close: bool) -> tuple[list[Sequence], list[Piece]]:
     """Fill whole sequences of `size`; the second list holds what is left over.
 
@@ -114,21 +155,16 @@ def pack(pieces: Iterable[Piece], size: int, close: bool) -> tuple[list[Sequence
     count = total // size
     bins = [Sequence(size) for _ in range(count)]
     rest: list[Piece] = []
-    heap = [(0.0, i) for i in range(count)]
+    open_ = _CheapestWithRoom(size, count)
     for p in small:
-        # Lowest cost first; sequences too full for this piece wait aside until a shorter one comes.
-        tried = []
-        while heap and bins[heap[0][1]].room < p.length and len(tried) < 64:
-            tried.append(heapq.heappop(heap))
-        if heap and bins[heap[0][1]].room >= p.length:
-            _, i = heapq.heappop(heap)
-            bins[i].put(p)
-            if bins[i].room:
-                heapq.heappush(heap, (bins[i].cost, i))
-        else:
+        i = open_.take(p.length)
+        if i is None:
             rest.append(p)
-        for item in tried:
-            heapq.heappush(heap, item)
+            continue
+        bins[i].put(p)
+        open_.add(bins[i].room, bins[i].cost, i)
+    heap = [(b.cost, i) for i, b in enumerate(bins) if b.room]
+    heapq.heapify(heap)
     # What fitted nowhere is cut to fill the open sequences, cheapest first.
     left: list[Piece] = []
     for p in rest:
