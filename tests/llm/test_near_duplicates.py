@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidelattice.llm import graph, simhash, spherical_caps
+from tidelattice.llm import graph, shingles, simhash, spherical_caps
 
 from .helpers import find_components, make, odd_rows, words
 
@@ -116,3 +116,32 @@ def test_recall_of_the_filters_on_isolated_pairs():
 
 def test_near_vectors_of_an_empty_table(spark):
     assert spherical_caps.near_vectors(vectors(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("pairwise", [2, 32])
+def test_near_copies_equal_brute_force_jaccard(spark, pairwise):
+    rng = random.Random(11)
+    rows = odd_rows(20, longest=2_000)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for i in range(60):
+        near = list(base if i % 2 else [f"v{i // 8}{w}" for w in base])
+        for _ in range(rng.randint(0, 8)):
+            near[rng.randrange(200)] = f"changed{rng.random()}"
+        rows.append((1000 + i, " ".join(near), "en", "a"))
+    docs = make(spark, rows).withColumn("t", shingles.text_key())
+    roots = {r.t: r.root for r in shingles.near_copies(docs, pairwise=pairwise).collect()}
+    got = [(r.text, roots[r.t]) for r in docs.select("text", "t").collect()]
+
+    def cut(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [cut(t) for t, _ in got]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = find_components(range(len(sets)), pairs)
+    found = {}
+    assert all(found.setdefault(r, want[i]) == want[i] for i, (_, r) in enumerate(got))
+    assert len(found) == len(set(want.values())) < len(sets)
+    prints = [simhash.fingerprint(t) for t, _ in got]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 2 for i, j in pairs) > 50
+    assert shingles.near_copies(make(spark, [])).collect() == []
