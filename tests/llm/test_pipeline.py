@@ -93,3 +93,10 @@ def test_stages_take_odd_documents(spark):
     for _, stage in pipeline.STAGES:
         empty = stored(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def test_shared_and_null_ids_keep_one_row_of_each_group(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (1, two), (2, two), (None, one), (3, None), (3, ""), (4, f"{one} more"), (None, "other words"), (None, "other words"), (5, "last")]
+    got = pipeline.one_of_each(spark, make(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, one), (1, two), (3, ""), (None, "other words"), (5, "last")])
