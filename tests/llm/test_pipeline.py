@@ -100,3 +100,15 @@ def test_shared_and_null_ids_keep_one_row_of_each_group(spark):
     rows = [(1, one), (1, two), (2, two), (None, one), (3, None), (3, ""), (4, f"{one} more"), (None, "other words"), (None, "other words"), (5, "last")]
     got = pipeline.one_of_each(spark, make(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, one), (1, two), (3, ""), (None, "other words"), (5, "last")])
+
+
+def test_repeats_of_over_fifty_words_are_cut(spark):
+    def text(name, n):
+        return " ".join(f"{name}{i:03}" for i in range(n))
+
+    long, short = text("xy", 51), text("uv", 42)
+    assert len(short) < len(long) < suffix_dedup.LENGTH
+    rows = [(i, f"{text(f'a{i}', 60)}\n{p}\n{text(f'b{i}', 60)}", "en", "a") for i, p in enumerate([long, long, short, short])]
+    got = {r.doc_id: r.text for r in pipeline.without_repeats(spark, make(spark, rows), SF).collect()}
+    assert all("xy025" not in got[i] and 118 <= len(got[i].split()) <= 121 for i in (0, 1))
+    assert all(got[i] == rows[i][1] for i in (2, 3))

@@ -582,6 +582,7 @@ def remove_repeats(
     group_limit: int = GROUP_LIMIT,
     often: int = OFTEN,
     carry: tuple[str, ...] = (),
+    words: int = 0,
 ) -> DataFrame:
     """(doc_id, carry..., n_bytes, spans, kept, kept_text): one row per input row.
 
@@ -589,7 +590,8 @@ def remove_repeats(
     `kept_text` the remaining text, in which a character on a border stays whole. All
     windows of the input count, those of the same document and of repeated rows
     included. Null texts count as empty; texts shorter than `length` stay as they are.
-    A null id stays null. Columns named in `carry` are passed on; other columns are
+    With `words`, of the spans under LENGTH bytes only those that touch so many words
+    are removed. A null id stays null. Columns named in `carry` are passed on; other columns are
     ignored. An empty table gives an empty result.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -603,11 +605,11 @@ def remove_repeats(
     light = _light(found, 16 + 16 * F.size("spans"))
     joined = rows.join(light, ["k1", "k2"], "left").select(*names, "text", "spans")
     kinds = ", ".join(f"`{n}` {joined.schema[n].dataType.simpleString()}" for n in names)
-    done = joined.mapInArrow(_cut(len(names)), f"{kinds}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, kept_text string")
+    done = joined.mapInArrow(_cut(len(names), words), f"{kinds}, n_bytes long, spans array<struct<a:long,b:long>>, kept binary, kept_text string")
     return done.select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in carry], "n_bytes", "spans", "kept", "kept_text")
 
 
-def _cut(passed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(passed: int, words: int = 0) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Remove the spans of each text; the first `passed` columns go through."""
     span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -615,7 +617,8 @@ def _cut(passed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
         for batch in _slices(batches):
             sizes, spans, kept, texts = [], [], [], []
             for t, s in zip(batch.column(passed).to_pylist(), batch.column(passed + 1).to_pylist()):
-                data, found = t.encode(), [(x["a"], x["b"]) for x in s or ()]
+                data = t.encode()
+                found = [(x["a"], x["b"]) for x in s or () if x["b"] - x["a"] >= LENGTH or len(data[x["a"] : x["b"]].split()) >= words]
                 sizes.append(len(data))
                 spans.append([{"a": a, "b": b} for a, b in found])
                 kept.append(without(data, found) if found else data)
