@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Catalog
-from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_counts, toxicity, url_filters
+from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_counts, toxicity, turn_repair, url_filters
 from .learning import held_out
 
 C = Catalog()
@@ -133,3 +133,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.add("op10_embedding_dedup")
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical_caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@C.add("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = turn_repair.damaged(conversations)
+    return turn_repair.digests(conversations, rows, turn_repair.repair(rows))
