@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Catalog
-from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_counts, toxicity, turn_repair, url_filters
+from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_alignment, token_counts, toxicity, turn_repair, url_filters
 from .learning import held_out
 
 C = Catalog()
@@ -140,3 +140,9 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     rows = turn_repair.damaged(conversations)
     return turn_repair.digests(conversations, rows, turn_repair.repair(rows))
+
+
+@C.add("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.alignments(table(spark, sf_dir, "documents"), *paths)
