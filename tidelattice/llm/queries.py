@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Catalog
-from . import mixing, packing, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_alignment, token_counts, toxicity, turn_repair, url_filters
+from . import mixing, packing, pivot_search, quality_neighbours, quality_rules, simhash, spherical_caps, suffix_dedup, token_alignment, token_counts, toxicity, turn_repair, url_filters
 from .learning import held_out
 
 C = Catalog()
@@ -146,3 +146,8 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return token_alignment.alignments(table(spark, sf_dir, "documents"), *paths)
+
+
+@C.add("op13_pivot_search")
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
