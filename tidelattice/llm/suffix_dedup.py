@@ -491,7 +491,8 @@ def repeated_spans(rows: DataFrame, length: int, seed_bytes: int, group_limit: i
         found = found.unionByName(in_order)
     if n_large:
         found = found.unionByName(narrowed(rows, large, length, seed_bytes))
-    found = keep(found)
+    # All spans of a class hold its anchor, so the farthest ends are their union.
+    found = keep(found.groupBy("seed", "context").agg(F.max("l").alias("l"), F.max("r").alias("r")))
     spans = members.join(found, ["seed", "context"]).select(
         "k1", "k2", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")
     )
