@@ -27,6 +27,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -45,6 +46,8 @@ from .common import keep, stored
 SLICES = 16
 # Documents whose pairs travel together, and blocks that one copy of a slice meets.
 BLOCK_DOCS, BLOCKS_A_COPY = 256, 512
+# Characters tokenised at once (at least one text).
+PART_CHARS = 500_000
 # Pairs counted in a task before its counts are passed on.
 COUNTED = 4_000_000
 
@@ -65,9 +68,11 @@ class Vocabularies:
         by_id = {i: b for b, i in ranks.items()}
         self.first_bytes = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
-        self.first_size = np.array([len(b) for b in self.first_bytes])
-        self.second_size = np.array([len(b) for b in self.second_bytes])
+        self.first_size, self.second_size = ([len(b) for b in x] for x in (self.first_bytes, self.second_bytes))
         self.width = len(self.second_bytes)
+        # Ids as text, with what follows the last token of a group and any other.
+        self.last_a, self.more_a = ([f"{i}{c}" for i in range(len(self.first_bytes))] for c in "|,")
+        self.last_b, self.more_b = ([f"{i}{c}" for i in range(self.width)] for c in ";,")
 
     def _piece(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
@@ -75,13 +80,19 @@ class Vocabularies:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of blank and text in both; none where they do not spell the text."""
-        wanted = b" " + text.encode()
-        a, b = self.first.encode_ordinary(" " + text), self.second.encode(text)
-        if b"".join(map(self.second_bytes.__getitem__, b)) != wanted or b"".join(map(self.first_bytes.__getitem__, a)) != wanted:
-            return [], []
-        return a, b
+    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of blank and text in both; none where they do not spell the text.
+
+        The first library cuts the bytes as they are, so its tokens spell the text if
+        their sizes add up; the second may change characters. One library after the
+        other reads all texts, which keeps its tables in the processor's cache.
+        """
+        wanted = [b" " + t.encode() for t in texts]
+        second = [self.second.encode(t) for t in texts]
+        spelled = [b"".join(map(self.second_bytes.__getitem__, b)) == w for b, w in zip(second, wanted, strict=True)]
+        first = [self.first.encode_ordinary(" " + t) if s else [] for t, s in zip(texts, spelled, strict=True)]
+        whole = [s and sum(map(self.first_size.__getitem__, a)) == len(w) for s, a, w in zip(spelled, first, wanted, strict=True)]
+        return [(a, b) if w else ([], []) for a, b, w in zip(first, second, whole, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -90,22 +101,24 @@ def vocabularies(first: str, second: str) -> Vocabularies:
 
 
 class Alignment(NamedTuple):
-    runs: list[tuple[int, int, int, int]]  # groups [i0, i1) x [j0, j1); a run of one-to-one groups has i1 - i0 = j1 - j0
-    straight: list[bool]  # whether an entry of `runs` is a one-to-one stretch
-    left: list[int]  # links: token numbers in the first
+    """Group borders, flat: after each entry the token numbers reached in both, and whether it is a stretch of one-to-one groups."""
+
+    left_ends: list[int]
+    right_ends: list[int]
+    straight: list[bool]
+    left: list[int]  # links of irregular groups: token numbers in the first
     right: list[int]  # and in the second
 
 
 def align(ends_a: list[int], ends_b: list[int]) -> Alignment:
-    """Groups and links of two arrays of end offsets whose last entries agree."""
-    runs: list[tuple[int, int, int, int]] = []
-    straight: list[bool] = []
-    left: list[int] = []
-    right: list[int] = []
+    """Groups of two arrays of end offsets whose last entries agree, and the links of irregular groups."""
+    found = Alignment([], [], [], [], [])
+    reach_a, reach_b, straight, left, right = (x.append for x in found)
     i = j = 0
     n, m = len(ends_a), len(ends_b)
     while i < n:
-        if ends_a[i] == ends_b[j]:
+        a, b = ends_a[i], ends_b[j]
+        if a == b:
             # Probe along the diagonal with doubling steps, then close in by halving.
             k, step, limit = 1, 2, min(n - i, m - j)
             while k < limit and ends_a[i + k : i + k + step] == ends_b[j + k : j + k + step]:
@@ -118,44 +131,63 @@ def align(ends_a: list[int], ends_b: list[int]) -> Alignment:
                 step //= 2
             if k > limit:
                 k = limit
-            runs.append((i, i + k, j, j + k))
-            straight.append(True)
-            left.extend(range(i, i + k))
-            right.extend(range(j, j + k))
             i += k
             j += k
+            straight(True)
         else:
             # An irregular group: each step links two overlapping tokens.
-            i0, j0 = i, j
-            a, b = ends_a[i], ends_b[j]
             while a != b:
-                left.append(i)
-                right.append(j)
+                left(i)
+                right(j)
                 if a < b:
                     i += 1
                     a = ends_a[i]
                 else:
                     j += 1
                     b = ends_b[j]
-            left.append(i)
-            right.append(j)
+            left(i)
+            right(j)
             i += 1
             j += 1
-            runs.append((i0, i, j0, j))
-            straight.append(False)
-    return Alignment(runs, straight, left, right)
-
-
-def spelled_groups(found: Alignment, a: list[int], b: list[int]) -> str:
+            straight(False)
+        reach_a(i)
+        reach_b(j)
+    return found
+
+
+def links(found: Alignment) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all links: those of one-to-one stretches along their diagonals, then the others."""
+    straight = np.array(found.straight, bool)
+    out = []
+    for ends, others in ((found.left_ends, found.left), (found.right_ends, found.right)):
+        ends = np.array(ends, np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = (ends - starts)[straight]
+        before = np.cumsum(sizes) - sizes
+        out.append(np.concatenate([np.arange(sizes.sum()) + np.repeat(starts[straight] - before, sizes), np.array(others, np.int64)]))
+    return out[0], out[1]
+
+
+def spelled_groups(v: Vocabularies, found: Alignment, a: list[int], b: list[int]) -> str:
     """`a1,a2|b1;a3|b2,b3`: ids of each group in order."""
-    sa, sb = list(map(str, a)), list(map(str, b))
+    sa, sb = list(map(v.last_a.__getitem__, a)), list(map(v.last_b.__getitem__, b))
+    more_a, more_b = v.more_a, v.more_b
     parts: list[str] = []
-    for (i0, i1, j0, j1), one_to_one in zip(found.runs, found.straight, strict=True):
+    i = j = 0
+    for i1, j1, one_to_one in zip(found.left_ends, found.right_ends, found.straight, strict=True):
         if one_to_one:
-            parts.extend(map("|".join, zip(sa[i0:i1], sb[j0:j1], strict=True)))
+            both = [""] * (2 * (i1 - i))
+            both[::2], both[1::2] = sa[i:i1], sb[j:j1]
+            parts += both
         else:
-            parts.append(",".join(sa[i0:i1]) + "|" + ",".join(sb[j0:j1]))
-    return ";".join(parts)
+            if i1 - i > 1:
+                parts += [more_a[x] for x in a[i : i1 - 1]]
+            parts.append(sa[i1 - 1])
+            if j1 - j > 1:
+                parts += [more_b[x] for x in b[j : j1 - 1]]
+            parts.append(sb[j1 - 1])
+        i, j = i1, j1
+    return "".join(parts)[:-1]
 
 
 def _coded(values: np.ndarray) -> bytes:
@@ -183,35 +215,40 @@ def aligned(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(first, second)
         row = TaskContext.get().partitionId() << 33
+        types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
+        names = ["row", "doc_id", *(f.split()[0] for f in _DOCUMENT.split(", "))]
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                done = []
-                for scalar in part.column(1):
-                    t = scalar.as_py()
-                    a, b = v.tokens(t) if t else ([], [])
-                    done.append((row, *_document(v, a, b)))
-                    row += 1
-                columns = list(zip(*done, strict=True))
-                types = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], types[0]), part.column(0), *(pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True))],
-                    ["row", "doc_id", *(f.split()[0] for f in _DOCUMENT.split(", "))],
-                )
+            for part in _parts(batch):
+                texts = part.column(1).to_pylist()
+                ids = iter(v.tokens([t for t in texts if t]))
+                columns = zip(*(_document(v, *(next(ids) if t else ([], []))) for t in texts), strict=True)
+                numbers = pa.array(np.arange(row, row + len(texts)))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([numbers, part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     return stored(rows.mapInArrow(run, f"row long, doc_id {id_type}, {_DOCUMENT}"))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a few texts, fewer where they are long."""
+    sizes = np.cumsum(np.fromiter((len(t) if (t := x.as_py()) else 0 for x in batch.column(1)), np.int64, batch.num_rows))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, min(start + 256, int(np.searchsorted(sizes, before + PART_CHARS, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _document(v: Vocabularies, a: list[int], b: list[int]) -> tuple:
     if not a:
         return 0, 0, 0, 0, "", b"", b""
-    ids_a, ids_b = np.array(a), np.array(b)
-    found = align(np.cumsum(v.first_size[ids_a]).tolist(), np.cumsum(v.second_size[ids_b]).tolist())
-    groups = sum(r[1] - r[0] if s else 1 for r, s in zip(found.runs, found.straight, strict=True))
-    links = ids_a[found.left] * v.width + ids_b[found.right]
-    pairs, times = np.unique(links, return_counts=True)
-    digest = hashlib.sha256(spelled_groups(found, a, b).encode()).hexdigest()
-    return len(a), len(b), groups, len(links), digest, _coded(pairs), times.astype("<u4").tobytes()
+    found = align(list(accumulate(map(v.first_size.__getitem__, a))), list(accumulate(map(v.second_size.__getitem__, b))))
+    left, right = links(found)
+    pairs, times = np.unique(np.array(a)[left] * v.width + np.array(b)[right], return_counts=True)
+    groups = len(left) - len(found.left) + len(found.straight) - sum(found.straight)
+    digest = hashlib.sha256(spelled_groups(v, found, a, b).encode()).hexdigest()
+    return len(a), len(b), groups, len(left), digest, _coded(pairs), times.astype("<u4").tobytes()
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
