@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidelattice.functions import signals
 from tidelattice.functions.tides import basis_matrix, fit_robust
 from tidelattice.operators import detect as D
 from tidelattice.operators import inversion as I
@@ -69,7 +70,7 @@ def test_window_scores_find_the_burst(spark):
         rows += [("dart", "21401", int((w * 21_600 + s) * 1e6), i, float(v)) for i, (s, v) in enumerate(zip(t, y))]
     df = spark.createDataFrame(rows, "source_type string, station_id string, ts_us long, seq long, value_m double").repartition(4)
     found = D.window_features(D.collect_windows(df))
-    scored = D.score_features(found, D.calibrate_baseline(found), F.lit(False)).orderBy("window_no").collect()
+    scored = D.score_features(found, D.calibrate_baseline(found, 3 * 21_600_000_000), F.lit(False)).orderBy("window_no").collect()
     assert [r["status"] for r in scored] == ["SCORING_SUCCEEDED"] * 4
     assert all(r["ensemble_score"] < 0.35 for r in scored[:3]) and scored[3]["ensemble_score"] > 0.85
     assert scored[3]["tier"] == "ESCALATE" and not scored[3]["filter_degraded"]
@@ -104,3 +105,62 @@ def test_drift_follows_the_parabola_and_ignores_a_burst(spark):
     # At both ends the curve meets the median of the outermost rows.
     assert np.isclose(a[0], np.median(z[:5])) and abs(a[-1] - np.median(z[-5:])) < 1e-3
     assert np.allclose(got[got.k == "b"].baseline, 2.0) and np.allclose(got[got.k == "c"].baseline, 3.0)
+
+
+def station_windows(spark, seed=21, n=200):
+    """A buoy with a separate fit and a gauge without; a burst in the second half."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for source, station in (("dart", "21401"), ("coops", "9410000")):
+        t = np.cumsum(rng.choice([59, 60, 61, 120], size=n)) * 1_000_000
+        y = 0.5 * np.cos(t / 3.6e9 * 0.5) + 0.003 * rng.normal(size=n) + 0.15 * np.sin(2 * np.pi * t / 1.2e9) * (np.arange(n) > n // 2)
+        fit = [0.0] * 17 if source == "dart" else None
+        rows.append((source, station, 0, int(t[-1]), t.tolist(), y.tolist(), fit, 0 if fit else None))
+    rows.append(("dart", "short", 0, 1, [0, 60_000_000, 120_000_000], [0.1, 0.2, 0.3], None, None))
+    rows.append(("dart", "one", 0, 1, [0], [0.1], None, None))
+    y = [0.1] * 80 + [float("nan")] + [0.1] * 40
+    rows.append(("dart", "nan", 0, 1, [i * 60_000_000 for i in range(121)], y, None, None))
+    return spark.createDataFrame(
+        rows, "source_type string, station_id string, window_no long, window_end_us long, times array<long>, samples array<double>, coefficients array<double>, t0_us long"
+    )
+
+
+def test_prefixes_equal_windows_scored_on_their_own(spark):
+    """Each prefix, cut out and scored as a window with the record's sampling step, gives the same features."""
+    windows = station_windows(spark)
+    got = D.prefix_features(windows).toPandas()
+    assert set(got[got.station_id == "nan"].status) == {"SCORING_SUCCEEDED", "SCORING_FAILED", "INSUFFICIENT_DATA"}
+    assert not len(got[got.station_id == "one"])
+    for row in windows.collect():
+        own = got[(got.station_id == row.station_id) & (got.status == "SCORING_SUCCEEDED")]
+        step = np.median(np.diff(row.times)) / 1e6 if len(row.times) > 1 else None
+        for p in own.itertuples():
+            t, y = np.array(row.times[: p.n_samples], float), np.array(row.samples[: p.n_samples])
+            assert p.n_samples == p.prefix * int(300 / step) and p.window_end_us == t[-1]
+            hours = (t - (row.t0_us if row.coefficients else t[0])) / 3.6e9
+            fit = np.array(row.coefficients) if row.coefficients else fit_robust(hours, y)
+            left = (y - basis_matrix(hours) @ fit)[None, :]
+            n = np.array([len(y)])
+            flat = signals.bandpass(left.copy(), np.array([1 / step]), n)[0]
+            change = signals.change_score(signals.change_surprise(left, n)[0])
+            want = (np.max(np.abs(flat)), signals.wavelet_energy(flat, step), change)
+            assert np.allclose((p.peak_m, p.wavelet_energy, p.bocpd_score), want, rtol=1e-6, atol=1e-9)
+
+
+def test_first_crossing_of_growing_scores(spark):
+    found = D.prefix_features(station_windows(spark))
+    base = spark.createDataFrame([("dart", "21401", 1e-6)], "source_type string, station_id string, quiet_energy double")
+    scored = D.with_first_crossings(D.score_features(found, base, F.lit(False))).where("station_id = '21401'").orderBy("prefix").toPandas()
+    hits = {i: scored[scored.ensemble_score >= t].minutes for i, t in ((1, 0.35), (2, 0.60), (3, 0.85))}
+    assert len(hits[1])
+    for i, minutes in hits.items():
+        first = minutes.min() if len(minutes) else None
+        assert (scored[f"t{i}_min"].isna().all() if first is None else np.allclose(scored[f"t{i}_min"], first))
+
+
+def test_baseline_of_a_buoy_without_a_quiet_window_is_its_first_half_hour(spark):
+    found = D.window_features(station_windows(spark).where("station_id = '21401'"))
+    row = found.first()
+    assert D.early_samples(200, 60.0) == 30 and D.early_samples(200, 900.0) == 10 and D.early_samples(12, 60.0) == 6
+    base = D.calibrate_baseline(found, 0).first()["quiet_energy"]
+    assert base == row["early_energy"] and base < row["wavelet_energy"] / row["n_samples"]

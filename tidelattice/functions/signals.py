@@ -72,6 +72,11 @@ def bandpass(values: np.ndarray, rates_hz: np.ndarray, lengths: np.ndarray) -> n
     return out
 
 
+def settled(filtered: np.ndarray) -> np.ndarray:
+    """A prefix of a causal filter's output; one too short for the filter counts as zero."""
+    return filtered if len(filtered) > 2 * FILTER_ORDER + 1 else np.zeros(len(filtered))
+
+
 def wavelet_energy(signal: np.ndarray, step_sec: float) -> float:
     """Energy of the detail levels whose period band meets 5 to 120 minutes."""
     n = len(signal)

@@ -1,8 +1,8 @@
 """Window features from the detectors, and their scores.
 
-A window is bounded (six hours, at most 50,000 newest samples). It becomes one
-row with two arrays on the JVM side; Arrow then carries many windows per batch
-and the kernels run across the windows of a batch at once.
+A window is bounded by its six hours. It becomes one row with two arrays on the JVM
+side; Arrow then carries many windows per batch and the kernels run across the
+windows of a batch at once. Growing prefixes of a window share one causal pass.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 from ..functions import scores as score
 from ..functions import signals
 from ..functions.tides import basis_matrix, fit_robust
-from ..schemas import WINDOW_HOURS, WINDOW_MIN_SAMPLES
+from ..schemas import T1, T2, T3, WINDOW_HOURS, WINDOW_MIN_SAMPLES
 from .partitioned import broadcast_if_small
 
 STATION = ["source_type", "station_id"]
 SLICE = 64
 ENERGY_FLOOR = 1e-10
+# What a record without a quiet series is compared with.
+EARLY_SEC, EARLY_MIN_SAMPLES = 1800.0, 10
 
 FEATURES = T.StructType(
     [
@@ -39,6 +41,7 @@ FEATURES = T.StructType(
         T.StructField("energy_5min", T.DoubleType()),
         T.StructField("energy_15min", T.DoubleType()),
         T.StructField("max_step_m", T.DoubleType()),
+        T.StructField("early_energy", T.DoubleType()),
         T.StructField("fit_source", T.StringType()),
         T.StructField("status", T.StringType()),
     ]
@@ -99,7 +102,7 @@ def _slice_features(part: pd.DataFrame) -> pd.DataFrame:
     good = np.isfinite(steps) & (steps > 0)
     out = part[[*STATION, "window_no", "window_end_us"]].copy()
     out["n_samples"], out["step_sec"], out["fit_source"], out["status"] = lengths, steps, sources, status
-    names = ["peak_m", "wavelet_energy", "bocpd_score", "energy_5min", "energy_15min", "max_step_m"]
+    names = ["peak_m", "wavelet_energy", "bocpd_score", "energy_5min", "energy_15min", "max_step_m", "early_energy"]
     found = np.full((len(part), len(names)), np.nan)
     if good.any():
         at = np.flatnonzero(good)
@@ -109,26 +112,117 @@ def _slice_features(part: pd.DataFrame) -> pd.DataFrame:
             y, n, step = filtered[j, : lengths[i]], lengths[i], steps[i]
             tail = [float(np.mean(y[-max(1, int(sec / step)) :] ** 2)) for sec in (300.0, 900.0)]
             jump = float(np.max(np.abs(np.diff(y)))) if n > 1 else 0.0
+            early = y[: early_samples(n, step)]
             found[i] = (
                 np.max(np.abs(y)), signals.wavelet_energy(y, step), signals.change_score(surprise[j, :n]), *tail, jump,
+                signals.wavelet_energy(early, step) / max(len(early), 1),
             )
     out[names] = found
     return out[FEATURES.names].astype({"n_samples": "int64"})
 
 
+def early_samples(n: int, step_sec: float) -> int:
+    """The first 30 minutes of a record, at least 10 samples, at most half of it."""
+    return min(max(EARLY_MIN_SAMPLES, int(EARLY_SEC / step_sec)), n // 2)
+
+
 def calibrate_baseline(features: DataFrame, quiet_until_us: int) -> DataFrame:
     """Quiet-time wavelet energy per sample of each buoy.
 
     It is the mean over all windows that end before `quiet_until_us`; a buoy without
-    such a window uses its first one. Gauges have no quiet series and no baseline.
+    such a window uses the first 30 minutes of its first one. Gauges have no quiet
+    series and no baseline.
     """
     good = features.where((F.col("status") == "SCORING_SUCCEEDED") & (F.col("source_type") == "dart"))
     quiet = F.col("window_end_us") < quiet_until_us
     mean = F.sum(F.when(quiet, F.col("wavelet_energy"))) / F.sum(F.when(quiet, F.col("n_samples")))
-    first = F.min_by(F.col("wavelet_energy") / F.col("n_samples"), "window_no")
+    first = F.min_by("early_energy", "window_no")
     return good.groupBy(*STATION).agg(F.coalesce(mean, first).alias("quiet_energy"))
 
 
+PREFIXES = T.StructType(
+    [
+        *[f for f in FEATURES.fields if f.name in (*STATION, "window_no", "window_end_us")],
+        T.StructField("prefix", T.LongType()),
+        T.StructField("minutes", T.DoubleType()),
+        *[f for f in FEATURES.fields if f.name in ("n_samples", "step_sec", "peak_m", "wavelet_energy", "bocpd_score", "fit_source", "status")],
+    ]
+)
+
+
+def prefix_features(windows: DataFrame, step_min: int = 5, max_min: int = 360) -> DataFrame:
+    """Detector features of every growing prefix of a window, one row each.
+
+    Prefix k ends after k steps of `step_min` minutes of samples, before the window's
+    last sample; `window_end_us` is its newest sample. With a separate tide fit
+    (columns `coefficients`, `t0_us`) the filter, the run lengths of the change-point
+    detector and the peak are read off one causal pass over the window. Without one
+    each prefix has its own robust fit and the prefixes are filtered together; a few
+    hours cannot tell the constituents apart, so that system is solved anew each time
+    (an updated factor gives other residuals).
+    """
+    full = windows
+    for name, kind in (("coefficients", "array<double>"), ("t0_us", "long")):
+        if name not in set(windows.columns):
+            full = full.withColumn(name, F.lit(None).cast(kind))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                part = _window_prefixes(row, step_min, max_min)
+                if len(part):
+                    yield part
+
+    return full.select(*STATION, "window_no", "times", "samples", "coefficients", "t0_us").mapInPandas(run, PREFIXES)
+
+
+def _window_prefixes(row, step_min: int, max_min: int) -> pd.DataFrame:
+    values, times = np.asarray(row.samples, dtype=float), np.asarray(row.times, dtype=float)
+    step = float(np.median(np.diff(times)) / 1e6) if len(times) > 1 else np.nan
+    if not step > 0:
+        return pd.DataFrame(columns=PREFIXES.names)
+    size = max(1, int(step_min * 60 / step))
+    ends = np.arange(size, len(values), size)
+    ends = ends[(times[ends - 1] - times[0]) / 6e7 <= max_min]
+    separate = row.coefficients is not None
+    out = pd.DataFrame({"prefix": ends // size, "minutes": (times[ends - 1] - times[0]) / 6e7, "n_samples": ends, "window_end_us": times[ends - 1].astype("int64")})
+    found = np.full((len(ends), 3), np.nan)
+    enough = (ends >= WINDOW_MIN_SAMPLES) & np.array([np.all(np.isfinite(values[:e])) for e in ends], bool)
+    at = np.flatnonzero(enough)
+    if len(at):
+        longest = ends[at[-1]]
+        if separate:
+            hours = (times[:longest] - row.t0_us) / 3.6e9
+            left = (values[:longest] - basis_matrix(hours) @ np.asarray(row.coefficients))[None, :]
+            filtered = signals.bandpass(left.copy(), np.array([1.0 / step]), np.array([longest]))[0]
+            surprise = signals.change_surprise(left, np.array([longest]))[0]
+            parts = [(signals.settled(filtered[:e]), surprise[:e]) for e in ends[at]]
+        else:
+            hours = (times[:longest] - times[0]) / 3.6e9
+            left = np.zeros((len(at), longest))
+            for i, e in enumerate(ends[at]):
+                left[i, :e] = values[:e] - basis_matrix(hours[:e]) @ fit_robust(hours[:e], values[:e])
+                left[i, e:] = left[i, e - 1]
+            filtered = signals.bandpass(left.copy(), np.full(len(at), 1.0 / step), ends[at])
+            surprise = signals.change_surprise(left, ends[at])
+            parts = [(f[:e], s[:e]) for f, s, e in zip(filtered, surprise, ends[at])]
+        found[at] = [(np.max(np.abs(y)), signals.wavelet_energy(y, step), signals.change_score(s)) for y, s in parts]
+    out[["peak_m", "wavelet_energy", "bocpd_score"]] = found
+    finite = np.array([np.all(np.isfinite(values[:e])) for e in ends], bool)
+    out["status"] = np.where(enough, "SCORING_SUCCEEDED", np.where(finite, "INSUFFICIENT_DATA", "SCORING_FAILED"))
+    out["step_sec"], out["fit_source"] = step, "separate calibration series" if separate else "event window"
+    for name in (*STATION, "window_no"):
+        out[name] = getattr(row, name)
+    return out[PREFIXES.names]
+
+
+def with_first_crossings(scores: DataFrame) -> DataFrame:
+    """Add the minutes at which each window's growing score first reached each threshold; a window has few prefixes."""
+    window = Window.partitionBy(*STATION, "window_no")
+    reached = {f"t{i}_min": F.min(F.when(F.col("ensemble_score") >= t, F.col("minutes"))).over(window) for i, t in enumerate((T1, T2, T3), 1)}
+    return scores.withColumns(reached)
+
+
 def score_features(features: DataFrame, baselines: DataFrame, quiet: Column, ml: Column | None = None) -> DataFrame:
     """All score components of each window; failed windows stay as rows with null scores."""
     out = features.join(broadcast_if_small(baselines), STATION, "left")
@@ -159,14 +253,13 @@ def fit_forest(features: DataFrame, columns: Sequence[str], trees: int = 100, sa
     tree are kept, so the draw does not depend on partitioning and a tree's rows
     are bounded.
     """
-    total = features.count()
-    # Keep a few times the wanted rows by hash first, then cut exactly by rank.
-    odds = min(1.0, 4.0 * sample / max(total, 1))
     keyed = features.withColumn("_row", F.xxhash64(*[F.col(c) for c in [*STATION, "window_no"]]))
-    drawn = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_rank", F.pmod(F.xxhash64("_row", "tree", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    )
-    near = drawn.where(F.col("_rank") < odds)
+    # Keep a few times the wanted rows by hash first, then cut exactly by rank. Which trees
+    # draw a row is decided on the row, so only drawn copies leave the scan.
+    odds = min(1.0, 4.0 * sample / max(features.count(), 1))
+    rank = lambda tree: F.pmod(F.xxhash64("_row", tree, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    numbers = F.array(*[F.lit(t) for t in range(trees)])
+    near = keyed.withColumn("tree", F.explode(F.filter(numbers, lambda t: rank(t) < odds))).withColumn("_rank", rank(F.col("tree")))
     by_tree = Window.partitionBy("tree").orderBy("_rank", "_row")
     rows = near.withColumn("_place", F.row_number().over(by_tree)).where(F.col("_place") <= sample)
     names = list(columns)

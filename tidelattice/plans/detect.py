@@ -175,6 +175,25 @@ def score_windows(spark, sf_dir):
     )
 
 
+@C.add("score_prefixes")
+def score_prefixes(spark, sf_dir):
+    """The score of every growing prefix of each window, and when it first reached each threshold.
+
+    A prefix is judged by the earthquakes known at its newest sample.
+    """
+    windows = D.collect_windows(observations(spark, sf_dir))
+    fits = cut_lineage(calibration_fits(spark, sf_dir)).select(*STATION, "coefficients", "t0_us")
+    fitted = windows.join(J.broadcast_if_small(fits), STATION, "left")
+    found = cut_lineage(D.prefix_features(fitted).withColumn("ts_us", F.col("window_end_us")))
+    quake = quakes(spark, sf_dir)
+    baselines = D.calibrate_baseline(D.window_features(fitted), CAL_END_US)
+    scored = D.score_features(J.with_quiet_then(found, quake), baselines, F.col("quiet"))
+    return D.with_first_crossings(scored).select(
+        *STATION, "window_no", "prefix", F.round("minutes", 1).alias("minutes"), "n_samples", "status", "quiet",
+        "threshold_score", "wavelet_score", "bocpd_score", "ensemble_score", "tier", "t1_min", "t2_min", "t3_min",
+    )
+
+
 FOREST = ["energy_5min", "energy_15min", "max_step_m", "spatial"]
 
 
