@@ -169,15 +169,26 @@ def machine_input(scores: DataFrame, quakes: DataFrame, resolutions: DataFrame |
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """Run each basin's machine over its log in order; one transition per row."""
+    """Run each basin's machine over its log in order; one transition per row.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        machine, out = Machine(), []
-        for row in part.sort_values(["tick", "rank", "ts_us", "event_id"]).itertuples(index=False):
-            out += [(row.basin, *moved) for moved in machine.apply(row)]
-        return pd.DataFrame(out, columns=TRANSITIONS.names)
-
-    return log.groupBy("basin").applyInPandas(run, TRANSITIONS)
+    The log is dealt by basin and sorted on disk where need be; a task streams over it
+    and holds one batch of rows and one small machine, however long a basin's log is.
+    """
+    order = ["basin", "tick", "rank", "ts_us", "event_id"]
+    dealt = log.select(*INPUT.names).repartition("basin").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, basin = Machine(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.basin != basin:
+                    machine, basin = Machine(), row.basin
+                out += [(row.basin, *moved) for moved in machine.apply(row)]
+            if out:
+                yield pd.DataFrame(out, columns=TRANSITIONS.names)
+
+    return dealt.mapInPandas(run, TRANSITIONS)
 
 
 def confirmation_timeline(bound: DataFrame) -> DataFrame:

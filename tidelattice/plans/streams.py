@@ -74,6 +74,7 @@ def event_mode_state(spark, sf_dir):
 
 
 NOW_US = EPOCH_2024_US + 30 * 86_400_000_000
+CLOCK_US = EPOCH_2024_US + 15 * 86_400_000_000
 
 
 @C.add(
@@ -193,3 +194,47 @@ def windowed_metrics(spark, sf_dir):
     """Final windows only: the last six hours stay open until the watermark passes them."""
     rows = event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return jobs.run_to_table(jobs.windowed_metrics(rows, "event_type", "ts"), "metrics")
+
+
+GUARD_SQL = with_cte(OBS, body=f"""SELECT timing_class, count(*) AS n, max(ts_us) AS newest_us FROM (
+  SELECT ts_us, CASE WHEN ts_us < {CLOCK_US} - 21600000000 THEN 'late' WHEN ts_us > {CLOCK_US} + 900000000 THEN 'future' ELSE 'on_time' END AS timing_class
+  FROM obs) GROUP BY 1""")
+
+
+@C.add("stream_guard", GUARD_SQL)
+def stream_guard(spark, sf_dir):
+    """Late and future rows are a side output of the stream, counted, not lost."""
+    folder = jobs.shared_folder(spark, "guard")
+    rows = observation_stream(spark, sf_dir).drop("measurement_type")
+    jobs.guard(rows, f"{folder}/rows", f"{folder}/checkpoint", lambda _: CLOCK_US).awaitTermination()
+    out = jobs.guarded(spark, f"{folder}/rows", rows.schema)
+    return out.groupBy("timing_class").agg(F.count(F.lit(1)).alias("n"), F.max("ts_us").alias("newest_us"))
+
+
+HEALTH_SQL = with_cte(OBS, body=f"""SELECT source_type, station_id, last_us, error_us, CASE WHEN error_us IS NOT NULL AND (last_us IS NULL OR error_us > last_us) THEN 'OFFLINE'
+  WHEN {NOW_US} - last_us >= interval_sec * 2000000 THEN 'STALE' ELSE 'ONLINE' END AS status FROM (
+  SELECT source_type, station_id, max(ts_us) AS last_us, arg_max(expected_interval_sec, ts_us) AS interval_sec FROM obs WHERE seq % 100 <> 99 AND ts_us <= {NOW_US} GROUP BY 1, 2)
+FULL JOIN (SELECT source_type, station_id, max(ts_us) AS error_us FROM obs WHERE seq % 100 = 99 AND ts_us <= {NOW_US} GROUP BY 1, 2) USING (source_type, station_id)""")
+
+
+@C.add("stream_station_health", HEALTH_SQL)
+def stream_station_health(spark, sf_dir):
+    """Health of each station when the clock has moved on to the report's time."""
+    folder = jobs.shared_folder(spark, "health-log")
+    columns = ("source_type", "station_id", "seq", "ts_us", "expected_interval_sec", "is_error")
+    obs = observations(spark, sf_dir).where(F.col("ts_us") <= NOW_US).withColumn("is_error", F.col("seq") % 100 == 99).select(*columns)
+    # A clock of its own moves the watermark to the report's time.
+    clock = spark.range(1).select(
+        F.lit("clock").alias("source_type"), F.lit("clock").alias("station_id"), F.lit(-1).cast("long").alias("seq"),
+        F.lit(NOW_US + 1000).cast("long").alias("ts_us"), F.lit(None).cast(obs.schema["expected_interval_sec"].dataType).alias("expected_interval_sec"),
+        F.lit(False).alias("is_error"),
+    )
+    obs.unionByName(clock).write.parquet(folder)
+    log = spark.readStream.schema(obs.schema).parquet(folder)
+    changes = jobs.run_to_table(jobs.station_health(log.where("NOT is_error"), log.where("is_error"), "0 seconds"), "health")
+    last = changes.groupBy("source_type", "station_id").agg(F.max(F.struct("at_us", "status", "last_us", "error_us")).alias("s"))
+    # The newest reading and error are facts of the log; the status is what the stream said last.
+    seen = obs.groupBy("source_type", "station_id").agg(
+        F.max(F.when(~F.col("is_error"), F.col("ts_us"))).alias("last_us"), F.max(F.when(F.col("is_error"), F.col("ts_us"))).alias("error_us")
+    )
+    return last.join(seen, ["source_type", "station_id"]).select("source_type", "station_id", "last_us", "error_us", F.col("s.status").alias("status"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.quality import validate_split
+from ..operators.quality import guard_late_and_future, validate_split
 from ..operators.alerts import TRANSITIONS
 from ..sources.feeds import decode_envelopes
 from ..sources.sinks import append_observations, new_rows, quarantine_rows
@@ -22,8 +22,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelattice-stream-")
+    """A fresh folder below the cluster's shared checkpoint folder, or a temporary one on a single machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="tidelattice-stream-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,12 +44,57 @@ def revisions(rows: DataFrame, live: bool = True) -> DataFrame:
     return keyed(rows, ["event_id"], P.Revisions(live), P.REVISION_OUT, "ProcessingTime" if live else "None")
 
 
-def rolling_windows(rows: DataFrame) -> DataFrame:
-    return keyed(rows, ["source_type", "station_id"], P.RollingWindow(), P.ROLLING_OUT)
+def on_clock(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Rows with a watermark on their event time `ts_us`."""
+    return rows.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", lateness)
 
 
-def event_mode(rows: DataFrame) -> DataFrame:
-    return keyed(rows, ["station_id"], P.EventMode(), P.EVENT_MODE_OUT)
+def rolling_windows(rows: DataFrame, live: bool = False, lateness: str = LATENESS) -> DataFrame:
+    """State of each station's window after each batch; `live` ends the state of silent stations."""
+    if not live:
+        return keyed(rows, ["source_type", "station_id"], P.RollingWindow(), P.ROLLING_OUT)
+    return keyed(on_clock(rows, lateness), ["source_type", "station_id"], P.RollingWindow(True), P.ROLLING_OUT, "EventTime")
+
+
+def event_mode(rows: DataFrame, live: bool = False, lateness: str = LATENESS) -> DataFrame:
+    """Mode after each poll; `live` ends the mode of silent buoys."""
+    if not live:
+        return keyed(rows, ["station_id"], P.EventMode(), P.EVENT_MODE_OUT)
+    return keyed(on_clock(rows, lateness), ["station_id"], P.EventMode(True), P.EVENT_MODE_OUT, "EventTime")
+
+
+def station_health(readings: DataFrame, errors: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Health changes from two streams: readings (with `expected_interval_sec`) and poll errors.
+
+    Both meet under the station's key; STALE comes from the clock, without any row.
+    """
+    columns = ["source_type", "station_id", "ts_us", "seq", "cadence_us", "is_error"]
+    good = readings.withColumn("cadence_us", F.col("expected_interval_sec").cast("long") * 1_000_000).withColumn("is_error", F.lit(False))
+    bad = errors.withColumn("cadence_us", F.lit(0).cast("long")).withColumn("is_error", F.lit(True))
+    both = good.select(*columns).unionByName(bad.select(*columns))
+    return keyed(on_clock(both, lateness), ["source_type", "station_id"], P.Health(), P.HEALTH_OUT, "EventTime")
+
+
+def guard(rows: DataFrame, folder: str, checkpoint: str, now_us: Callable[[int], int], seconds: int | None = None) -> StreamingQuery:
+    """Split a stream by timing: on-time rows, and late and future rows as a side output.
+
+    `now_us` gives the clock of a batch. A batch is written once, in its own folder
+    with a part per timing class, so a batch that is delivered again replaces itself
+    and the side output's counts stay right across restarts.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        marked = guard_late_and_future(batch, now_us(batch_id))
+        marked.write.mode("overwrite").partitionBy("timing_class").parquet(f"{folder}/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def guarded(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What `guard` wrote: its rows with `batch` and `timing_class`; filters on these read only their parts."""
+    parts = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("timing_class", T.StringType())])
+    return spark.read.schema(parts).option("basePath", folder).parquet(folder)
 
 
 def alerts(log: DataFrame, live: bool = False) -> DataFrame:

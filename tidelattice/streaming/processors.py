@@ -25,6 +25,13 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by) if parts else pd.DataFrame()
 
 
+def _batches_in_order(rows: Iterator[pd.DataFrame], *by: str) -> Iterator[pd.DataFrame]:
+    """Batches of a key, rows in order; several batches are put in order together."""
+    data = _in_order(rows, list(by))
+    if len(data):
+        yield data
+
+
 HIGH_WATER_OUT = _schema(source_type=T.StringType(), station_id=T.StringType(), seq=T.LongType(), ts_us=T.LongType(), value_m=T.DoubleType())
 
 
@@ -89,65 +96,212 @@ class Revisions(StatefulProcessor):
 ROLLING_OUT = _schema(
     source_type=T.StringType(), station_id=T.StringType(), n_samples=T.LongType(), first_us=T.LongType(), last_us=T.LongType()
 )
+WINDOW_US = WINDOW_HOURS * 3_600_000_000
+SLOT_US = 900_000_000
 
 
 class RollingWindow(StatefulProcessor):
-    """The last six hours of a station, one sample per instant, first accepted wins."""
+    """The last six hours of a station, one sample per instant, first accepted wins.
+
+    Samples are held in slots of 15 minutes; a batch reads and writes only the slots it
+    touches and the one the window's start falls into. A small index counts the slots.
+    With `timers` the state of a silent station ends when the watermark passes six
+    hours after its newest sample; a row with no samples says so.
+    """
+
+    def __init__(self, timers: bool = False) -> None:
+        self.timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.samples = handle.getMapState("samples", _schema(ts_us=T.LongType()), _schema(value_m=T.DoubleType()))
+        self.handle = handle
+        longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+        self.slots = handle.getMapState("slots", _schema(slot=T.LongType()), _schema(times=longs, values=doubles))
+        self.index = handle.getValueState("index", _schema(newest_us=T.LongType(), slots=longs, sizes=longs))
+
+    def _load(self, slot: int) -> dict[int, float]:
+        if not self.slots.containsKey((slot,)):
+            return {}
+        times, values = self.slots.getValue((slot,))
+        return dict(zip(times, values, strict=True))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = {k[0]: v[0] for k, v in self.samples.iterator()}
-        held = dict(stored)
-        for row in _in_order(rows, ["seq"]).itertuples(index=False):
-            held.setdefault(int(row.ts_us), float(row.value_m))
-        if not held:
+        newest, sizes = None, {}
+        if self.index.exists():
+            newest, slots, counts = self.index.get()
+            sizes = dict(zip(slots, counts, strict=True))
+        touched: dict[int, dict[int, float]] = {}
+        for part in _batches_in_order(rows, "seq"):
+            newest = max(int(part["ts_us"].max()), newest or 0) if len(part) else newest
+            for ts, value in zip(part["ts_us"].tolist(), part["value_m"].tolist(), strict=True):
+                slot = ts // SLOT_US
+                if ts >= newest - WINDOW_US:
+                    if slot not in touched:
+                        touched[slot] = self._load(slot)
+                    touched[slot].setdefault(ts, value)
+        if newest is None:
             return
-        newest = max(held)
-        kept = sorted(t for t in held if t >= newest - WINDOW_HOURS * 3_600_000_000)
-        # Only the difference to what is stored crosses to the state store.
-        for t in stored.keys() - set(kept):
-            self.samples.removeKey((t,))
-        for t in kept:
-            if t not in stored:
-                self.samples.updateValue((t,), (held[t],))
-        yield pd.DataFrame([(*key, len(kept), kept[0], newest)], columns=ROLLING_OUT.names)
+        start = newest - WINDOW_US
+        edge = start // SLOT_US
+        if edge in sizes and edge not in touched:
+            touched[edge] = self._load(edge)
+        for slot in [x for x in {*sizes, *touched} if x < edge]:
+            touched.pop(slot, None)
+            if sizes.pop(slot, None) is not None:
+                self.slots.removeKey((slot,))
+        for slot, held in touched.items():
+            kept = {t: v for t, v in held.items() if t >= start}
+            if kept:
+                sizes[slot] = len(kept)
+                self.slots.updateValue((slot,), (list(kept), list(kept.values())))
+            elif sizes.pop(slot, None) is not None:
+                self.slots.removeKey((slot,))
+        order = sorted(sizes)
+        self.index.update((newest, order, [sizes[x] for x in order]))
+        first = min(touched[order[0]] if order[0] in touched else self._load(order[0]), key=lambda t: (t < start, t))
+        if self.timers:
+            self.handle.registerTimer((newest + WINDOW_US) // 1000 + 1)
+        yield pd.DataFrame([(*key, sum(sizes.values()), first, newest)], columns=ROLLING_OUT.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.index.exists():
+            return
+        newest, slots, _ = self.index.get()
+        if (newest + WINDOW_US) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():
+            return  # newer samples came after this timer was set
+        for slot in slots:
+            self.slots.removeKey((slot,))
+        self.index.clear()
+        yield pd.DataFrame([(*key, 0, None, newest)], columns=ROLLING_OUT.names).astype({"first_us": "Int64"})
 
     def close(self) -> None:
         pass
 
 
 EVENT_MODE_OUT = _schema(station_id=T.StringType(), poll=T.LongType(), event_mode=T.BooleanType())
+EVENT_MODE_US = EVENT_MODE_HOURS * 3_600_000_000
 
 
 class EventMode(StatefulProcessor):
-    """A buoy is in event mode after recent type 2 or 3 rows, until an all-type-1 poll or four silent hours."""
+    """A buoy is in event mode after recent type 2 or 3 rows, until an all-type-1 poll or four silent hours.
+
+    With `timers` the mode also ends when the watermark passes the four hours and the
+    buoy stays silent; that row has the last poll's number.
+    """
+
+    def __init__(self, timers: bool = False) -> None:
+        self.timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.observed = handle.getValueState("observed", _schema(ts_us=T.LongType()))
+        self.handle = handle
+        self.observed = handle.getValueState("observed", _schema(ts_us=T.LongType(), poll=T.LongType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         observed = self.observed.get()[0] if self.observed.exists() else None
+        polls: dict[int, list[int | bool]] = {}
+        # A poll folds to its newest row, newest marked row and whether all rows are standard.
+        for part in rows:
+            marked = part["measurement_type"].isin([2, 3])
+            folded = part.assign(mark=part["ts_us"].where(marked, -1), standard=part["measurement_type"].eq(1)).groupby("poll").agg(
+                now=("ts_us", "max"), mark=("mark", "max"), standard=("standard", "all")
+            )
+            for poll, now, mark, standard in folded.itertuples():
+                known = polls.setdefault(int(poll), [-1, -1, True])
+                known[:] = [max(known[0], int(now)), max(known[1], int(mark)), known[2] and bool(standard)]
         out = []
-        data = _in_order(rows, ["poll", "ts_us"])
-        for poll, part in data.groupby("poll") if len(data) else ():
-            now = int(part["ts_us"].max())
-            marks = part.loc[part["measurement_type"].isin([2, 3]), "ts_us"]
-            recent = marks[now - marks < EVENT_MODE_HOURS * 3_600_000_000]
-            if len(recent):
-                observed = int(recent.max())
-            elif part["measurement_type"].eq(1).all():
+        for poll in sorted(polls):
+            now, mark, standard = polls[poll]
+            if mark >= 0 and now - mark < EVENT_MODE_US:
+                observed = mark
+            elif standard:
                 observed = None
-            if observed is not None and now - observed >= EVENT_MODE_HOURS * 3_600_000_000:
+            if observed is not None and now - observed >= EVENT_MODE_US:
                 observed = None
             out.append((key[0], poll, observed is not None))
         if observed is None:
             self.observed.clear()
-        else:
-            self.observed.update((observed,))
+        elif out:
+            self.observed.update((observed, out[-1][1]))
+            if self.timers:
+                self.handle.registerTimer((observed + EVENT_MODE_US) // 1000 + 1)
         yield pd.DataFrame(out, columns=EVENT_MODE_OUT.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.observed.exists():
+            return
+        observed, poll = self.observed.get()
+        if (observed + EVENT_MODE_US) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.observed.clear()
+        yield pd.DataFrame([(key[0], poll, False)], columns=EVENT_MODE_OUT.names)
+
+    def close(self) -> None:
+        pass
+
+
+HEALTH_OUT = _schema(
+    source_type=T.StringType(), station_id=T.StringType(), at_us=T.LongType(), status=T.StringType(), last_us=T.LongType(), error_us=T.LongType()
+)
+
+
+class Health(StatefulProcessor):
+    """Changes of a station's health from readings and poll errors under one key.
+
+    An error newer than the newest reading makes it OFFLINE, two cadences without a
+    reading STALE, a reading ONLINE. A timer at two cadences emits STALE when only the
+    clock moves. Rows with neither a cadence nor an error move the clock alone.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState(
+            "health", _schema(last_us=T.LongType(), seq=T.LongType(), cadence_us=T.LongType(), error_us=T.LongType(), status=T.StringType())
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = list(self.held.get()) if self.held.exists() else [-1, -1, 0, -1, ""]
+        out: list[tuple] = []
+        for part in _batches_in_order(rows, "ts_us", "seq"):
+            for ts, seq, cadence, error in zip(*(part[c].tolist() for c in ("ts_us", "seq", "cadence_us", "is_error")), strict=True):
+                if not error and not cadence > 0:
+                    continue
+                self._go_stale(key, state, ts, out)
+                if error:
+                    state[3] = max(state[3], ts)
+                elif (ts, seq) > (state[0], state[1]):
+                    state[:3] = [ts, seq, int(cadence)]
+                self._say(key, state, ts, "OFFLINE" if state[3] > state[0] else "ONLINE", out)
+        self._keep(state)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, out = list(self.held.get()), []
+        self._go_stale(key, state, expiredTimerInfo.getExpiryTimeInMs() * 1000, out)
+        self._keep(state, again=False)
+        yield self._frame(out)
+
+    def _go_stale(self, key, state: list, now_us: int, out: list) -> None:
+        due = state[0] + 2 * state[2]
+        if state[4] == "ONLINE" and due <= now_us:
+            self._say(key, state, due, "STALE", out)
+
+    def _say(self, key, state: list, at_us: int, status: str, out: list) -> None:
+        # A late row may leave a station as stale as it was.
+        if status == "ONLINE" and state[4] == "STALE" and state[0] + 2 * state[2] <= at_us:
+            return
+        if status != state[4]:
+            state[4] = status
+            out.append((*key, int(at_us), status, *(None if x < 0 else int(x) for x in (state[0], state[3]))))
+
+    def _keep(self, state: list, again: bool = True) -> None:
+        if state[4]:
+            self.held.update(tuple(state))
+            if again and state[4] == "ONLINE":
+                self.handle.registerTimer(-(-(state[0] + 2 * state[2]) // 1000))
+
+    @staticmethod
+    def _frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=HEALTH_OUT.names).astype({"last_us": "Int64", "error_us": "Int64"})
+
     def close(self) -> None:
         pass
 
