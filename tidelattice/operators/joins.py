@@ -22,7 +22,7 @@ from ..schemas import (
     RAYLEIGH_TOLERANCE,
     SOURCE_RADIUS_KM,
 )
-from .partitioned import BROADCAST_ROWS, BUCKET, broadcast_if_small, time_bucket
+from .partitioned import BROADCAST_ROWS, BUCKET, broadcast_if_small, running_sum, time_bucket
 
 def with_coordinates(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Station coordinates; unknown stations keep nulls."""
@@ -65,39 +65,38 @@ def with_quiet_then(df: DataFrame, quakes: DataFrame) -> DataFrame:
 def rayleigh_suspects(spikes: DataFrame, quakes: DataFrame, key: str) -> DataFrame:
     """Keys of spikes whose delay fits a surface wave from some earthquake.
 
-    A wave within reach travels at most about 17 minutes and 27 degrees of
-    latitude, so a spike meets only earthquakes of two time buckets and three
-    latitude bands.
+    Each (place, earthquake) within reach is one interval of arrival times. Starts,
+    ends and spikes of a place are put in one time order and a running count of open
+    intervals answers each spike, so no spike meets an earthquake; a busy place is
+    split into time buckets.
+    """
+    at = spikes.where(F.col("lat").isNotNull()).select(key, F.col("ts_us").cast("double").alias("_t"), "lat", "lon")
+    waves = arrival_intervals(at.select("lat", "lon").distinct(), quakes)
+    # At equal times starts come before spikes and spikes before ends: both ends belong to an interval.
+    marks = waves.select("lat", "lon", F.explode(F.array(F.struct(F.col("from_us").alias("_t"), F.lit(0).alias("_o"), F.lit(1).alias("_d")),
+                                                         F.struct(F.col("to_us").alias("_t"), F.lit(2).alias("_o"), F.lit(-1).alias("_d")))).alias("_m")).select("lat", "lon", "_m.*")
+    both = marks.unionByName(at.withColumn("_o", F.lit(1)).withColumn("_d", F.lit(0)), allowMissingColumns=True)
+    bucket = F.floor(F.col("_t") / F.lit(86_400_000_000.0)).cast("long")
+    counted = running_sum(both, ["lat", "lon"], ["_t", "_o"], bucket, F.col("_d"), "_open")
+    return counted.where((F.col("_o") == 1) & (F.col("_open") > 0)).select(key).distinct()
+
+
+def arrival_intervals(places: DataFrame, quakes: DataFrame) -> DataFrame:
+    """(lat, lon, from_us, to_us): when surface waves of earthquakes within reach may arrive at a place.
+
+    Places and earthquakes meet by bands of latitude that are wider than the reach.
     """
-    reach_us = int(RAYLEIGH_MAX_KM / RAYLEIGH_SPEED_KM_S * (1 + RAYLEIGH_TOLERANCE) + 1) * 1_000_000
     band_deg = 30.0
     band = F.floor(F.col("lat") / band_deg).cast("int")
-    bucket = F.floor(F.col("origin_us") / reach_us).cast("long")
-    near = quakes.select(
-        "origin_us",
-        F.col("lat").alias("q_lat"),
-        F.col("lon").alias("q_lon"),
-        F.explode(F.array(bucket, bucket + 1)).alias("_bucket"),
-        band.alias("_b"),
-    ).withColumn("_band", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
-    at = spikes.where(F.col("lat").isNotNull()).select(
-        key, "ts_us", "lat", "lon", F.floor(F.col("ts_us") / reach_us).cast("long").alias("_bucket"), band.alias("_band")
-    )
-    pairs = at.join(broadcast_if_small(near.drop("_b")), ["_bucket", "_band"])
-    travel = (F.col("ts_us") - F.col("origin_us")) / F.lit(1_000_000.0)
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"))
-    expected = km / RAYLEIGH_SPEED_KM_S
-    # Latitude alone bounds the distance from below (111 km a degree), so most pairs
-    # fall to one subtraction before any trigonometry.
-    at_most_km = travel * (RAYLEIGH_SPEED_KM_S / (1 - RAYLEIGH_TOLERANCE))
-    possible = (F.col("ts_us") > F.col("origin_us")) & (F.abs(F.col("lat") - F.col("q_lat")) * 111.0 <= at_most_km)
-    fits = (
-        possible
-        & (km <= RAYLEIGH_MAX_KM)
-        & (expected >= RAYLEIGH_MIN_TRAVEL_SEC)
-        & (F.abs(travel - expected) / expected <= RAYLEIGH_TOLERANCE)
-    )
-    return pairs.where(fits).select(key).distinct()
+    near = places.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    far = quakes.select("origin_us", F.col("lat").alias("_qlat"), F.col("lon").alias("_qlon"), band.alias("_band"))
+    # Latitude alone bounds the distance from below (111 km a degree).
+    met = far.join(broadcast_if_small(near), "_band").where(F.abs(F.col("lat") - F.col("_qlat")) * 111.0 <= RAYLEIGH_MAX_KM)
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("_qlat"), F.col("_qlon"))
+    met = met.withColumn("_km", km).withColumn("_sec", F.col("_km") / RAYLEIGH_SPEED_KM_S)
+    fits = met.where((F.col("_km") <= RAYLEIGH_MAX_KM) & (F.col("_sec") >= RAYLEIGH_MIN_TRAVEL_SEC))
+    start, end = (F.col("origin_us") + F.col("_sec") * (x * 1e6) for x in (1 - RAYLEIGH_TOLERANCE, 1 + RAYLEIGH_TOLERANCE))
+    return fits.select("lat", "lon", start.alias("from_us"), end.alias("to_us"))
 
 
 def spatial_coherence(arrivals: DataFrame, event: str = "event_id") -> DataFrame:
@@ -187,6 +186,42 @@ def event_windows(rows: DataFrame, events: DataFrame, before_us: int, after_us:
     )
 
 
+def interval_aggregates(rows: DataFrame, spans: DataFrame, keys: Sequence[str], base_us: int, levels: int) -> DataFrame:
+    """Count, largest size and first and last instant of the rows inside each span, without pairs.
+
+    `rows` have ts_us and size, `spans` the `keys`, from_us and to_us (both inside).
+    Rows are folded once per bucket of `base_us` and again per block of 2, 4, ...
+    buckets. A span is covered by at most two whole blocks of each size, which it
+    meets by number, and by two border buckets, where it meets single instants. Spans
+    longer than 2^levels buckets meet more than two of the largest blocks.
+    """
+    def folded(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+    instants = rows.groupBy("ts_us").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    instants = instants.select(F.floor(F.col("ts_us") / base_us).cast("long").alias("_at"), "n", "size", F.col("ts_us").alias("first_us"), F.col("ts_us").alias("last_us"))
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    blocks = folded(folded(instants, "_at").withColumn("_level", sizes).withColumn("_at", F.expr("shiftright(_at, _level)")), "_level", "_at")
+
+    first, last = (F.floor(F.col(c) / base_us).cast("long") for c in ("from_us", "to_us"))
+    cut = spans.where("from_us <= to_us").withColumn("_a", first).withColumn("_b", last)
+    # Border buckets: single instants decide.
+    borders = cut.withColumn("_at", F.explode(F.array_distinct(F.array("_a", "_b"))))
+    inside = borders.join(instants, "_at").where("first_us BETWEEN from_us AND to_us").select(*keys, "n", "size", "first_us", "last_us")
+    # Whole buckets (_a, _b): climbing the levels, an odd left end and an even right end stand alone.
+    steps = F.expr(f"""aggregate(sequence(0, {levels}),
+        named_struct('l', _a + 1, 'r', _b - 1, 'taken', cast(array() as array<struct<level:int,at:bigint>>)),
+        (s, k) -> if(s.l > s.r, s, if(k = {levels},
+            named_struct('l', s.r + 1, 'r', s.r, 'taken', concat(s.taken, transform(sequence(s.l, s.r), x -> named_struct('level', k, 'at', x)))),
+            named_struct('l', shiftright(s.l + 1, 1), 'r', shiftright(s.r - 1, 1), 'taken', concat(s.taken,
+                if(s.l % 2 != 0, array(named_struct('level', k, 'at', s.l)), cast(array() as array<struct<level:int,at:bigint>>)),
+                if(s.r % 2 = 0 AND s.r >= s.l, array(named_struct('level', k, 'at', s.r)), cast(array() as array<struct<level:int,at:bigint>>)))))),
+        s -> s.taken)""")
+    whole = cut.select(*keys, F.explode(steps).alias("_t")).select(*keys, F.col("_t.level").alias("_level"), F.col("_t.at").alias("_at"))
+    met = whole.join(broadcast_if_small(blocks), ["_level", "_at"]).select(*keys, "n", "size", "first_us", "last_us")
+    return folded(inside.unionByName(met), *keys)
+
+
 def usable_stations(greens: DataFrame, waveforms: DataFrame, selected: DataFrame, n_timepoints: int) -> DataFrame:
     """Stations every selected source reaches and whose waveform is long enough, with the reason if not."""
     needed = selected.agg(F.count(F.lit(1))).scalar()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import latest_by
 from .partitioned import broadcast_if_small, number_rows, time_bucket
 
@@ -127,12 +130,52 @@ def event_provenance(bound: DataFrame, bucket_seconds: int = 86_400) -> DataFram
 def similar_events(events: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
     """The k historical events nearest in magnitude; ties go to the earlier position.
 
-    Each distinct magnitude is answered once, in one row, and joined back.
+    Each distinct magnitude is answered once and joined back. Magnitudes and history
+    are sorted together in ranges of the value; a range also sees the 2k rows of history
+    before and after it, so no range needs the whole history.
     """
-    catalogue = history.agg(F.array_sort(F.collect_list(F.struct("position", "name", "mw")))).scalar()
-    ranked = F.array_sort(
-        F.transform("_catalogue", lambda h: F.struct(F.round(F.abs(h["mw"] - F.col("magnitude")), 9).alias("d"), h["position"].alias("p"), h["name"].alias("name")))
-    )
-    near = events.select("magnitude").distinct().withColumn("_catalogue", catalogue).withColumn("_n", F.slice(ranked, 1, k))
-    rows = near.select("magnitude", F.posexplode("_n").alias("rank", "_h")).select("magnitude", "rank", "_h.name", F.col("_h.d").alias("difference"))
-    return events.select("event_id", "magnitude").join(rows, "magnitude").drop("magnitude")
+    per_value = Window.partitionBy("value").orderBy("position")
+    # Of equal magnitudes only the first k positions can be among the nearest.
+    past = history.where("mw is not null").select(F.round("mw", 9).alias("value"), "position", "name").withColumn("_n", F.row_number().over(per_value)).where(F.col("_n") <= k).drop("_n")
+    asked = events.select(F.col("magnitude").alias("value"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("name")).where("value is not null").distinct()
+    both = past.withColumn("position", F.col("position").cast("long")).unionByName(asked)
+    order = ["value", "position"]
+    ranges = cut_lineage(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last = pd.DataFrame(), pd.DataFrame()
+        for batch in batches:
+            rows = batch[batch["position"].notna()]
+            first = pd.concat([first, rows]).head(2 * k)
+            last = pd.concat([last, rows]).tail(2 * k)
+        for side, rows in enumerate((first, last)):
+            if len(rows):
+                yield rows.assign(side=side).astype({"position": "int64"})
+
+    # At most 4k rows per range.
+    ends = ranges.mapInPandas(edges, "value double, position long, name string, part int, side int").toPandas()
+    after, before = (ends[ends["side"] == side].sort_values(["part", "value", "position"], kind="stable") for side in (0, 1))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            rows = pd.concat(parts)
+            part = rows["part"].iloc[0]
+            around = (before[before["part"] < part].tail(2 * k), rows, after[after["part"] > part].head(2 * k))
+            yield _nearest(pd.concat([x[x["position"].notna()] for x in around]), rows[rows["position"].isna()]["value"], k)
+
+    near = ranges.mapInPandas(answer, "value double, rank int, name string, difference double")
+    return events.select("event_id", F.col("magnitude").alias("value")).join(broadcast_if_small(near), "value").drop("value")
+
+
+def _nearest(past: pd.DataFrame, asked: pd.Series, k: int) -> pd.DataFrame:
+    """The k nearest rows of `past` (in order of value and position) of each asked value."""
+    values, positions, names = past["value"].to_numpy(float), past["position"].to_numpy(float), past["name"].to_numpy()
+    out = []
+    for value in asked:
+        at = int(np.searchsorted(values, value))
+        near = np.arange(max(0, at - 2 * k), min(len(values), at + 2 * k))
+        off = np.round(np.abs(values[near] - value), 9)
+        out += [(value, r, names[near[i]], off[i]) for r, i in enumerate(np.lexsort((positions[near], off))[:k])]
+    return pd.DataFrame(out, columns=["value", "rank", "name", "difference"])
+

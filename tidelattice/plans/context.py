@@ -195,26 +195,26 @@ def strike_consensus(spark, sf_dir):
 
 @C.add(
     "event_windows",
-    with_cte(OBS, ZQUAKES, body="""SELECT 'event' AS side, event_id, count(*) AS n, round(max(abs(value_m)), 6) AS peak,
+    with_cte(OBS, QUAKES, body="""SELECT 'event' AS side, event_id, count(*) AS n, round(max(abs(value_m)), 6) AS peak,
   round(min(ts_us - origin_us) / 1000000.0::DOUBLE, 3) AS first_sec
-FROM obs JOIN zquakes ON ts_us BETWEEN origin_us - 3600000000 AND origin_us + 21600000000 WHERE magnitude >= 8.0 AND zone = 'japan' GROUP BY 2
+FROM obs JOIN quakes ON ts_us BETWEEN origin_us - 3600000000 AND origin_us + 21600000000 WHERE magnitude >= 6.0 GROUP BY 2
 UNION ALL SELECT 'calibration', event_id, count(*), round(max(abs(value_m)), 6), round(min(ts_us - origin_us) / 1000000.0::DOUBLE, 3)
-FROM obs JOIN zquakes ON ts_us BETWEEN origin_us - 2592000000000 AND origin_us - 3600000000
-WHERE magnitude >= 8.0 AND zone = 'japan' AND measurement_type = 1 GROUP BY 2"""),
+FROM obs JOIN quakes ON ts_us BETWEEN origin_us - 2592000000000 AND origin_us - 3600000000
+WHERE magnitude >= 6.0 AND measurement_type = 1 GROUP BY 2"""),
 )
 def event_windows(spark, sf_dir):
-    obs = observations(spark, sf_dir).select("ts_us", "value_m", "measurement_type")
-    big = zoned_quakes(spark, sf_dir).where((F.col("magnitude") >= 8.0) & (F.col("zone") == "japan"))
-    near = J.event_windows(obs, big, 3_600_000_000, 21_600_000_000, 3_600_000_000)
-    before = J.event_windows(obs.where(F.col("measurement_type") == 1), big, 30 * 86_400_000_000, -3_600_000_000, 86_400_000_000)
-
-    def report(rows, side):
-        return rows.groupBy("event_id").agg(
-            F.lit(side).alias("side"), F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("value_m")), 6).alias("peak"),
-            F.round(F.min("seconds_from_origin"), 3).alias("first_sec"),
-        )
-
-    return report(near, "event").unionByName(report(before, "calibration"))
+    """The event window and the calibration window of every trigger, in all zones."""
+    obs = observations(spark, sf_dir).select("ts_us", F.abs("value_m").alias("size"), "measurement_type")
+    triggers = spread(quakes(spark, sf_dir)).where(F.col("magnitude") >= 6.0)
+
+    def report(rows, side, before_us, after_us):
+        spans = triggers.select("event_id", "origin_us", (F.col("origin_us") - before_us).alias("from_us"), (F.col("origin_us") + after_us).alias("to_us"))
+        found = J.interval_aggregates(rows, spans, ["event_id", "origin_us"], 60_000_000, 14)
+        return found.select("event_id", F.lit(side).alias("side"), "n", F.round("size", 6).alias("peak"),
+                            F.round((F.col("first_us") - F.col("origin_us")) / F.lit(1_000_000.0), 3).alias("first_sec"))
+
+    near = report(obs, "event", 3_600_000_000, 21_600_000_000)
+    return near.unionByName(report(obs.where(F.col("measurement_type") == 1), "calibration", 30 * 86_400_000_000, -3_600_000_000))
 
 
 @C.add(
