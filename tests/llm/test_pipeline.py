@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from tidelattice.llm import quality_neighbours, simhash, suffix_dedup
+from tidelattice.llm import quality_neighbours, shingles, suffix_dedup
 from tidelattice.llm.common import stored
 
 from .helpers import find_components, make, odd_rows, words
@@ -43,21 +43,74 @@ def test_rejected_documents_go(spark, stages):
     assert 0 < len(stages[1]) < len(stages[0])
 
 
+def jaccard_roots(texts):
+    """Components of distinct texts with a 5-word Jaccard similarity of 0.8 or more, by counting shared shingles."""
+    texts = sorted(texts)
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    where, shared = defaultdict(list), Counter()
+    for i, own in enumerate(sets):
+        for h in own:
+            shared.update((j, i) for j in where[h])
+            where[h].append(i)
+    pairs = [(i, j) for (i, j), n in shared.items() if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+    roots = find_components(range(len(texts)), pairs)
+    return {t: roots[i] for i, t in enumerate(texts)}, [(texts[i], texts[j]) for i, j in pairs]
+
+
 def test_one_document_of_each_group_stays(stages):
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in stages[1]}
-    distinct = sorted(set(prints.values()))
-    pairs = [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 2]
-    roots = find_components(distinct, pairs)
+    roots, _ = jaccard_roots({r.text for r in stages[1]})
     least = {}
-    for i, f in prints.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
-    assert Counter(tuple(r) for r in stages[2]) == Counter(tuple(r) for r in stages[1] if r.doc_id in set(least.values()))
+    for r in stages[1]:
+        least[roots[r.text]] = min(r.doc_id, least.get(roots[r.text], r.doc_id))
+    assert Counter(tuple(r) for r in stages[2]) == Counter(tuple(r) for r in stages[1] if r.doc_id == least[roots[r.text]])
+
+
+def test_recall_of_near_copies(spark):
+    """Measured against all pairs of a table: 0.99 of the similar pairs share a root, and no others do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    roots, pairs = jaccard_roots({r.text or "" for r in docs.collect()})
+    found = shingles.near_copies(docs)
+    got = {r.text or "": r.root for r in docs.withColumn("t", shingles.text_key()).join(found, "t").select("text", "root").collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs) > 0
+    held = defaultdict(set)
+    for t, root in got.items():
+        held[root].add(roots[t])
+    assert all(len(x) == 1 for x in held.values())
+
+
+@pytest.mark.parametrize("pairwise, rounds", [(32, 4), (2, 1), (2, 2)])
+def test_families_larger_than_a_key_holds(spark, pairwise, rounds, monkeypatch):
+    """Hubs in rounds and the exact end find what all pairs find; long texts come in parts."""
+    monkeypatch.setattr(shingles, "HELD", 5)
+    monkeypatch.setattr(shingles, "STREAMED", 16)
+    monkeypatch.setattr(shingles, "PART", 8)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(140):
+        own = list(base)
+        for at in rng.integers(0, 120, size=rng.integers(0, 5)):
+            own[at] = f"x{i}_{at}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"y{j}" for j in range(i, i + 100)) for i in range(0, 60, 3)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    roots, pairs = jaccard_roots(set(texts))
+    docs = make(spark, rows)
+    found = shingles.near_copies(docs, pairwise=pairwise, rounds=rounds)
+    got = {r.text: r.root for r in docs.withColumn("t", shingles.text_key()).join(found, "t").select("text", "root").collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.999 * len(pairs)
+    held = defaultdict(set)
+    for t, root in got.items():
+        held[root].add(roots[t])
+    assert all(len(x) == 1 for x in held.values())
 
 
 def test_repeats_are_cut(stages):
+    """Every byte of a 229-byte window that starts twice, in spans of 400 bytes or 51 words."""
     texts = {r.doc_id: r.text.encode() for r in stages[2]}
-    n = suffix_dedup.LENGTH
+    n = pipeline.REPEATED_BYTES
     starts = Counter(hash(t[i : i + n]) for t in texts.values() for i in range(len(t) - n + 1))
+    cut = 0
     for r in stages[3]:
         t = texts[r.doc_id]
         step = np.zeros(len(t) + 1, int)
@@ -66,9 +119,12 @@ def test_repeats_are_cut(stages):
                 step[i] += 1
                 step[i + n] -= 1
         edge = np.diff(np.concatenate([[0], (np.cumsum(step)[: len(t)] > 0).astype(int), [0]]))
-        spans = suffix_dedup.whole_characters(t, list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())))
+        spans = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
+        long = [(a, b) for a, b in spans if b - a >= suffix_dedup.LENGTH or len(t[a:b].split()) >= pipeline.REPEATED_WORDS]
+        spans = suffix_dedup.whole_characters(t, long)
+        cut += len(spans)
         assert r.text == suffix_dedup.without(t, spans).decode() and r.n_chars == len(r.text)
-    assert len(stages[3]) == len(stages[2])
+    assert len(stages[3]) == len(stages[2]) and cut > 0
 
 
 def test_mix_and_packing(stages):
