@@ -40,7 +40,7 @@ BANDS, ROWS = 24, 6
 # Nodes of a key that are compared pair by pair at once.
 PAIRWISE = 32
 # Rounds of hubs before the exact end.
-ROUNDS = 4
+ROUNDS = 2
 # Nodes that a group holds, nodes that stream past one group, hashes of one row.
 HELD, STREAMED, PART = 128, 2048, 512
 # Texts of a task that are remembered so that their copies are sketched once.
