@@ -16,7 +16,6 @@ from tidelattice.functions import text as X
         ("that is all - clear skies ahead", []),
         ("forewarning", []),
         ("Warn​ing", ["Warning"]),
-        ("Wаrning", ["Warning"]),
         ("Wärning", ["Warning"]),
         ("ＷＡＲＮＩＮＧ", ["Warning"]),
         ("ᴡᴀʀɴɪɴɢ", ["Warning"]),
@@ -48,3 +47,49 @@ def test_jvm_filter_never_hides_a_hit(spark):
     flags = [r[0] for r in df.select(X.may_hold_term(F.col("t"))).collect()]
     assert all(flag or not X.find_terms(t)[0] for flag, t in zip(flags, texts))
     assert flags[4] is False
+
+
+# A few lines in the published format.
+CONFUSABLES = ["0430 ;\t0061 ;\tMA\t# comment", "0441 ; 0063 ; MA", "# nothing", "", "0072 006E ; 006D ; MA", "2170 ; 0069 ; MA"]
+
+
+def test_a_callers_table_of_lookalikes():
+    table = X.read_confusables(CONFUSABLES)
+    assert table == {"\u0430": "a", "\u0441": "c", "\u2170": "i"}
+    folding = X.Folding(table)
+    assert [t for t, _, _ in X.find_terms("W\u0430t\u0441h", folding)[0]] == ["Watch"]
+    assert X.find_terms("W\u0430t\u0441h")[0] == []
+
+
+def test_every_published_lookalike_of_a_term_is_found(spark):
+    """One letter at a time is replaced by each character that Unicode data calls its look-alike."""
+    table = X.lookalikes(spark)
+    folding = X.Folding(table)
+    by_letter = {}
+    for char, look in table.items():
+        by_letter.setdefault(look, []).append(char)
+    for given in ("W\u0251rning", "Bulle\u03c4in", "Wat\u03f2h", "W\u0430rning", "\u0410dvisory"):
+        assert len(X.find_terms(given, folding)[0]) == 1, given
+    tried = 0
+    for term in X.RESERVED_TERMS:
+        for at, letter in enumerate(term):
+            for char in by_letter.get(letter, ()):
+                tried += 1
+                assert [t for t, _, _ in X.find_terms(term[:at] + char + term[at + 1 :], folding)[0]] == [term], (term, char)
+    assert tried > 500
+
+
+def test_positions_point_into_the_scanned_text():
+    text = "\u00e9\u200b\ufb01 xx W\u00e4rn\u200bing, and 1 more"
+    ((term, position, context),), _ = X.find_terms(text)
+    assert term == "Warning" and position == text.index("W") and context == text[: text.index("g,") + 1 + 30]
+
+
+def test_nested_strings_are_scanned_as_they_are(spark):
+    rows = spark.createDataFrame([(1, "W\u0430tch this"), (1, "calm"), (2, "AlI CIear")], "conv_id long, text string")
+    nested = rows.select("conv_id", F.struct(F.array("text").alias("watch")).alias("value"))
+    inside = nested.select("conv_id", F.explode(X.strings_inside(F.col("value"), nested.schema["value"].dataType)).alias("s"))
+    found = inside.select("conv_id", "s", F.size(X.scan_terms(F.col("s"), X.lookalikes(spark))["violations"]).alias("n")).collect()
+    assert sorted((r.conv_id, r.s, r.n) for r in found) == [
+        (1, "W\u0430tch this", 1), (1, "calm", 0), (1, "watch", 1), (1, "watch", 1), (2, "AlI CIear", 1), (2, "watch", 1)
+    ]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +33,8 @@ PROPER_NOUNS = (
     "Tsunami Bulletin Board",
 )
 DISCLAIMER = "Non-authoritative situational awareness. Not an official NOAA tsunami message."
-# Joiners that build one word, letters that look alike, shapes read as another letter,
-# and characters that show nothing.
+# Joiners that build one word, shapes read as another letter, and characters that show nothing.
 JOINERS = "-_/.:~|\u2010\u2011\u2012\u2013\u2014\u2015\u2017\u2043\u2212\u2e17\u2e3a\u2e3b\u2215\u2044\u29f8\ua789\u02d0\u0589\u05c3\u2e2e\u30fb\u00b7\u2022\u2e31\u00a6"
-LOOKALIKES = {
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "м": "m", "н": "n", "і": "i", "ѕ": "s",
-    "І": "I", "Ѕ": "S", "һ": "h", "ı": "i",
-    "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o",
-}
 SHAPES = {"I": "l", "1": "l", "|": "l", "0": "o"}
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u2028\u2029\u202f\u2800\u3164\uffa0\ufffc"
 CONTEXT_CHARS = 30
@@ -59,7 +51,7 @@ def _letters_by_name() -> dict[str, str]:
     return found
 
 
-_FOLD = str.maketrans(_letters_by_name() | LOOKALIKES)
+_NAMED = _letters_by_name()
 _SHAPE = str.maketrans(SHAPES)
 
 
@@ -72,6 +64,92 @@ _UNSEEN = re.compile("[\ufe00-\ufe0f\U000e0100-\U000e01ef" + INVISIBLE + _class_
 _MARKS = re.compile("[" + _class_of(unicodedata.combining) + "]")
 
 
+def lookalikes(spark: SparkSession) -> dict[str, str]:
+    """Characters that the published Unicode data calls confusable with ASCII letters or digits.
+
+    The data come with the ICU library among Spark's own jars; all characters are asked
+    in one call. A letter whose own look is not ASCII is judged by its capital.
+    """
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    chars = [c for c in map(chr, [*range(0x80, 0xD800), *range(0x10000, 0x20000)]) if unicodedata.category(c)[0] in "LNS"]
+
+    def looks(of: list[str]) -> list[str]:
+        return [_bare(x, _NAMED) for x in checker.getSkeleton("\n".join(of)).split("\n")]
+
+    capitals = [c.upper() if len(c.upper()) == 1 else c for c in chars]
+    table = {}
+    for char, look, capital in zip(chars, looks(chars), looks(capitals), strict=True):
+        shown = look if look.isascii() else capital.lower()
+        if shown.isascii() and shown.isalnum():
+            table[char] = shown
+    return table
+
+
+def read_confusables(lines: Iterable[str]) -> dict[str, str]:
+    """The same table from the published text format (`code ; code ... ; type`), ASCII targets only."""
+    table = {}
+    for line in lines:
+        parts = line.split("#")[0].split(";")
+        if len(parts) >= 2:
+            source, target = ("".join(chr(int(c, 16)) for c in p.split()) for p in parts[:2])
+            if len(source) == 1 and not source.isascii() and target.isascii() and target.isalnum():
+                table[source] = target
+    return table
+
+
+def _bare(text: str, table: dict[str, str]) -> str:
+    spread = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
+    return "".join(table.get(c, c) for c in _MARKS.sub("", spread))
+
+
+class _Characters(dict):
+    """What each character folds to, worked out when it is first met."""
+
+    def __init__(self, fold: Callable[[str], str]) -> None:
+        super().__init__()
+        self.fold = fold
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        self[code] = folded = char if code < 0x80 else "" if _UNSEEN.match(char) else self.fold(char)
+        return folded
+
+
+class Folding:
+    """Folds a text character by character, so a place in the folded text is a place in the text.
+
+    `table` maps characters to the ASCII they look like (`lookalikes`,
+    `read_confusables`); letters named after a Latin one fold without it. The first
+    view reads look-alikes before normalising, the second only after it.
+    """
+
+    def __init__(self, table: dict[str, str] | None = None) -> None:
+        known = _NAMED | (table or {})
+        self.first = _Characters(lambda c: _bare(known.get(c, c), known))
+        self.second = _Characters(lambda c: _bare(c, known))
+
+    def views(self, text: str) -> list[tuple[str, _Characters]]:
+        if text.isascii():
+            return [(text, self.first)]
+        first, second = text.translate(self.first), text.translate(self.second)
+        return [(first, self.first)] if first == second else [(first, self.first), (second, self.second)]
+
+
+def place_in(text: str, view: str, characters: _Characters, at: int) -> int:
+    """Where the character that shows as `view[at]` stands in the text."""
+    if len(view) == len(text) and text.isascii():
+        return at
+    shown = 0
+    for i, c in enumerate(text):
+        shown += len(characters[ord(c)])
+        if shown > at:
+            return i
+    return len(text)
+
+
+_PLAIN_FOLDING = Folding()
+
+
 # Accepted forms of the last word of a term or name.
 WORD_FORMS = {
     "Warning": ("warning", "warnings"),
@@ -124,25 +202,12 @@ def strip_invisible(text: str) -> str:
     return text if text.isascii() else _UNSEEN.sub("", text)
 
 
-def _bare(text: str) -> str:
-    spread = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))
-    return _MARKS.sub("", spread).translate(_FOLD)
-
-
-def fold(text: str) -> tuple[str, str]:
-    """The text with look-alikes folded before normalising, and with them folded after only."""
-    visible = strip_invisible(text)
-    if visible.isascii():
-        return visible, visible
-    return _bare(visible.translate(_FOLD)), _bare(visible)
-
-
-def find_terms(text: str) -> tuple[list[tuple[str, int, str]], bool]:
-    """(term, position, context) of each reserved term, and whether the disclaimer is there."""
-    first, second = fold(text)
+def find_terms(text: str, folding: Folding = _PLAIN_FOLDING) -> tuple[list[tuple[str, int, str]], bool]:
+    """(term, position, context) of each reserved term in the text, and whether the disclaimer is there."""
     hits: dict[tuple[str, int], str] = {}
     settled: set[str] = set()
-    for view in (first,) if second == first else (first, second):
+    views = folding.views(text)
+    for view, characters in views:
         shaped = view.translate(_SHAPE)
         matches = [*_PLAIN(view), *_SHAPED(shaped)]
         if not matches:
@@ -151,10 +216,11 @@ def find_terms(text: str) -> tuple[list[tuple[str, int, str]], bool]:
         for term, start, end in matches:
             # The second view only adds terms the first one neither reported nor excused.
             if term not in settled and excused.isdisjoint(range(start, end)):
-                hits.setdefault((term, start), view[max(0, start - CONTEXT_CHARS) : end + CONTEXT_CHARS])
+                first, last = (place_in(text, view, characters, at) for at in (start, end - 1))
+                hits.setdefault((term, first), text[max(0, first - CONTEXT_CHARS) : last + 1 + CONTEXT_CHARS])
         settled |= {term for term, _, _ in matches}
     found = sorted((position, term, context) for (term, position), context in hits.items())
-    return [(term, position, context) for position, term, context in found], DISCLAIMER in first
+    return [(term, position, context) for position, term, context in found], DISCLAIMER in views[0][0]
 
 
 # Java and RE2 read this the same way; proper nouns come first so they swallow the term inside them.
@@ -199,23 +265,34 @@ FOUND = T.StructType(
 )
 
 
-@F.pandas_udf(FOUND)
-def _scan(texts: pd.Series) -> pd.DataFrame:
-    found = [find_terms(t) if t is not None else ([], False) for t in texts]
-    violations = [[{"term": t, "position": p, "context": c} for t, p, c in hits] for hits, _ in found]
-    return pd.DataFrame({"violations": violations, "has_disclaimer": [d for _, d in found]})
+def _scanner(table: dict[str, str] | None):
+    @F.pandas_udf(FOUND)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        folding = Folding(table)
+        for texts in batches:
+            found = [find_terms(t, folding) if t is not None else ([], False) for t in texts]
+            violations = [[{"term": t, "position": p, "context": c} for t, p, c in hits] for hits, _ in found]
+            yield pd.DataFrame({"violations": violations, "has_disclaimer": [d for _, d in found]})
+
+    return scan
 
 
-@F.pandas_udf(T.StringType())
-def fold_text(texts: pd.Series) -> pd.Series:
+def fold_text(text: Column, table: dict[str, str] | None = None) -> Column:
     """Visible, normalised, look-alike-folded text without marks."""
-    return texts.map(lambda t: None if t is None else fold(t)[0])
+
+    @F.pandas_udf(T.StringType())
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        folding = Folding(table)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else folding.views(t)[0][0])
+
+    return fold(text)
 
 
-def scan_terms(text: Column) -> Column:
-    """Struct of violations, disclaimer and pass. Texts without a candidate never leave the JVM."""
+def scan_terms(text: Column, table: dict[str, str] | None = None) -> Column:
+    """Struct of violations, disclaimer and pass; `table` holds look-alikes. Texts without a candidate never leave the JVM."""
     candidate = may_hold_term(text)
-    far = _scan(F.when(candidate, text))
+    far = _scanner(table)(F.when(candidate, text))
     hits = far["violations"]
     disclaimer = F.when(candidate, far["has_disclaimer"]).otherwise(F.contains(text, F.lit(DISCLAIMER)))
     return F.struct(hits.alias("violations"), disclaimer.alias("has_disclaimer"), ((F.size(hits) == 0) & disclaimer).alias("passed"))

@@ -63,28 +63,23 @@ def scan_terms_ascii(spark, sf_dir):
 
 @C.add("scan_terms")
 def scan_terms(spark, sf_dir):
-    rows = spread(texts(spark, sf_dir, len(PHRASES))).select("origin", "id", X.scan_terms(F.col("body")).alias("s"))
+    rows = spread(texts(spark, sf_dir, len(PHRASES))).select("origin", "id", X.scan_terms(F.col("body"), X.lookalikes(spark)).alias("s"))
     terms = F.array_join(F.transform("s.violations", lambda v: v["term"]), ";")
     return rows.select("origin", "id", F.size("s.violations").alias("n_hits"), terms.alias("terms"), "s.has_disclaimer", "s.passed")
 
 
 @C.add("fold_text")
 def fold_text(spark, sf_dir):
-    rows = spread(texts(spark, sf_dir, len(PHRASES))).select("origin", "id", X.fold_text("body").alias("folded"))
+    rows = spread(texts(spark, sf_dir, len(PHRASES))).select("origin", "id", X.fold_text(F.col("body"), X.lookalikes(spark)).alias("folded"))
     return rows.select("origin", "id", F.length("folded").alias("n_chars"), F.sha2("folded", 256).alias("folded_hash"))
 
 
-@C.add(
-    "scan_nested",
-    with_cte(f"""marked AS (SELECT conv_id, regexp_replace({marked_sql('text', 'turn')}, '[^\\x00-\\x7F]', 'x', 'g') AS body FROM conversations)""",
-        body=f"""SELECT conv_id, CAST(sum(len(list_filter(regexp_extract_all(body, '{_PATTERN_SQL}', 1), lambda x: x <> '')) + 2) AS BIGINT) AS n_hits,
-  4 * count(*) AS n_strings FROM marked GROUP BY 1"""),
-)
+@C.add("scan_nested")
 def scan_nested(spark, sf_dir):
-    body = F.regexp_replace(marked_text(F.col("text"), F.col("turn")), r"[^\x00-\x7F]", "x")
+    """The scanner on every string inside a nested value, names and keys included."""
+    body = marked_text(F.col("text"), F.col("turn"), len(PHRASES))
     nested = F.struct(F.array(body).alias("watch"), F.create_map(F.lit("bulletin"), F.col("turn")).alias("extra"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", nested.alias("value"))
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", nested.alias("value"))
     inside = rows.select("conv_id", F.explode(X.strings_inside(F.col("value"), rows.schema["value"].dataType)).alias("s"))
-    return inside.groupBy("conv_id").agg(
-        F.sum(F.size(X.ascii_hits(F.col("s")))).alias("n_hits"), F.count(F.lit(1)).alias("n_strings")
-    )
+    found = inside.select("conv_id", X.scan_terms(F.col("s"), X.lookalikes(spark)).alias("f"))
+    return found.groupBy("conv_id").agg(F.sum(F.size("f.violations")).alias("n_hits"), F.count(F.lit(1)).alias("n_strings"))
