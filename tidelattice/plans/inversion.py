@@ -166,11 +166,11 @@ def moment_magnitude(spark, sf_dir):
 
 NEAR = f"""near AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY km, source_id) AS rank FROM (
   SELECT q.event_id, q.magnitude, s.*, {haversine_sql('q.lat', 'q.lon', 's.lat', 's.lon')} AS km
-  FROM quakes q JOIN sources s ON s.lat BETWEEN q.lat - 5 AND q.lat + 5 WHERE q.magnitude >= 8.0) WHERE km <= 500)"""
+  FROM quakes q JOIN sources s ON s.lat BETWEEN q.lat - 5 AND q.lat + 5 WHERE q.magnitude >= 6.0) WHERE km <= 500)"""
 
 
 def near_sources(spark, sf_dir):
-    big = quakes(spark, sf_dir).where(F.col("magnitude") >= 8.0)
+    big = quakes(spark, sf_dir).where(F.col("magnitude") >= 6.0)
     near = J.nearest_sources(big, sources(spark, sf_dir))
     return near.join(J.broadcast_if_small(big.select("event_id", "magnitude")), "event_id")
 
