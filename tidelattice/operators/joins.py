@@ -46,18 +46,16 @@ def with_quiet(df: DataFrame, quakes: DataFrame, monitoring: Column | None = Non
 def with_quiet_then(df: DataFrame, quakes: DataFrame) -> DataFrame:
     """`quiet` by the earthquakes known at each row's time: none large in the 90 minutes before it.
 
-    Readings and large origins are interleaved in time order; the newest origin so far
-    crosses bucket borders as one number.
+    Readings and large origins are interleaved in time order, in buckets as long as the
+    look-back; only the bucket before can still matter, and it hands over its newest origin.
     """
     rows = df.withColumn("_origin", F.lit(None).cast("long"))
     large = quakes.where(F.col("magnitude") >= QUIET_MAGNITUDE).select(F.col("origin_us").alias("ts_us"), F.col("origin_us").alias("_origin"))
-    both = rows.unionByName(large, allowMissingColumns=True).withColumn(BUCKET, time_bucket("ts_us", 86_400))
-    days = both.groupBy(BUCKET).agg(F.max("_origin").alias("_day"))
-    before = Window.partitionBy(F.lit(0)).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per day of the record.
-    days = days.select(BUCKET, F.max("_day").over(before).alias("_carried"))
+    both = rows.unionByName(large, allowMissingColumns=True).withColumn(BUCKET, time_bucket("ts_us", QUIET_LOOKBACK_MIN * 60))
+    carried = both.where("_origin is not null").groupBy((F.col(BUCKET) + 1).alias(BUCKET)).agg(F.max("_origin").alias("_carried"))
     inside = Window.partitionBy(BUCKET).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, 0)
-    seen = both.join(broadcast_if_small(days), BUCKET).withColumn("_newest", F.greatest(F.max("_origin").over(inside), F.col("_carried")))
+    newest = F.greatest(F.max("_origin").over(inside), F.col("_carried"))
+    seen = both.join(broadcast_if_small(carried), BUCKET, "left").withColumn("_newest", newest)
     quiet = F.col("_newest").isNull() | (F.col("_newest") < F.col("ts_us") - QUIET_LOOKBACK_MIN * 60_000_000)
     return seen.where(F.col("_origin").isNull()).withColumn("quiet", quiet).drop(BUCKET, "_origin", "_carried", "_newest")
 
