@@ -197,7 +197,9 @@ def worst_flag(checks: list[str]) -> Column:
 
 
 def retained_window_summary(flagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Quality of exactly the records a window retained."""
+    """Quality of exactly the records a window retained, with their distinct well-formed hashes in order."""
+    from ..functions.hashing import is_sha256
+
     worst = flagged.withColumn("worst", worst_flag(CHECKS + ["latency"]))
     has = F.col("n_checks").isNotNull()
     counts = {"n_pass": PASS, "n_not_evaluated": NOT_EVALUATED, "n_suspect": SUSPECT, "n_fail": FAIL, "n_missing": MISSING}
@@ -210,6 +212,8 @@ def retained_window_summary(flagged: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("confidence").alias("confidence_mean"),
         F.max("confidence").alias("confidence_max"),
         F.count_if(F.col("worst").isNotNull()).alias("n_flagged"),
+        # A window retains six hours of one station, so its hashes are few.
+        F.array_sort(F.collect_set(F.when(is_sha256(F.col("payload_hash")), F.col("payload_hash")))).alias("record_sha256s"),
     )
     condition = (
         F.when(F.col("n_fail") > 0, "WORST_FLAG_FAIL")

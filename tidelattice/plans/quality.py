@@ -233,7 +233,8 @@ def qc_station_summary(spark, sf_dir):
   count(*) FILTER (worst = 1) AS n_pass, count(*) FILTER (worst = 2) AS n_not_evaluated, count(*) FILTER (worst = 3) AS n_suspect,
   count(*) FILTER (worst = 4) AS n_fail, count(*) FILTER (worst = 9) AS n_missing, count(*) FILTER (usable) AS n_usable,
   CAST(sum(5 - n_checks) AS BIGINT) AS n_unevaluated_checks, round(min(confidence), 6) AS confidence_min,
-  round(avg(confidence), 10) AS confidence_mean, round(max(confidence), 6) AS confidence_max
+  round(avg(confidence), 10) AS confidence_mean, round(max(confidence), 6) AS confidence_max,
+  array_to_string(list_sort(list(DISTINCT payload_hash)), ',') AS record_sha256s
  FROM (SELECT *, CASE WHEN 4 IN (timing, range_flag, rate_of_change, spike, flat_line) THEN 4
     WHEN 9 IN (timing, range_flag, rate_of_change, spike, flat_line) THEN 9
     WHEN 3 IN (timing, range_flag, rate_of_change, spike, flat_line) THEN 3
@@ -246,7 +247,7 @@ def retained_window_qc(spark, sf_dir):
     out = Q.retained_window_summary(rows, ["source_type", "station_id", "window_no"])
     for c, digits in (("confidence_min", 6), ("confidence_mean", 10), ("confidence_max", 6)):
         out = out.withColumn(c, F.round(c, digits))
-    return out
+    return out.withColumn("record_sha256s", F.array_join("record_sha256s", ","))
 
 
 @C.add(
