@@ -1,10 +1,13 @@
 """Token counts without token lists: a transducer over units, composed chunk by chunk.
 
-The tokenizer is compiled lazily into a deterministic transducer. Its boundary
-state is "a solid character was just read"; there a white-space character always
-starts a new pre-token, so the text may be cut. A unit is the text between two
-such cuts. A transition reads one whole unit from boundary to boundary and is
-annotated with the number of tokens the library emits for that unit.
+The merges are compiled into a deterministic transducer over letters
+(`merge_automaton`), which counts the tokens of a pre-token. Around it lies a machine
+over units: its boundary state is "a solid character was just read"; there a
+white-space character always starts a new pre-token, so the text may be cut. A unit is
+the text between two such cuts. The transition of a unit, from boundary to boundary,
+is composed of the letter transitions of its pre-tokens and annotated with their sum;
+composed transitions are kept, for words repeat. The library gives the pre-tokens of
+what is not plain ASCII words; it never gives tokens.
 
 A chunk of text is a state map: tokens between its first and last cut, plus the
 open ends that belong to units shared with its neighbours. Maps compose
@@ -13,6 +16,8 @@ associatively, so chunks of one text are mapped in parallel and combined in a sc
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -21,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .merge_automaton import MergeAutomaton
+
 CHUNK_CHARS = 65_536
-# Transitions kept per worker; the table is emptied when full and refilled from the library.
+# Transitions kept per worker; the table is emptied when full and composed anew.
 TRANSITIONS = 400_000
 # Marks that form pre-tokens of their own after a letter (the apostrophe may start a contraction).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -43,14 +50,26 @@ class StateMap(NamedTuple):
 class Transducer(dict):
     """Maps the text after a cut-off blank to the tokens of blank and text together."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, path: str) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
-        self.model = tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        split, added = parts["pre_tokenizer"] or {}, parts["added_tokens"]
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} has no byte-level pre-tokens without a prefix")
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+            raise ValueError(f"{path} has added tokens that depend on what is around them")
+        self.automaton = MergeAutomaton.from_file(path)
+        self.pre_tokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        # Of added strings that start at the same place the longest is taken.
+        names = sorted((a["content"] for a in added), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, names)) or r"(?!)")
 
     def emitted(self, unit: str) -> int:
         """Tokens of a unit (or any text that stands alone)."""
-        return len(self.tokenizer.encode(unit, add_special_tokens=False).ids) if unit else 0
+        plain = self.added.split(unit)
+        inside = sum(self.automaton.count(word) for part in plain if part for word, _ in self.pre_tokens(part))
+        return inside + len(plain) - 1
 
     def __missing__(self, piece: str) -> int:
         if not piece or piece[-1].isspace():
@@ -65,7 +84,7 @@ class Transducer(dict):
                 # Letters and the marks after them are separate pre-tokens; words repeat more than pairs.
                 return self[letters] + self._alone(piece[len(letters) :])
             if piece.isascii() and piece.isalpha():
-                count = len(self.model.tokenize(BLANK + piece))  # one pre-token; the model is asked directly
+                count = self.automaton.count(BLANK + piece)  # one pre-token, written as in the vocabulary
             else:
                 count = self.emitted(lines[0])
         if len(self) >= TRANSITIONS:
@@ -177,7 +196,7 @@ _LOADED: dict[str, Transducer] = {}
 def transducer(path: str) -> Transducer:
     """One lazily compiled transducer per worker and vocabulary file."""
     if path not in _LOADED:
-        _LOADED[path] = Transducer(Tokenizer.from_file(path))
+        _LOADED[path] = Transducer(path)
     return _LOADED[path]
 
 
@@ -188,8 +207,8 @@ def token_counts(
 
     `vocabulary` is a tokenizer file of the `tokenizers` library with byte-level
     pre-tokens, readable on every executor. Null and empty texts have 0 bytes and
-    0 tokens; repeated rows are repeated in the result; a null id stays null.
-    Other columns are ignored, whatever their names. Chunks of one text are
+    0 tokens; repeated rows are repeated in the result; a null id stays null; an empty
+    table gives an empty result. Other columns are ignored, whatever their names. Chunks of one text are
     separate rows before they are mapped, so a long text is no long task step.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
