@@ -72,6 +72,43 @@ def test_pairs_are_learned():
     assert area(np.array(labels), m.logit(np.concatenate(places), starts)) > 0.99
 
 
+def test_a_rare_pair_of_harmless_terms_is_learned():
+    """Each term is in 4 % of the documents, both in 1 %; only those and other insults are toxic."""
+    rng = np.random.default_rng(6)
+
+    def sample(n):
+        docs, labels = [], []
+        for _ in range(n):
+            u = rng.random()
+            a, b, insult = u < 0.04, u < 0.01 or 0.04 <= u < 0.07, rng.random() < 0.1
+            terms = set(rng.integers(100, 5000, 20).tolist()) | {t for t, there in ((1, a), (2, b), (3, insult)) if there}
+            docs.append(np.array(sorted(terms), dtype=np.int64))
+            labels.append(float(insult or (a and b)))
+        return docs, np.array(labels)
+
+    docs, labels = sample(1200)
+    assert {1, 2, 3} <= set(toxicity._telling(docs, labels).tolist())
+    m = toxicity.train(docs, labels)
+    fresh, _ = sample(4000)
+    places = [toxicity._places(m.terms, d) for d in fresh]
+    logit = np.array([m.logit(p, np.array([0])) for p in places])[:, 0]
+    has = np.array([[t in d for t in (1, 2, 3)] for d in fresh])
+    both, one = has[:, 0] & has[:, 1] & ~has[:, 2], (has[:, 0] ^ has[:, 1]) & ~has[:, 2]
+    assert both.sum() > 10 and one.sum() > 50
+    assert (logit[both] > 0).mean() > 0.9 and (logit[one] > 0).mean() < 0.1
+
+
+def test_scores_are_the_double_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(np.arange(40), 0.3, rng.normal(size=41), rng.normal(size=(41, 3)))
+    docs = [np.sort(rng.choice(40, k, replace=False)) for k in (0, 1, 2, 40, 0, 7, 0)]
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
+    got = m.logit(np.concatenate(docs), starts)
+    for d, s in zip(docs, got):
+        pairs = sum(float(m.factors[i] @ m.factors[j]) for i in d for j in d if i < j)
+        assert math.isclose(s, 0.3 + m.weights[d].sum() + pairs, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_neighbours_vote_like_all_pairs():
     rng = np.random.default_rng(2)
     z, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((30, 8)), rng.standard_normal((200, 8))))

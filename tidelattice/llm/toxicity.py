@@ -4,6 +4,11 @@ The score of a text with terms i is sigmoid(b + sum w_i + sum over pairs <v_i, v
 the second sum learns pairs such as an insult together with a group, which additive
 weights cannot. It costs no more than a linear model, since the sum over pairs is
 half of |sum v_i|^2 - sum |v_i|^2.
+
+Null and empty texts get the bias alone, as does every text where nothing was learned.
+A very long text counts each of its terms once, however often it occurs. Repeated rows
+are scored alike; an empty table gives no rows; no column but the text is read, so
+extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +29,11 @@ HASH_SPACE = 1 << 22
 # A term is kept if it is in so many sampled documents and either its frequency differs
 # between the classes by so many standard errors or it is in so large a share of them.
 LEAST_DOCS, LEAST_ERRORS, COMMON = 3, 5.0, 0.2
+# Two terms that say little on their own are kept if they meet in so many toxic documents and
+# toxic ones are so many standard errors more frequent where they meet. A term of a telling
+# pair is itself more frequent in toxic documents, by at least so many errors.
+PAIR_DOCS, PAIR_ERRORS, PARTNER_ERRORS = 5, 6.5, 2.0
+_PAIRS_AT_ONCE = 4_000_000
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.2, 3e-4
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -106,7 +116,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> M
 
 
 def _telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms worth learning."""
+    """Sorted hashes of the terms worth learning, alone or as one of two."""
     if not docs:
         return np.zeros(0, dtype=np.int64)
     terms, at, counts = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
@@ -114,8 +124,53 @@ def _telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     n1 = max(labels.sum(), 1)
     n0 = max(len(labels) - labels.sum(), 1)
     share = counts / len(docs)
-    apart = np.abs(toxic / n1 - (counts - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    return terms[(counts >= LEAST_DOCS) & ((apart >= LEAST_ERRORS) | (share >= COMMON))]
+    apart = (toxic / n1 - (counts - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    kept = (counts >= LEAST_DOCS) & ((np.abs(apart) >= LEAST_ERRORS) | (share >= COMMON))
+    partners = (toxic >= PAIR_DOCS) & (apart >= PARTNER_ERRORS) & (share < COMMON)
+    number = np.where(partners, np.cumsum(partners) - 1, -1)
+    ends = np.cumsum([len(d) for d in docs])
+    own = [np.sort(x[x >= 0]) for x in np.split(number[at], ends[:-1])]
+    kept[np.flatnonzero(partners)[_telling_pairs(own, labels, int(partners.sum()))]] = True
+    return terms[kept]
+
+
+def _pairs(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Sorted keys of all pairs of sorted numbers below n."""
+    i, j = np.triu_indices(len(numbers), 1)
+    return numbers[i] * n + numbers[j]
+
+
+def _telling_pairs(docs: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the terms that form a telling pair; documents are sorted numbers below n."""
+    met, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    waiting: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal met, times
+        keys, at = np.unique(np.concatenate([met, *waiting]), return_inverse=True)
+        weights = np.concatenate([times, np.ones(len(at) - len(times), dtype=np.int64)])
+        met, times = keys, np.bincount(at, weights, len(keys)).astype(np.int64)
+        waiting.clear()
+
+    for numbers, label in zip(docs, labels):
+        if label and len(numbers) > 1:
+            waiting.append(_pairs(numbers, n))
+            if sum(map(len, waiting)) >= _PAIRS_AT_ONCE:
+                merge()
+    merge()
+    often = times >= PAIR_DOCS
+    met, times = met[often], times[often]
+    if not len(met):
+        return np.zeros(0, dtype=np.int64)
+    everywhere = np.zeros(len(met), dtype=np.int64)
+    for numbers in docs:
+        keys = _pairs(numbers, n)
+        at = np.minimum(np.searchsorted(met, keys), len(met) - 1)
+        everywhere[at[met[at] == keys]] += 1
+    rate = labels.mean()
+    apart = (times - everywhere * rate) / np.sqrt(everywhere * rate * (1 - rate) + 1e-12)
+    telling = met[apart >= PAIR_ERRORS]
+    return np.unique(np.concatenate([telling // n, telling % n]))
 
 
 def _places(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
