@@ -33,7 +33,7 @@ LEAST_DOCS, LEAST_ERRORS, COMMON = 3, 5.0, 0.2
 # toxic ones are so many standard errors more frequent where they meet. A term of a telling
 # pair is itself more frequent in toxic documents, by at least so many errors.
 PAIR_DOCS, PAIR_ERRORS, PARTNER_ERRORS = 5, 6.5, 2.0
-_PAIRS_AT_ONCE = 4_000_000
+_PAIRS_AT_ONCE = 500_000
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 0.2, 3e-4
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -134,43 +134,38 @@ def _telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return terms[kept]
 
 
-def _pairs(numbers: np.ndarray, n: int) -> np.ndarray:
-    """Sorted keys of all pairs of sorted numbers below n."""
-    i, j = np.triu_indices(len(numbers), 1)
-    return numbers[i] * n + numbers[j]
+def _pairs(numbers: np.ndarray, n: int, part: int, parts: int) -> np.ndarray:
+    """Keys of the pairs of sorted numbers below n whose smaller number is of the part."""
+    first = np.flatnonzero(numbers % parts == part)
+    partners = len(numbers) - 1 - first
+    at = np.repeat(first, partners)
+    steps = np.arange(len(at)) - np.repeat(np.cumsum(partners) - partners, partners) + 1
+    return numbers[at] * n + numbers[at + steps]
 
 
 def _telling_pairs(docs: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of the terms that form a telling pair; documents are sorted numbers below n."""
-    met, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    waiting: list[np.ndarray] = []
-
-    def merge() -> None:
-        nonlocal met, times
-        keys, at = np.unique(np.concatenate([met, *waiting]), return_inverse=True)
-        weights = np.concatenate([times, np.ones(len(at) - len(times), dtype=np.int64)])
-        met, times = keys, np.bincount(at, weights, len(keys)).astype(np.int64)
-        waiting.clear()
-
-    for numbers, label in zip(docs, labels):
-        if label and len(numbers) > 1:
-            waiting.append(_pairs(numbers, n))
-            if sum(map(len, waiting)) >= _PAIRS_AT_ONCE:
-                merge()
-    merge()
-    often = times >= PAIR_DOCS
-    met, times = met[often], times[often]
-    if not len(met):
-        return np.zeros(0, dtype=np.int64)
-    everywhere = np.zeros(len(met), dtype=np.int64)
-    for numbers in docs:
-        keys = _pairs(numbers, n)
-        at = np.minimum(np.searchsorted(met, keys), len(met) - 1)
-        everywhere[at[met[at] == keys]] += 1
+    """Numbers of the terms that form a telling pair; documents are sorted numbers below n.
+
+    Pairs are counted part by part, so that memory does not grow with their number.
+    """
     rate = labels.mean()
-    apart = (times - everywhere * rate) / np.sqrt(everywhere * rate * (1 - rate) + 1e-12)
-    telling = met[apart >= PAIR_ERRORS]
-    return np.unique(np.concatenate([telling // n, telling % n]))
+    parts = 1 + sum(len(d) * (len(d) - 1) // 2 for d, y in zip(docs, labels) if y) // _PAIRS_AT_ONCE
+    found = [np.zeros(0, dtype=np.int64)]
+    for part in range(parts):
+        keys = [_pairs(d, n, part, parts) for d, y in zip(docs, labels) if y and len(d) > 1]
+        met, times = np.unique(np.concatenate([found[0], *keys]), return_counts=True)
+        met, times = met[times >= PAIR_DOCS], times[times >= PAIR_DOCS]
+        if not len(met):
+            continue
+        everywhere = np.zeros(len(met), dtype=np.int64)
+        for d in docs:
+            keys = _pairs(d, n, part, parts) if len(d) > 1 else d[:0]
+            at = np.minimum(np.searchsorted(met, keys), len(met) - 1)
+            everywhere[at[met[at] == keys]] += 1
+        apart = (times - everywhere * rate) / np.sqrt(everywhere * rate * (1 - rate) + 1e-12)
+        telling = met[apart >= PAIR_ERRORS]
+        found += [telling // n, telling % n]
+    return np.unique(np.concatenate(found))
 
 
 def _places(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
