@@ -5,9 +5,9 @@ neighbouring tokens stay apart when merged on their own. So the last token of ea
 prefix follows from the last tokens of shorter prefixes: it is the only token that
 ends the prefix and stays apart from the last token of what precedes it.
 
-A state is what later letters can still depend on: the longest end of the input that
-may begin a token, and for each place in it the last token there and the tokens
-counted so far, relative to now. A transition reads one letter and is annotated with
+A state is what later letters can still depend on: the ends of the input that may begin
+a token, each with the last token before it and the tokens counted up to there, relative
+to now. A transition reads one letter and is annotated with
 the tokens it emits: the growth of the prefix's count, below zero where the letter
 joins what were several tokens. States are compiled from the vocabulary when they are
 first reached; at any time the table is a part of one fixed machine.
@@ -19,18 +19,15 @@ import json
 from collections.abc import Iterable
 
 # States kept per worker; beyond, the table is emptied and compiled again where needed.
-STATES = 100_000
+STATES = 300_000
 _NEVER = 1 << 60
 
 
-class State(dict):
-    """Letter -> (state, tokens emitted), as far as compiled."""
-
-    __slots__ = ("end", "last", "counts")
-
-    def __init__(self, end: str, last: tuple[str, ...], counts: tuple[int, ...]) -> None:
-        super().__init__()
-        self.end, self.last, self.counts = end, last, counts
+# An end that may begin a token (its place in the trie of tokens), the last token before it
+# (its place, 0 at the start of the word), and the tokens before it less the tokens now.
+Open = tuple[int, int, int]
+# Keys are pairs of numbers in one: a place or state and the code of a letter.
+_CODE_BITS = 21
 
 
 class MergeAutomaton:
@@ -51,10 +48,22 @@ class MergeAutomaton:
         self._right: dict[str, list[tuple[str, int]]] = {}
         self._left: dict[str, list[tuple[str, int]]] = {}
         # A token whose own halves do not stay whole until they meet is never the result of merging.
-        self.tokens = self.letters | {t for t, (a, b) in self.halves.items() if self._made(a, b)}
-        self.longest = max(map(len, self.tokens), default=0)
-        self.starts = {t[:n] for t in self.tokens for n in range(1, len(t) + 1)}
-        self._apart: dict[tuple[str, str], bool] = {}
+        self.tokens = set(self.letters)
+        for token, (a, b) in self.halves.items():
+            if a in self.tokens and b in self.tokens and self._meet(a, b) == (a, b):
+                self.tokens.add(token)
+        self._trie: dict[int, int] = {}
+        self._name: list[str] = [""]
+        for token in self.tokens:
+            place = 0
+            for n, letter in enumerate(token, 1):
+                key = place << _CODE_BITS | ord(letter)
+                place = self._trie.get(key, 0)
+                if not place:
+                    place = self._trie[key] = len(self._name)
+                    self._name.append(token[:n])
+        self._whole = {place for place, name in enumerate(self._name) if name in self.tokens}
+        self._apart: dict[int, bool] = {}
         self.limit = states
         self._reset()
 
@@ -104,63 +113,58 @@ class MergeAutomaton:
             else:
                 j += 1
 
-    def _made(self, a: str, b: str) -> bool:
-        return self._meet(a, b) == (a, b)
-
-    def _stay_apart(self, a: str, b: str) -> bool:
-        found = self._apart.get((a, b))
+    def _stay_apart(self, a: int, b: int) -> bool:
+        key = a << 32 | b
+        found = self._apart.get(key)
         if found is None:
             if len(self._apart) >= 4 * self.limit:
                 self._apart.clear()
-            found = self._apart[a, b] = self._meet(a, b) is None
+            found = self._apart[key] = self._meet(self._name[a], self._name[b]) is None
         return found
 
     def _reset(self) -> None:
-        self._table: dict[tuple, State] = {}
-        self.first = self._state("", ("",), (0,))
-
-    def _state(self, end: str, last: tuple[str, ...], counts: tuple[int, ...]) -> State:
-        key = (end, last, counts)
-        found = self._table.get(key)
-        if found is None:
-            found = self._table[key] = State(*key)
-        return found
-
-    def _compile(self, state: State, letter: str) -> tuple[State, int]:
-        """The transition of a state for a letter."""
+        self._steps: dict[int, tuple[int, int]] = {}
+        self._number: dict[tuple[Open, ...], int] = {}
+        self._ends: list[tuple[Open, ...]] = []
+        self._state(((0, 0, 0),))  # the first state has the number 0
+
+    def _state(self, ends: tuple[Open, ...]) -> int:
+        number = self._number.setdefault(ends, len(self._ends))
+        if number == len(self._ends):
+            self._ends.append(ends)
+        return number
+
+    def _compile(self, state: int, letter: str) -> tuple[int, int]:
+        """The transition of a state for a letter: the next state and the tokens emitted."""
         if letter not in self.letters:
             raise KeyError(letter)
-        end = state.end + letter
-        for length in range(1, min(len(end), self.longest) + 1):
-            token, before = end[-length:], state.last[-length]
-            if token in self.tokens and (not before or self._stay_apart(before, token)):
-                break
-        else:
-            raise ValueError(f"no token ends {end!r}")
-        emitted = state.counts[-length] + 1  # relative to the count before this letter
-        live = end
-        while live and live not in self.starts:
-            live = live[1:]
-        kept = len(live) + 1
-        last = (*state.last, token)[-kept:]
-        counts = tuple(c - emitted for c in (*state.counts, emitted)[-kept:])
-        step = state[letter] = self._state(live, last, counts), emitted
+        code, trie = ord(letter), self._trie
+        last, emitted, longer = 0, 0, []
+        for place, before, count in self._ends[state]:
+            grown = trie.get(place << _CODE_BITS | code)
+            if grown is not None:
+                longer.append((grown, before, count))
+                if not last and grown in self._whole and (not before or self._stay_apart(before, grown)):
+                    last, emitted = grown, count + 1
+        ends = [(place, before, count - emitted) for place, before, count in longer]
+        ends.append((0, last, 0))
+        step = self._steps[state << _CODE_BITS | code] = self._state(tuple(ends)), emitted
         return step
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token."""
-        if len(self._table) > self.limit:
+        if len(self._ends) > self.limit:
             self._reset()
-        state, total = self.first, 0
+        steps, state, total = self._steps, 0, 0
         for letter in word:
-            step = state.get(letter)
+            step = steps.get(state << _CODE_BITS | ord(letter))
             if step is None:
                 step = self._compile(state, letter)
-                if len(self._table) > 2 * self.limit:
+                if len(self._ends) > 2 * self.limit:
                     # Within one very long word: only the state it has reached is needed to go on.
+                    reached = self._ends[step[0]]
                     self._reset()
-                    reached, emitted = step
-                    step = self._state(reached.end, reached.last, reached.counts), emitted
+                    steps, step = self._steps, (self._state(reached), step[1])
             state, emitted = step
             total += emitted
         return total
