@@ -45,6 +45,8 @@ ROUNDS = 2
 HELD, STREAMED, PART = 128, 2048, 512
 # Texts of a task that are remembered so that their copies are sketched once.
 REMEMBERED = 200_000
+# Rows of a batch that are Python objects at once.
+_SLICE = 256
 _STEP = 4096
 _RANDOM = np.random.default_rng(42)
 _FACTORS, _TERMS = _RANDOM.integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,7 +178,8 @@ def _grouped_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         columns = zip(*out, strict=True) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
-    for batch in batches:
+    slices = (b.slice(at, _SLICE) for b in batches for at in range(0, b.num_rows, _SLICE))
+    for batch in slices:
         out: list[tuple[bytes, bytes]] = []
         for g, kind, node, root, _, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (g, kind, node, root) != now:
