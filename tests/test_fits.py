@@ -5,34 +5,86 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidelattice.functions import signals
-from tidelattice.functions.tides import basis_matrix, fit_robust
+from tidelattice.functions.tides import SPEEDS, basis_matrix, fit_robust
 from tidelattice.operators import detect as D
 from tidelattice.operators import inversion as I
 from tidelattice.operators import tide as T
 
 
 def two_series():
+    """A short and a longer series with drift and outliers."""
     rng = np.random.default_rng(9)
-    hours = np.arange(0, 400, 0.5)
     parts = []
-    for k, level in (("a", 1.0), ("b", -2.0)):
-        y = basis_matrix(hours) @ np.r_[level, rng.normal(size=16)] + 0.01 * rng.normal(size=len(hours))
+    for k, level, n in (("a", 1.0, 800), ("b", -2.0, 1500)):
+        hours = 3.0 + np.arange(n) * 0.5
+        y = basis_matrix(hours) @ np.r_[level, rng.normal(size=16)] + 0.01 * rng.normal(size=n)
+        y += 0.004 * hours + 2e-6 * hours**2
         y[::97] += 3
+        y *= 0.01
         parts.append(pd.DataFrame({"k": k, "hours": hours, "v": y}))
     return pd.concat(parts)
 
 
-def test_distributed_rounds_equal_the_grouped_fit(spark):
+def plain_fit(hours, y, drift, rounds=20):
+    """Reweighted least squares written out; the columns, too, are built here."""
+    columns = [np.ones(len(hours))]
+    for speed in SPEEDS:
+        columns += [np.cos(speed * hours), np.sin(speed * hours)]
+    if drift:
+        u = (hours - np.mean(hours)) / (np.max(hours) - np.min(hours))
+        columns += [u, u * u]
+    x = np.stack(columns, axis=1)
+    c = np.linalg.lstsq(x, y, rcond=None)[0]
+    plain = c
+    for _ in range(rounds):
+        r = y - x @ c
+        s = 1.4826 * np.median(np.abs(r - np.median(r)))
+        w = np.sqrt(1 / (1 + (r / s) ** 2))
+        new = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
+        done = np.max(np.abs(new - c)) < 1e-6
+        c = new
+        if done:
+            break
+    return plain, c, y - x @ c
+
+
+def test_fits_of_every_size_equal_plain_numpy(spark):
+    """A short key beside one over the limit, at production rounds, with drift."""
     data = two_series()
     df = spark.createDataFrame(data).repartition(3)
-    grouped = {r["k"]: np.array(r["coefficients"]) for r in T.fit_tide_robust(df, ["k"], "v").collect()}
-    rounds = {r["k"]: np.array(r["coefficients"]) for r in T.fit_tide_rounds(df, ["k"], "v", rounds=3).collect()}
-    plain = {r["k"]: np.array(r["coefficients"]) for r in T.fit_tide(df, ["k"], "v").collect()}
+    fits = {
+        "by size": T.fit_tide_robust(df, ["k"], "v", True, gather_limit=1000),
+        "grouped": T.fit_tide_robust(df, ["k"], "v", True),
+        "plain": T.fit_tide(df, ["k"], "v", True),
+    }
+    got = {name: {r["k"]: r for r in f.collect()} for name, f in fits.items()}
+    left = T.detide(df, fits["by size"], ["k"], "v").orderBy("k", "hours").toPandas()
     for k, part in data.groupby("k"):
         h, y = part["hours"].to_numpy(), part["v"].to_numpy()
-        assert np.allclose(grouped[k], fit_robust(h, y), atol=1e-9)
-        assert np.allclose(plain[k], np.linalg.lstsq(basis_matrix(h), y, rcond=None)[0], atol=1e-6)
-        assert np.max(np.abs(rounds[k] - grouped[k])) < np.max(np.abs(plain[k] - grouped[k])) / 3
+        plain, robust, residual = plain_fit(h, y, True)
+        assert np.max(np.abs(plain - robust)) > 1e-3
+        for name, want in (("grouped", robust), ("by size", robust), ("plain", plain)):
+            r = got[name][k]
+            assert np.allclose(r["coefficients"], want, rtol=0, atol=1e-9), name
+            assert r["n_fit"] == len(h) and np.allclose((r["t_mean"], r["t_range"]), (h.mean(), np.ptp(h)))
+        assert np.allclose(left[left.k == k].residual, residual, rtol=0, atol=1e-9)
+
+
+def test_distributed_rounds_equal_plain_rounds_without_drift(spark):
+    data = two_series()
+    df = spark.createDataFrame(data).repartition(3)
+    rounds = {r["k"]: r["coefficients"] for r in T.fit_tide_rounds(df, ["k"], "v", rounds=2).collect()}
+    for k, part in data.groupby("k"):
+        want = plain_fit(part["hours"].to_numpy(), part["v"].to_numpy(), False, 2)[1]
+        assert np.allclose(rounds[k], want, rtol=0, atol=1e-9)
+
+
+def test_fit_of_no_rows_and_of_one_instant(spark):
+    empty = spark.createDataFrame([], "k string, hours double, v double")
+    assert not T.fit_tide_robust(empty, ["k"], "v", True).count() and not T.fit_tide(empty, ["k"], "v", True).count()
+    one = spark.createDataFrame([("a", 2.0, 5.0)] * 3, "k string, hours double, v double")
+    fits = T.fit_tide_robust(one, ["k"], "v", True)
+    assert T.detide(one, fits, ["k"], "v").agg(F.max(F.abs("residual"))).first()[0] < 1e-9
 
 
 def test_detide_leaves_nothing_of_a_pure_tide(spark):

@@ -22,25 +22,28 @@ SPEEDS_DEG_PER_HOUR = {
 NAMES = sorted(SPEEDS_DEG_PER_HOUR)
 SPEEDS = [math.radians(SPEEDS_DEG_PER_HOUR[name]) for name in NAMES]
 SIZE = 1 + 2 * len(NAMES)
+# Drift columns beside the tide, and the shortest range in hours that scales them.
+DRIFT, LEAST_SPAN = 2, 1e-6
 IRLS_ROUNDS = 20
 IRLS_TOLERANCE = 1e-6
 
 
-def tide_basis(hours: Column) -> list[Column]:
-    """Intercept, then cosine and sine of each constituent in name order."""
+def tide_basis(hours: Column, mean: Column | None = None, span: Column | None = None) -> list[Column]:
+    """Intercept, then cosine and sine of each constituent in name order; with `mean` and `span` also the drift."""
     terms = [F.lit(1.0)]
     for speed in SPEEDS:
         terms += [F.cos(hours * speed), F.sin(hours * speed)]
-    return terms
+    return terms if mean is None else terms + drift_basis(hours, mean, span)
 
 
 def drift_basis(hours: Column, mean: Column, span: Column) -> list[Column]:
-    scaled = (hours - mean) / F.when(span < 1e-6, 1.0).otherwise(span)
+    """Linear and quadratic drift on the centred and scaled clock of the fit."""
+    scaled = (hours - mean) / F.when(span < LEAST_SPAN, 1.0).otherwise(span)
     return [scaled, scaled * scaled]
 
 
-def predict_tide(hours: Column, coefficients: Column) -> Column:
-    terms = [term * coefficients[i] for i, term in enumerate(tide_basis(hours))]
+def predict_tide(hours: Column, coefficients: Column, mean: Column | None = None, span: Column | None = None) -> Column:
+    terms = [term * coefficients[i] for i, term in enumerate(tide_basis(hours, mean, span))]
     return sum(terms[1:], terms[0])
 
 
@@ -49,25 +52,28 @@ def amplitude(coefficients: Column, name: str) -> Column:
     return F.sqrt(coefficients[at] * coefficients[at] + coefficients[at + 1] * coefficients[at + 1])
 
 
-def basis_matrix(hours: np.ndarray) -> np.ndarray:
+def basis_matrix(hours: np.ndarray, mean: float | None = None, span: float | None = None) -> np.ndarray:
     phase = np.outer(hours, SPEEDS)
-    out = np.ones((len(hours), SIZE))
-    out[:, 1::2] = np.cos(phase)
-    out[:, 2::2] = np.sin(phase)
+    out = np.ones((len(hours), SIZE if mean is None else SIZE + DRIFT))
+    out[:, 1:SIZE:2] = np.cos(phase)
+    out[:, 2:SIZE:2] = np.sin(phase)
+    if mean is not None:
+        out[:, SIZE] = (hours - mean) / (1.0 if span < LEAST_SPAN else span)
+        out[:, SIZE + 1] = out[:, SIZE] ** 2
     return out
 
 
 def solve_moments(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Minimum-norm solution from summed moments (upper triangle, row by row)."""
-    full = np.zeros((SIZE, SIZE))
-    full[np.triu_indices(SIZE)] = gram
+    full = np.zeros((len(rhs), len(rhs)))
+    full[np.triu_indices(len(rhs))] = gram
     full = full + np.triu(full, 1).T
     return np.linalg.pinv(full, rcond=1e-13, hermitian=True) @ rhs
 
 
-def fit_robust(hours: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Cauchy-weighted least squares of one bounded series."""
-    basis = basis_matrix(hours)
+def fit_robust(hours: np.ndarray, values: np.ndarray, mean: float | None = None, span: float | None = None) -> np.ndarray:
+    """Cauchy-weighted least squares of one bounded series, with drift where `mean` and `span` are given."""
+    basis = basis_matrix(hours, mean, span)
     coefficients = np.linalg.lstsq(basis, values, rcond=None)[0]
     for _ in range(IRLS_ROUNDS):
         left = values - basis @ coefficients

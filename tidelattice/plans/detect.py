@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as score
-from ..functions.tides import SPEEDS, amplitude, predict_tide, tide_basis
+from ..functions.tides import SPEEDS, amplitude, drift_basis, predict_tide, tide_basis
 from ..operators import detect as D
 from ..operators import joins as J
 from ..operators import series as S
@@ -65,6 +65,51 @@ def tide_moments(spark, sf_dir):
     return long.select(*STATION, F.col("k").cast("long").alias("k"), (F.round("m", 4) + 0.0).alias("m"))
 
 
+DRIFT_SQL = HOURS + """,
+frames AS (SELECT source_type, station_id, avg(h) AS t_mean, max(h) - min(h) AS t_range FROM hours GROUP BY 1, 2),
+scaled AS (SELECT hours.*, (h - t_mean) / CASE WHEN t_range < 1e-6 THEN 1 ELSE t_range END AS u FROM hours JOIN frames USING (source_type, station_id))"""
+_WIDE = [*BASIS_SQL, "u", "u * u"]
+_DRIFT_MOMENTS = [f"sum({_WIDE[i]} * {_WIDE[j]})" for i in range(19) for j in range(i, 19)] + [f"sum({b} * value_m)" for b in _WIDE]
+
+
+def framed(spark, sf_dir):
+    rows = with_hours(observations(spark, sf_dir))
+    return rows.join(J.broadcast_if_small(T.fit_clock(rows, STATION)), STATION)
+
+
+@C.add("drift_basis", with_cte(DRIFT_SQL, body="SELECT seq, round(u, 6) AS linear, round(u * u, 6) AS quadratic FROM scaled"))
+def drift_basis_query(spark, sf_dir):
+    linear, quadratic = drift_basis(F.col("hours"), F.col("t_mean"), F.col("t_range"))
+    return framed(spark, sf_dir).select("seq", F.round(linear, 6).alias("linear"), F.round(quadratic, 6).alias("quadratic"))
+
+
+@C.add(
+    "drift_moments",
+    with_cte(DRIFT_SQL, body=f"""SELECT source_type, station_id, k, round(m, 4) + 0.0 AS m FROM (
+  SELECT source_type, station_id, unnest(range({len(_DRIFT_MOMENTS)})) AS k, unnest([{', '.join(_DRIFT_MOMENTS)}]) AS m FROM scaled GROUP BY 1, 2)"""),
+)
+def drift_moments(spark, sf_dir):
+    """Sums of products of the 19 columns of tide and drift."""
+    sums = T.tide_moments(framed(spark, sf_dir), STATION, "value_m", drift=True)
+    long = sums.select(*STATION, F.posexplode(F.concat("gram", "rhs")).alias("k", "m"))
+    return long.select(*STATION, F.col("k").cast("long").alias("k"), (F.round("m", 4) + 0.0).alias("m"))
+
+
+@C.add("fit_tide_drift")
+def fit_tide_drift(spark, sf_dir):
+    """Tide and drift fitted together, robustly, on readings whose slope was not taken out before."""
+    fits = T.fit_tide_robust(with_hours(calibration(spark, sf_dir)), STATION, "value", drift=True)
+    return fits.select(*STATION, "n_fit", "t_mean", "t_range", F.posexplode("coefficients").alias("k", "coefficient"))
+
+
+@C.add("detide_drift")
+def detide_drift(spark, sf_dir):
+    """Calibration readings less the tide and drift fitted to them."""
+    rows = cut_lineage(with_hours(calibration(spark, sf_dir)))
+    fits = T.fit_tide_robust(rows, STATION, "value", drift=True)
+    return T.detide(rows, fits, STATION, "value").select(*STATION, "ts_us", "predicted", "residual")
+
+
 @C.add("fit_tide")
 def fit_tide(spark, sf_dir):
     rows = with_hours(observations(spark, sf_dir))
