@@ -46,6 +46,7 @@ WEIGHTS = {
     "full_ensemble": (0.50, 0.35, 0.15),
     "threshold_only": (1.0, 0.0, 0.0),
     "statistical_only": (0.0, 1.0, 0.0),
+    "threshold_statistical": (0.588, 0.412, 0.0),
     "equal_weights": (1.0, 1.0, 1.0),
 }
 

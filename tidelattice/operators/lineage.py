@@ -55,14 +55,15 @@ def audit_page(audit: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return audit.orderBy(F.desc("recorded_us"), F.desc("audit_id")).offset(offset).limit(limit)
 
 
-def lineage_by_trace(audit: DataFrame, bucket: Column) -> DataFrame:
-    """All entries of each trace, numbered in time order, with the size of the trace.
+def lineage_by_event(audit: DataFrame, bucket: Column) -> DataFrame:
+    """All entries of each event, numbered in time order within the event and within its trace, with both sizes.
 
-    Entries without a trace form one group that may be most of the log; they are
-    ranked per time bucket first, so no group is sorted or gathered whole.
+    Entries without a trace form one group per event; any group may be most of the
+    log, so rows are ranked per time bucket first and none is sorted or gathered whole.
     """
     named = audit.withColumn("trace", F.coalesce("trace_id", F.lit(NO_TRACE)))
-    return number_rows(named, ["trace"], ["recorded_us", "audit_id"], bucket, "position", "entry_count")
+    whole = number_rows(named, ["event_id"], ["recorded_us", "audit_id"], bucket, "event_position", "total_entries")
+    return number_rows(whole, ["event_id", "trace"], ["recorded_us", "audit_id"], bucket, "position", "entry_count")
 
 
 def activity_report(audit: DataFrame, key: str) -> DataFrame:

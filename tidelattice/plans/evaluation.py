@@ -52,7 +52,7 @@ def false_trigger_totals(spark, sf_dir):
 
 
 ABLATION_SQL = """cfg AS (SELECT * FROM (VALUES ('full_ensemble', 0.5::DOUBLE, 0.35::DOUBLE, 0.15::DOUBLE), ('threshold_only', 1, 0, 0),
-  ('statistical_only', 0, 1, 0), ('equal_weights', 1, 1, 1)) v(config, a, b, c)),
+  ('statistical_only', 0, 1, 0), ('threshold_statistical', 0.588::DOUBLE, 0.412::DOUBLE, 0), ('equal_weights', 1, 1, 1)) v(config, a, b, c)),
 re AS (SELECT config, station_id, minutes, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN ml_score IS NULL
     THEN (a * threshold_score + b * greatest(wavelet_score, bocpd_score)) / (a + b)
     ELSE a * threshold_score + b * greatest(wavelet_score, bocpd_score) + c * ml_score END)) AS e FROM scores CROSS JOIN cfg)"""

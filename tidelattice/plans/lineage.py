@@ -337,13 +337,14 @@ def activity_report(spark, sf_dir):
 
 @C.add(
     "lineage_by_event",
-    with_cte(AUDIT, body="""SELECT coalesce(trace_id, '__no_trace__') AS trace, audit_id, event_type,
-  row_number() OVER (PARTITION BY coalesce(trace_id, '__no_trace__') ORDER BY recorded_us, audit_id) AS position,
-  count(*) OVER (PARTITION BY coalesce(trace_id, '__no_trace__')) AS entry_count FROM audit"""),
+    with_cte(AUDIT, body="""SELECT event_id, coalesce(trace_id, '__no_trace__') AS trace, audit_id, event_type,
+  row_number() OVER (PARTITION BY event_id ORDER BY recorded_us, audit_id) AS event_position, count(*) OVER (PARTITION BY event_id) AS total_entries,
+  row_number() OVER (PARTITION BY event_id, coalesce(trace_id, '__no_trace__') ORDER BY recorded_us, audit_id) AS position,
+  count(*) OVER (PARTITION BY event_id, coalesce(trace_id, '__no_trace__')) AS entry_count FROM audit"""),
 )
 def lineage_by_event(spark, sf_dir):
-    out = L.lineage_by_trace(audit(spark, sf_dir), time_bucket("recorded_us", 3_600))
-    return out.select("trace", "audit_id", "event_type", "position", "entry_count")
+    out = L.lineage_by_event(audit(spark, sf_dir), time_bucket("recorded_us", 3_600))
+    return out.select("event_id", "trace", "audit_id", "event_type", "event_position", "total_entries", "position", "entry_count")
 
 
 MESSAGES = """msg AS (SELECT event_type AS topic, CAST(user_id % 4 AS INT) AS "partition", event_id AS "offset", event_id % 10 = 3 AS rejected, epoch_us(ts) // 86400000000 AS day FROM events),
