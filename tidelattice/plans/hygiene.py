@@ -21,15 +21,15 @@ near AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts_us) AS
   list(value) OVER (PARTITION BY station_id ORDER BY ts_us ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS l FROM one),
 mids AS (SELECT *, list_aggregate(l, 'median') AS mid FROM near),
 mads AS (SELECT *, 1.4826::DOUBLE * list_aggregate(list_transform(l, lambda x: abs(x - mid)), 'median') AS scale FROM mids),
-hampel AS (SELECT station_id, ts_us, rn, n, value, scale >= 1e-12 AND abs(value - mid) > 3 * scale AS spike,
+hampel AS MATERIALIZED (SELECT station_id, ts_us, rn, n, value, scale >= 1e-12 AND abs(value - mid) > 3 * scale AS spike,
   CASE WHEN scale >= 1e-12 AND abs(value - mid) > 3 * scale THEN mid ELSE value END AS cleaned FROM mads)"""
 
 SHIFT_SQL = HAMPEL_SQL + """,
 dts AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY station_id ORDER BY rn) AS dt FROM hampel),
 med AS (SELECT station_id, quantile_cont(dt::DOUBLE, 0.5) AS m FROM dts GROUP BY 1),
 gapped AS (SELECT dts.*, n >= 11 AND m > 0 AND coalesce(dt > 6 * m, false) AS gap FROM dts JOIN med USING (station_id)),
-segs AS (SELECT *, sum(gap::INT) OVER (PARTITION BY station_id ORDER BY rn) AS seg FROM gapped),
-edges AS (SELECT *, row_number() OVER (PARTITION BY station_id, seg ORDER BY rn) AS from_start,
+segs AS MATERIALIZED (SELECT *, sum(gap::INT) OVER (PARTITION BY station_id ORDER BY rn) AS seg FROM gapped),
+edges AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY station_id, seg ORDER BY rn) AS from_start,
   row_number() OVER (PARTITION BY station_id, seg ORDER BY rn DESC) AS from_end FROM segs),
 heads AS (SELECT station_id, seg, median(cleaned) AS head FROM edges WHERE from_start <= 5 GROUP BY 1, 2),
 tails AS (SELECT station_id, seg, median(cleaned) AS tail FROM edges WHERE from_end <= 5 GROUP BY 1, 2),
