@@ -67,3 +67,22 @@ def test_confidence(spark):
 def test_non_finite_fails_and_never_passes(spark):
     df = spark.createDataFrame(pd.DataFrame({"value_m": [1.0, float("nan"), float("inf"), -float("inf"), 9999.0]}))
     assert Q.drop_sentinels(df).count() == 1
+
+
+def test_no_frame_slides_over_the_last_hour(spark):
+    """A frame with a lower bound is built anew for every row: quadratic in the readings of an hour."""
+    schema = "seq long, source_type string, station_id string, ts_us long, value_m double, expected_interval_sec int, payload_hash string"
+    flagged = Q.quality_flags(spark.createDataFrame([(1, "dart", "21401", 0, 0.0, 15, "00")], schema))
+    plan = flagged._jdf.queryExecution().analyzed().toString().lower()
+    assert "windowspecdefinition" in plan and "rangeframe" not in plan
+
+
+def test_flags_of_dense_readings_equal_the_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = [{"seq": i, "source_type": "dart", "station_id": "21401", "ts_us": int(t) * 1_000_000, "value_m": None if rng.random() < 0.1 else float(rng.normal(0, 3e-5)),
+             "expected_interval_sec": 15, "payload_hash": f"{rng.integers(1 << 40):064x}"} for i, t in enumerate(np.sort(rng.integers(0, 4 * 3600, 900)) - 5400)]
+    rows.sort(key=lambda r: (r["ts_us"], r["payload_hash"]))
+    schema = "seq long, source_type string, station_id string, ts_us long, value_m double, expected_interval_sec int, payload_hash string"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema).repartition(3)
+    got = {r["seq"]: {c: r[c] for c in ("timing", "spike", "rate_of_change", "flat_line", "range")} for r in Q.quality_flags(df).collect()}
+    assert got == brute(rows)

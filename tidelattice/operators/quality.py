@@ -25,6 +25,8 @@ from .partitioned import BUCKET, _carry, exact_percentiles, settle, time_bucket,
 STATION = ["source_type", "station_id"]
 CHECKS = ["timing", "range", "rate_of_change", "spike", "flat_line"]
 PASS, NOT_EVALUATED, SUSPECT, FAIL, MISSING = 1, 2, 3, 4, 9
+# Kinds of rows in the sort of the checks: a carried row, a reading, and a reading marked one hour later.
+OLDER, ROW, MARK = 0, 1, 2
 
 
 def drop_sentinels(df: DataFrame, value: str = "value_m") -> DataFrame:
@@ -89,41 +91,48 @@ def _banded(size: Column, limit: Column) -> Column:
 
 
 def quality_flags(df: DataFrame, bucket_seconds: int = 6 * 3600) -> DataFrame:
-    """All five ordered checks from one sort per (station, time bucket).
+    """All five ordered checks in (station, time bucket) partitions, at a cost that does not depend on density.
 
-    Rows of the last hour before a bucket come along as context for the flat-line
-    range; the row before that, however old, comes as one carried row per bucket.
+    The last hour of a row lies in two blocks of an hour: the start of its own block up
+    to the row, and the end of the block before. Each reading is also sent, one hour
+    later, into the next block as a mark; a running extreme over rows and a running
+    extreme over marks from the end make up the hour, and no frame slides. The row
+    before a bucket, however old, comes as one carried row.
     """
     look = FLAT_LINE_WINDOW_SEC * 1_000_000
-    width = bucket_seconds * 1_000_000
+    per_bucket = max(1, bucket_seconds // FLAT_LINE_WINDOW_SEC)
     order = ["ts_us", "payload_hash"]
     payload = ["value_m", "expected_interval_sec"]
-    rows = df.withColumn(BUCKET, time_bucket("ts_us", bucket_seconds))
-    slim = rows.select(*STATION, BUCKET, *order, *payload)
-    carried = (
-        _carry(slim, STATION, order, payload)
-        .where(F.col("_tail")["ts_us"] < F.col("_next") * width - look)
-        .select(*STATION, F.col("_next").alias(BUCKET), *[F.col("_tail")[c].alias(c) for c in order + payload], F.lit(True).alias("_ctx"))
+
+    def placed(df: DataFrame, at: Column) -> DataFrame:
+        return df.withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / F.lit(look)).cast("long")).withColumn(
+            BUCKET, F.floor(F.col("_block") / F.lit(per_bucket)).cast("long")
+        )
+
+    rows = df.where(F.col("ts_us").isNotNull())
+    carried = _carry(placed(rows.select(*STATION, *order, *payload), F.col("ts_us")), STATION, order, payload).select(
+        *STATION, F.col("_next").alias(BUCKET), *[F.col("_tail")[c].alias(c) for c in order + payload], F.lit(OLDER).alias("_kind")
     )
-    reach = F.floor((F.col("ts_us") + F.lit(look)) / F.lit(width)).cast("long")
-    spread = rows.withColumn("_home", F.col(BUCKET)).withColumn(BUCKET, F.explode(F.sequence(F.col(BUCKET), reach)))
-    spread = spread.withColumn("_ctx", F.col(BUCKET) != F.col("_home")).drop("_home")
-    both = spread.unionByName(carried, allowMissingColumns=True)
-    ordered = Window.partitionBy(*STATION, BUCKET).orderBy(*order)
-    # The last hour is everything strictly earlier within reach plus the rows of the
-    # same instant that sort before; all three windows share one sort.
-    hour = Window.partitionBy(*STATION, BUCKET).orderBy("ts_us").rangeBetween(-look, -1)
-    same = Window.partitionBy(*STATION, BUCKET, "ts_us").orderBy("payload_hash").rowsBetween(Window.unboundedPreceding, 0)
+    # A mark needs its station, place and value only.
+    twice = rows.withColumn("_kind", F.explode(F.array(F.lit(ROW), F.lit(MARK)))).where((F.col("_kind") == ROW) | F.col("value_m").isNotNull())
+    twice = placed(twice, F.col("ts_us") + F.when(F.col("_kind") == MARK, look).otherwise(0))
+    bare = [F.when(F.col("_kind") == ROW, F.col(c)).alias(c) for c in df.columns if c not in (*STATION, "value_m")]
+    both = twice.select(*STATION, "value_m", *bare, "_kind", "_at", "_block", BUCKET).unionByName(carried, allowMissingColumns=True)
+    both = both.withColumn("_at", F.coalesce("_at", "ts_us"))
+    whole = (Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*STATION, BUCKET).orderBy("_at", "payload_hash").rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*STATION, BUCKET, "_block").orderBy("_at", "payload_hash").rowsBetween(*whole)
+    # Marks of the row's first instant an hour ago belong to the hour.
+    down = Window.partitionBy(*STATION, BUCKET, "_block").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(*whole)
     value = F.col("value_m")
-    present = F.when(value.isNotNull(), value)
-    # All in one select, so each window is passed over once.
+    own, mark = F.when(F.col("_kind") == ROW, value), F.when(F.col("_kind") == MARK, value)
     seen = both.select(
         "*",
-        F.lag(F.struct("ts_us", *payload)).over(ordered).alias("_prev"),
-        F.least(F.min(present).over(hour), F.min(present).over(same)).alias("_low"),
-        F.greatest(F.max(present).over(hour), F.max(present).over(same)).alias("_high"),
-        (F.count(present).over(hour) + F.count(present).over(same)).alias("_count"),
-    ).where(~F.col("_ctx"))
+        F.last(F.when(F.col("_kind") != MARK, F.struct("ts_us", *payload)), ignorenulls=True).over(ordered).alias("_prev"),
+        F.least(F.min(own).over(up), F.min(mark).over(down)).alias("_low"),
+        F.greatest(F.max(own).over(up), F.max(mark).over(down)).alias("_high"),
+        (F.count(own).over(up) + F.count(mark).over(down)).alias("_count"),
+    ).where(F.col("_kind") == ROW).select(*df.columns, "_prev", "_low", "_high", "_count")
     prev = F.col("_prev")
     dt = (F.col("ts_us") - prev["ts_us"]) / F.lit(1_000_000.0)
     no_step = prev.isNull() | prev["value_m"].isNull() | (dt <= 0)
@@ -157,7 +166,7 @@ def quality_flags(df: DataFrame, bucket_seconds: int = 6 * 3600) -> DataFrame:
         .withColumn("spike", spike.cast("int"))
         .withColumn("flat_line", flat.cast("int"))
         .withColumn("latency", F.col("timing"))
-        .drop("_prev", "_low", "_high", "_count", "_ctx", BUCKET)
+        .drop("_prev", "_low", "_high", "_count")
     )
     return with_confidence(flagged)
 
