@@ -107,3 +107,13 @@ def test_nonnegative_weights_meet_their_conditions():
     true = np.array([1.0, 0, 2.0, 0])
     h = rng.normal(size=(30, 4))
     assert np.allclose(nonnegative_weights(h.T @ h, h.T @ (h @ true)), true, atol=1e-8)
+
+
+def test_change_surprise_works_on_each_row_up_to_its_length():
+    """Padding once took as long as samples: 72 prefixes of a window each cost as much as the longest."""
+    rng = np.random.default_rng(6)
+    values, lengths = rng.normal(size=(5, 90)), np.array([30, 90, 12, 61, 90])
+    got = S.change_surprise(values, lengths)
+    for row, n, mine in zip(values, lengths, got):
+        assert np.allclose(mine[:n], S.change_surprise(row[None, :n], np.array([n]))[0])
+        assert not mine[n:].any()
