@@ -1,5 +1,7 @@
 """Tidal fits and inversions on Spark against closed forms."""
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -248,3 +250,17 @@ def test_a_round_of_a_long_series_is_a_few_jobs(spark):
         assert (jobs(6) - jobs(2)) / 4 <= 8
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_costly_stage_is_computed_once(spark, tmp_path):
+    from tidelattice.session import cut_lineage
+
+    def noted(batches):
+        for batch in batches:
+            for i in batch["id"]:
+                (tmp_path / f"{i}-{time.time_ns()}").touch()
+            yield batch
+
+    rows = spark.range(0, 3, 1, 1).mapInPandas(noted, "id long")
+    assert sorted(r["id"] for r in cut_lineage(rows, once=True).collect()) == [0, 1, 2]
+    assert len(list(tmp_path.iterdir())) == 3

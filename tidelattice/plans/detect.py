@@ -204,7 +204,7 @@ def calibrate_baseline(spark, sf_dir):
 @C.add("score_windows")
 def score_windows(spark, sf_dir):
     """Every window scored, with fit provenance and the surface-wave flag where it can be judged."""
-    found = cut_lineage(features(spark, sf_dir))
+    found = cut_lineage(features(spark, sf_dir), once=True)
     quake = quakes(spark, sf_dir)
     timed = J.with_quiet(found.withColumn("ts_us", F.col("window_end_us")), quake)
     scored = D.score_features(timed, D.calibrate_baseline(found, CAL_END_US), F.col("quiet"))
@@ -229,7 +229,7 @@ def score_prefixes(spark, sf_dir):
     windows = D.collect_windows(observations(spark, sf_dir))
     fits = cut_lineage(calibration_fits(spark, sf_dir)).select(*STATION, "coefficients", "t0_us")
     fitted = windows.join(J.broadcast_if_small(fits), STATION, "left")
-    found = cut_lineage(D.prefix_features(fitted).withColumn("ts_us", F.col("window_end_us")))
+    found = cut_lineage(D.prefix_features(fitted).withColumn("ts_us", F.col("window_end_us")), once=True)
     quake = quakes(spark, sf_dir)
     baselines = D.calibrate_baseline(D.window_features(fitted), CAL_END_US)
     scored = D.score_features(J.with_quiet_then(found, quake), baselines, F.col("quiet"))
@@ -252,7 +252,7 @@ def forest_features(spark, sf_dir):
 
 @C.add("forest_scores")
 def forest_scores(spark, sf_dir):
-    rows = cut_lineage(forest_features(spark, sf_dir))
+    rows = cut_lineage(forest_features(spark, sf_dir), once=True)
     return D.score_forest(rows, D.fit_forest(rows, FOREST), FOREST).select(*STATION, "window_no", "ml_score")
 
 
