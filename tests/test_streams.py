@@ -1,6 +1,7 @@
 """Streams whose state ends by the clock, and the guard's side output across restarts."""
 
 import os
+import tracemalloc
 
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelattice.operators import replay as R
 from tidelattice.streaming import jobs
+from tidelattice.streaming import processors as P
 
 HOUR = 3_600_000_000
 READING = "source_type string, station_id string, seq long, ts_us long, value_m double"
@@ -108,3 +110,94 @@ def test_guard_counts_late_and_future_rows_across_a_restart(spark, tmp_path):
     assert calls == [0, 1, 1]
     got = jobs.guarded(spark, folder, stream.schema).toPandas()
     assert isinstance(got, pd.DataFrame) and sorted(zip(got.timing_class, got.seq)) == [("future", 3), ("late", 1), ("late", 5), ("on_time", 0), ("on_time", 2), ("on_time", 4)]
+
+
+class Held:
+    """A state store of one key that counts its accesses."""
+
+    def __init__(self):
+        self.value, self.accesses = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, _):
+        pass
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.accesses += 1
+        return self.value
+
+    def update(self, value):
+        self.accesses += 1
+        self.value = value
+
+
+REVISION = "event_id long, seq long, ts_us long, version string"
+
+
+def test_earthquakes_of_a_slot_share_one_state(spark, tmp_path):
+    day = 86_400_000_000
+    rows = [(i * 7 % 41 or None, i, (i * 3 // 4 + i % 5) * day, "abc"[i * i % 3]) for i in range(400)]
+    batches = [rows[:150], rows[150:170], rows[170:]]
+    out = jobs.run_to_table(jobs.revisions(feed(spark, tmp_path, REVISION, *batches), live=False, slots=2), "rev").collect()
+    known, want = {}, []
+    for event, seq, ts, version in (r for b in batches for r in sorted(b, key=lambda r: (r[2], r[1]))):
+        old, seen = known.get(event, (None, None))
+        if seen is not None and ts - seen > 30 * day:
+            old = None
+        if old != version:
+            want.append((event, seq, version, old is not None))
+        known[event] = (version, ts)
+    order = lambda r: r[1]
+    assert sorted(map(tuple, out), key=order) == sorted(want, key=order) and any(r[3] for r in want)
+
+
+def test_a_batch_of_revisions_costs_one_read_and_one_write_of_state():
+    store, processor = Held(), P.Revisions(False)
+    processor.init(store)
+    for turn in range(2):
+        rows = pd.DataFrame([(i, i, turn * HOUR, str(turn)) for i in range(500)], columns=["event_id", "seq", "ts_us", "version"])
+        out = pd.concat(processor.handleInputRows((0,), iter([rows]), None))
+        assert out["event_id"].tolist() == list(range(500)) and set(out["is_revision"]) == {turn == 1}
+    assert store.accesses == 3  # written, read, written
+
+
+def test_silent_earthquakes_leave_a_live_slot():
+    class Clock:
+        now = 0
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    store, processor, clock = Held(), P.Revisions(True), Clock()
+    processor.init(store)
+    said = []
+    for days, event in ((0, 1), (20, 2), (31, 2)):
+        clock.now = days * 86_400_000
+        rows = pd.DataFrame([(event, days, HOUR, "a")], columns=["event_id", "seq", "ts_us", "version"])
+        said += pd.concat(processor.handleInputRows((0,), iter([rows]), clock))["event_id"].tolist()
+    assert said == [1, 2] and list(store.value[0]) == [2]
+
+
+def test_health_holds_few_bytes_of_a_reading():
+    """A station's rows wait as plain numbers; frames with the key's texts took over 100 bytes a row."""
+    n, store, processor = 200_000, Held(), P.Health()
+    processor.init(store)
+
+    def frames():
+        for at in range(0, n, 5_000):
+            ts = [(n - at - i) * 60_000_000 for i in range(5_000)]
+            yield pd.DataFrame(
+                {"source_type": ["dart" + str(at)] * 5_000, "station_id": [str(x) for x in ts], "ts_us": ts, "seq": ts, "cadence_us": 60_000_000, "is_error": [x % 1000 == 0 for x in range(5_000)]}
+            )
+
+    tracemalloc.start()
+    out = sum(map(len, processor.handleInputRows(("dart", "1"), frames(), None)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out > 300 and store.value[0] == n * 60_000_000
+    assert peak < 80 * n

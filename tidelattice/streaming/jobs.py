@@ -18,6 +18,8 @@ from ..sources.sinks import append_observations, new_rows, quarantine_rows
 from . import processors as P
 
 LATENESS = "6 hours"
+# Slots that the earthquakes of a stream are dealt to.
+REVISION_SLOTS = 4_096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,9 +41,15 @@ def high_water(rows: DataFrame) -> DataFrame:
     return keyed(rows, ["source_type", "station_id"], P.HighWater(), P.HIGH_WATER_OUT)
 
 
-def revisions(rows: DataFrame, live: bool = True) -> DataFrame:
-    """Changed versions; `live` adds the wall-clock expiry, which never lets a query end by itself."""
-    return keyed(rows, ["event_id"], P.Revisions(live), P.REVISION_OUT, "ProcessingTime" if live else "None")
+def revisions(rows: DataFrame, live: bool = True, slots: int = REVISION_SLOTS) -> DataFrame:
+    """Changed versions; `live` adds the wall-clock expiry, which never lets a query end by itself.
+
+    Earthquakes are dealt to slots that share one state; the number of slots stays for the life of a stream.
+    """
+    dealt = rows.select(
+        F.pmod(F.xxhash64("event_id"), F.lit(slots)).alias("slot"), *[F.coalesce(c, F.lit(P.NONE)).alias(c) for c in ("event_id", "seq", "ts_us")], "version"
+    )
+    return keyed(dealt, ["slot"], P.Revisions(live), P.REVISION_OUT, "ProcessingTime" if live else "None")
 
 
 def on_clock(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:

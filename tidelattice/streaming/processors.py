@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,22 +15,38 @@ from ..schemas import WINDOW_HOURS
 EVENT_MODE_HOURS = 4
 REVISION_DAYS = 30
 DAY_US = 86_400_000_000
+# Stands for a null whole number among the rows of a slot; sorts last.
+NONE = (1 << 63) - 1
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
+# Rows of a key that are Python objects at once.
+ROWS_AT_ONCE = 16_384
+
+
 def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     parts = [p for p in rows if len(p)]
     return pd.concat(parts).sort_values(by) if parts else pd.DataFrame()
 
 
-def _batches_in_order(rows: Iterator[pd.DataFrame], *by: str) -> Iterator[pd.DataFrame]:
-    """Batches of a key, rows in order; several batches are put in order together."""
-    data = _in_order(rows, list(by))
-    if len(data):
-        yield data
+def _slim_in_order(rows: Iterator[pd.DataFrame], by: list[str], columns: list[str]) -> pd.DataFrame:
+    """The named columns of a key's rows in order: plain arrays, so a row takes a few bytes a column."""
+    held: dict[str, list[np.ndarray]] = {c: [] for c in columns}
+    for part in rows:
+        for c in columns:
+            held[c].append(part[c].to_numpy(copy=True))
+    whole = {c: np.concatenate(parts) for c in columns if (parts := held.pop(c))}
+    if not whole:
+        return pd.DataFrame(columns=columns)
+    order = np.lexsort([whole[c] for c in reversed(by)])
+    return pd.DataFrame({c: whole.pop(c)[order] for c in columns}, copy=False)
+
+
+def _slices(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    return (data.iloc[at : at + ROWS_AT_ONCE] for at in range(0, len(data), ROWS_AT_ONCE))
 
 
 HIGH_WATER_OUT = _schema(source_type=T.StringType(), station_id=T.StringType(), seq=T.LongType(), ts_us=T.LongType(), value_m=T.DoubleType())
@@ -42,7 +59,7 @@ class HighWater(StatefulProcessor):
         self.mark = handle.getValueState("mark", _schema(ts_us=T.LongType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        data = _in_order(rows, ["seq"])
+        data = _slim_in_order(rows, ["seq"], ["seq", "ts_us", "value_m"])
         if data.empty:
             return
         mark = self.mark.get()[0] if self.mark.exists() else None
@@ -52,7 +69,8 @@ class HighWater(StatefulProcessor):
         newer = before.isna() | (data["ts_us"] > before) | ((key[0] == "coops") & (data["ts_us"] == before))
         top = int(data["ts_us"].max())
         self.mark.update((top if mark is None else max(mark, top),))
-        yield data.loc[newer, HIGH_WATER_OUT.names]
+        for part in _slices(data[newer]):
+            yield part.assign(source_type=key[0], station_id=key[1])[HIGH_WATER_OUT.names]
 
     def close(self) -> None:
         pass
@@ -64,30 +82,42 @@ REVISION_OUT = _schema(event_id=T.LongType(), seq=T.LongType(), version=T.String
 class Revisions(StatefulProcessor):
     """An earthquake passes when its version changes; forgotten after thirty days without a message.
 
-    With `expire` the store also drops silent earthquakes by wall clock. That keeps
-    a query alive without input, so a replay of closed input leaves it off.
+    A key is a slot of earthquakes (`jobs.revisions`): a batch reads and writes the state of
+    a slot once, not once for each earthquake. With `expire` the store also drops silent
+    earthquakes by wall clock, at the slot's next message at the latest, and whole silent
+    slots. That keeps a query alive without input, so a replay of closed input leaves it off.
     """
 
     def __init__(self, expire: bool) -> None:
         self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = _schema(version=T.StringType(), seen_us=T.LongType())
+        longs, texts = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
+        schema = _schema(event_ids=longs, versions=texts, seen_us=longs, heard_ms=longs)
         ttl = REVISION_DAYS * DAY_US // 1000 if self.expire else None
         self.known = handle.getValueState("known", schema, ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        version, seen = self.known.get() if self.known.exists() else (None, None)
-        out = []
-        for row in _in_order(rows, ["ts_us", "seq"]).itertuples(index=False):
-            if seen is not None and row.ts_us - seen > REVISION_DAYS * DAY_US:
-                version = None
-            if row.version != version:
-                out.append((key[0], row.seq, row.version, version is not None))
-            version, seen = row.version, int(row.ts_us)
-        if seen is not None:
-            self.known.update((version, seen))
-        yield pd.DataFrame(out, columns=REVISION_OUT.names)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.expire else 0
+        known: dict[int | None, tuple[str | None, int | None, int]] = {}
+        if self.known.exists():
+            for event, *held in zip(*self.known.get(), strict=True):
+                if now - held[2] < REVISION_DAYS * DAY_US // 1000:
+                    known[event] = tuple(held)
+        data = _slim_in_order(rows, ["ts_us", "seq"], ["event_id", "seq", "ts_us", "version"])
+        for part in _slices(data):
+            out = []
+            for numbers, new in zip(part[["event_id", "seq", "ts_us"]].to_numpy().tolist(), part["version"].tolist(), strict=True):
+                event, seq, ts = (None if x == NONE else x for x in numbers)
+                version, seen, _ = known.get(event, (None, None, 0))
+                if seen is None or (ts is not None and ts - seen > REVISION_DAYS * DAY_US):
+                    version = None
+                if new != version:
+                    out.append((event, seq, new, version is not None and ts is not None))
+                known[event] = (new, ts, now)
+            yield pd.DataFrame(out, columns=REVISION_OUT.names).astype({"event_id": "Int64", "seq": "Int64"})
+        if known:
+            self.known.update(([*known], *([held[i] for held in known.values()] for i in range(3))))
 
     def close(self) -> None:
         pass
@@ -130,8 +160,9 @@ class RollingWindow(StatefulProcessor):
             newest, slots, counts = self.index.get()
             sizes = dict(zip(slots, counts, strict=True))
         touched: dict[int, dict[int, float]] = {}
-        for part in _batches_in_order(rows, "seq"):
-            newest = max(int(part["ts_us"].max()), newest or 0) if len(part) else newest
+        data = _slim_in_order(rows, ["seq"], ["seq", "ts_us", "value_m"])
+        newest = max(int(data["ts_us"].max()), newest or 0) if len(data) else newest
+        for part in _slices(data):
             for ts, value in zip(part["ts_us"].tolist(), part["value_m"].tolist(), strict=True):
                 slot = ts // SLOT_US
                 if ts >= newest - WINDOW_US:
@@ -259,8 +290,8 @@ class Health(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = list(self.held.get()) if self.held.exists() else [-1, -1, 0, -1, ""]
-        out: list[tuple] = []
-        for part in _batches_in_order(rows, "ts_us", "seq"):
+        for part in _slices(_slim_in_order(rows, ["ts_us", "seq"], ["ts_us", "seq", "cadence_us", "is_error"])):
+            out: list[tuple] = []
             for ts, seq, cadence, error in zip(*(part[c].tolist() for c in ("ts_us", "seq", "cadence_us", "is_error")), strict=True):
                 if not error and not cadence > 0:
                     continue
@@ -270,8 +301,8 @@ class Health(StatefulProcessor):
                 elif (ts, seq) > (state[0], state[1]):
                     state[:3] = [ts, seq, int(cadence)]
                 self._say(key, state, ts, "OFFLINE" if state[3] > state[0] else "ONLINE", out)
+            yield self._frame(out)
         self._keep(state)
-        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, out = list(self.held.get()), []
