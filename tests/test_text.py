@@ -1,5 +1,7 @@
 """Reserved terms: plain, plural, joined, hidden, look-alike, and inside proper nouns."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,28 @@ def test_nested_strings_are_scanned_as_they_are(spark):
     assert sorted((r.conv_id, r.s, r.n) for r in found) == [
         (1, "W\u0430tch this", 1), (1, "calm", 0), (1, "watch", 1), (1, "watch", 1), (2, "AlI CIear", 1), (2, "watch", 1)
     ]
+
+
+def test_lowered_is_what_a_pattern_without_case_matches():
+    """Place by place; İ, ı, ſ and the Kelvin sign stand for ASCII letters there."""
+    text = "".join(chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000)
+    low = X.lowered(text)
+    assert len(low) == len(text)
+    matched = {m.start() for m in re.finditer("[a-z]", text, re.IGNORECASE)}
+    assert matched == {i for i, c in enumerate(low) if c.isascii()}
+
+
+def test_terms_in_letters_that_only_ignoring_case_reads():
+    # Found by the pattern, but the letters that matched named no term.
+    found, _ = X.find_terms("x" * 50 + " bullet\u0131n and watch")
+    assert [(term, at) for term, at, _ in found] == [("Bulletin", 51), ("Watch", 64)]
+
+
+def test_places_of_terms_are_found_once_a_view(monkeypatch):
+    """A text with many terms and look-alikes is walked once, not twice for each term."""
+    text = "\u00e9\ufb03\u200b watch " * 200
+    walked = []
+    monkeypatch.setattr(X, "places", lambda t, c, real=X.places: walked.append(1) or real(t, c))
+    found, _ = X.find_terms(text)
+    assert [at for _, at, _ in found] == [text.index("watch") + 10 * i for i in range(200)]
+    assert len(walked) <= 2
