@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidelattice.operators import joins as J
 from tidelattice.operators import partitioned as P
 
 
@@ -78,3 +79,12 @@ def test_both_percentile_paths_give_equal_bits(spark):
     one = P.exact_percentiles(df, ["k"], "v", wanted).orderBy("k").collect()
     two = P.exact_percentiles(df, ["k"], "v", wanted, gather_limit=1, accuracy=50).orderBy("k").select("k", *wanted).collect()
     assert [tuple(r) for r in one] == [tuple(r) for r in two]
+
+
+def test_rows_of_a_key_are_dealt_over_partitions_of_bounded_size(spark):
+    """More rows make more partitions, not larger ones; a key stays in one."""
+    rows = spark.range(4_000).select((F.col("id") % 200).alias("event_id"), F.col("id").alias("station_id"))
+    for each, least in ((100, 40), (50, 80)):
+        parts = J.dealt(rows, ["event_id"], each).select("event_id", F.spark_partition_id().alias("p"))
+        assert parts.rdd.getNumPartitions() == least
+        assert parts.groupBy("event_id").agg(F.countDistinct("p").alias("n")).where("n > 1").isEmpty()
