@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelattice.llm import suffix_dedup as sd
@@ -94,3 +95,22 @@ def test_characters_on_a_border_stay_whole():
     assert sd.whole_characters(data, [(2, 4)]) == [(3, 4)]
     assert sd.whole_characters(data, [(0, 2)]) == [(0, 1)]
     assert sd.whole_characters(data, [(2, 3)]) == []
+
+
+def test_suffixes_spread_evenly_over_the_ranges():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(100)]
+    wanted = [[] for _ in texts]
+    for i, places, seeds in sd.Scanner(400, 48).texts([t.encode() for t in texts]):
+        wanted[i] += [{"pos": int(p), "seed": int(h), "context": 0} for p, h in zip(places, seeds.view(np.int64))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), pa.array(texts), pa.array(wanted)], names=["k1", "k2", "text", "wanted"])
+    held = Counter()
+    for out in sd._runs(400, 48, 16)([batch]):
+        for r, run in zip(*(c.to_pylist() for c in out.columns)):
+            suffixes = [s for _, s in sd.decode_run(run)]
+            assert suffixes == sorted(suffixes)
+            assert {sd.range_of(int.from_bytes(s.text[:8], "big"), 16) for s in suffixes} == {r}
+            held[r] += len(suffixes)
+    assert held.total() == sum(map(len, wanted))
+    # An even share is a sixteenth; least hashes by their own order put most into the first range.
+    assert max(held.values()) < 0.12 * held.total()
