@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -242,3 +243,17 @@ def test_state_maps_compose_in_any_order():
         for m in maps:
             folded = t.compose(folded, m)
         assert t.units_count(text) == t.scan(maps) == t.close(folded) == want
+
+
+def test_labelled_counts_are_weighed_once_on_the_driver():
+    rng = np.random.default_rng(4)
+    counts = ((rng.random((1200, quality_neighbours.Features.dims)) < 0.06) * rng.integers(1, 5, (1200, quality_neighbours.Features.dims))).astype(np.float32)
+    tracemalloc.start()
+    try:
+        voter = quality_neighbours.learn(counts, (rng.random(1200) < 0.5).astype(float))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(voter.vectors, voter.project(counts))
+    # Weighed twice, with the first still held, it was three times the counts.
+    assert peak < 2.5 * counts.nbytes

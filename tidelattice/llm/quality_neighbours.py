@@ -87,7 +87,8 @@ class Features:
 
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square roots of shares per part, inverse document frequency, unit length per part."""
-    x = np.sqrt(counts) * idf
+    x = np.sqrt(counts)
+    x *= idf
     at = 0
     for dims, part in zip((WORD_DIMS, SHAPE_DIMS, LAYOUT_DIMS), PARTS):
         block = x[:, at : at + dims]
@@ -108,7 +109,10 @@ class Voter:
     prior: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        z = _weigh(counts, self.idf) @ self.basis
+        return self.place(_weigh(counts, self.idf))
+
+    def place(self, weighed: np.ndarray) -> np.ndarray:
+        z = weighed @ self.basis
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(norm > 0, norm, 1)
 
@@ -144,15 +148,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, s
         half = len(r["x"]) // 2
         counts[i, r["x"][:half]] = r["x"][half:]
     y = np.array([r["y"] for r in got], dtype=np.float64)
-    idf = np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
+    del got
+    return learn(counts, y)
+
+
+def learn(counts: np.ndarray, y: np.ndarray) -> Voter:
+    """The voter of labelled counts; they are weighed once, so the driver holds them about three times at most."""
+    n = len(counts)
+    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
     x = _weigh(counts, idf)
-    width = min(LATENT, *x.shape) if len(got) else 1
+    width = min(LATENT, *x.shape) if n else 1
     q = np.random.default_rng(1).standard_normal((Features.dims, width + 16)).astype(np.float32)
     for _ in range(3):  # subspace iteration
-        q = np.linalg.qr(x.T @ (x @ q))[0] if len(got) else q
-    basis = q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :width] if len(got) else q[:, :width]
+        q = np.linalg.qr(x.T @ (x @ q))[0] if n else q
+    basis = q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :width] if n else q[:, :width]
     voter = Voter(idf, basis.astype(np.float32), np.zeros((0, width), np.float32), y, float(y.mean()) if len(y) else 0.5)
-    voter.vectors = voter.project(counts)
+    voter.vectors = voter.place(x)
     return voter
 
 
