@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from tidelattice.llm import graph, shingles, simhash, spherical_caps
+from tidelattice.llm.common import keep
 
 from .helpers import find_components, make, odd_rows, words
 
@@ -65,6 +66,15 @@ def test_components_of_paths_hubs_and_cycles(spark):
     assert got == want
 
 
+def test_components_end_when_all_edges_are_stars(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "keep", lambda df: kept.append(1) or keep(df))
+    pairs = [(i, i % 5) for i in range(5, 200)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: i % 5 for i in range(200)}
+    assert len(kept) == 2  # the links and one round; a round that only finds nothing to move was the third
+
+
 def vectors(spark, rows):
     extra = [(i, v, l, 5, 6, 7, "x") for i, v, l in rows]
     return spark.createDataFrame(extra, "vec_id long, embedding array<float>, label int, node long, filter int, copies long, vec string")

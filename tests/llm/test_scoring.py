@@ -257,3 +257,19 @@ def test_labelled_counts_are_weighed_once_on_the_driver():
     assert np.array_equal(voter.vectors, voter.project(counts))
     # Weighed twice, with the first still held, it was three times the counts.
     assert peak < 2.5 * counts.nbytes
+
+
+def test_quality_fit_holds_no_object_per_count(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}x" for i in range(9000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary, 2000))) for i in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        voter = quality_neighbours.fit(docs, labels, "quality", 4, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    counts = 4 * len(voter.labels) * quality_neighbours.Features.dims
+    # Rows of Python integers were several times the counts.
+    assert len(voter.labels) > 700 and peak < 2.5 * counts

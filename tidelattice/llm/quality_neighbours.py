@@ -142,21 +142,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, s
         found = [features(t) for t in texts]
         return pd.Series([np.stack([np.flatnonzero(x), x[x > 0].astype(np.int64)]).astype(np.int32).ravel() for x in found])
 
-    got = sorted(rows.select("doc_id", "y", places("text").alias("x")).collect())
-    counts = np.zeros((len(got), Features.dims), dtype=np.float32)
-    for i, r in enumerate(got):
-        half = len(r["x"]) // 2
-        counts[i, r["x"][:half]] = r["x"][half:]
-    y = np.array([r["y"] for r in got], dtype=np.float64)
-    del got
-    return learn(counts, y)
+    # Arrow columns, not rows: the driver holds no Python object per count.
+    got = rows.select("doc_id", "y", places("text").alias("x")).toArrow()
+    ids, found = got["doc_id"].to_pylist(), got["x"]
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    counts = np.zeros((len(ids), Features.dims), dtype=np.float32)
+    for i, at in enumerate(order):
+        at_dims, times = found[at].values.to_numpy().reshape(2, -1)
+        counts[i, at_dims] = times
+    y = got["y"].to_numpy()[order].astype(np.float64)
+    del got, found
+    return _learn(counts, y)
 
 
 def learn(counts: np.ndarray, y: np.ndarray) -> Voter:
-    """The voter of labelled counts; they are weighed once, so the driver holds them about three times at most."""
-    n = len(counts)
-    idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
-    x = _weigh(counts, idf)
+    """The voter of labelled counts."""
+    return _learn(counts.copy(), y)
+
+
+def _learn(x: np.ndarray, y: np.ndarray) -> Voter:
+    """The same in the place of the counts, some rows at a time, so that the driver holds them once."""
+    n = len(x)
+    idf = np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 0.1
+    for at in range(0, n, BLOCK):
+        x[at : at + BLOCK] = _weigh(x[at : at + BLOCK], idf)
     width = min(LATENT, *x.shape) if n else 1
     q = np.random.default_rng(1).standard_normal((Features.dims, width + 16)).astype(np.float32)
     for _ in range(3):  # subspace iteration

@@ -284,14 +284,13 @@ def near_copies(docs: DataFrame, text: str = "text", pairwise: int = PAIRWISE, r
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(many.select("node")).distinct()
     sets = shingle_sets(texts, nodes.join(wanted, "node").select("t"))
-    links = verified(pairs, sets)
-    found = components(links)
+    found = components(verified(pairs, sets))
     for turn in range(1, rounds + 1):
         open_ = _open_keys(many, found)
         if open_.isEmpty():
             break
         more = verified(_hub_pairs(open_, turn), sets) if turn < rounds else finished(open_, sets)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+            # A component is the star of its nodes by now; its links need not be gone through again.
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return keep(sketches.select("t", "node").distinct().join(found, "node", "left").select("t", F.coalesce("root", "node").alias("root")))
