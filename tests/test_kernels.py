@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidelattice.functions import signals as S
-from tidelattice.functions.tides import SPEEDS, basis_matrix, fit_robust
+from tidelattice.functions.tides import SPEEDS, basis_matrix, fit_robust, fit_robust_on, middle
 from tidelattice.operators.inversion import nonnegative_weights
 
 
@@ -117,3 +117,49 @@ def test_change_surprise_works_on_each_row_up_to_its_length():
     for row, n, mine in zip(values, lengths, got):
         assert np.allclose(mine[:n], S.change_surprise(row[None, :n], np.array([n]))[0])
         assert not mine[n:].any()
+
+
+def long_rows():
+    rng = np.random.default_rng(11)
+    n = 1_300
+    quiet = 0.003 * rng.normal(size=n)
+    return {
+        "skewed": rng.exponential(0.5, n) - 0.5, "quiet": quiet, "step": np.where(np.arange(n) < 700, 0.0, 0.5) + quiet, "flat": np.full(n, 0.3),
+        "far off": 100 + quiet, "sentinels": np.where(rng.random(n) < 0.01, 9999.0, quiet), "wild": 1e8 * rng.normal(size=n),
+    }
+
+
+def test_blocks_of_a_long_row_equal_the_recursion(monkeypatch):
+    """Long rows once met every run length sample by sample; several tiles and a last block that is not full are tried."""
+    monkeypatch.setattr(S, "RUNS_IN_TILE", 300)
+    for name, x in long_rows().items():
+        for n in (len(x), S.LONG_ROW + 1):
+            got, want = (f(x[None, :n], np.array([n]), 1.0)[0] for f in (S.change_surprise, S._full_surprise))
+            assert np.allclose(got, want, rtol=1e-10, atol=1e-8), name
+            assert (want <= S.most_surprise(x[:n]) + 1e-9).all(), name
+    assert {name for name, x in long_rows().items() if not S._shallow(x)} == {"sentinels", "wild"}
+
+
+def test_a_score_ends_where_no_later_sample_can_surprise_more():
+    """The score of a long row once took all its samples, with their square; nothing behind the peak matters."""
+    rng = np.random.default_rng(12)
+    x = np.clip(rng.normal(size=2_000), -2.0, 2.0)
+    x[700] = 25.0
+    tables = S._run_tables(2_000, 1.0)
+    ended = S._long_surprise(x, tables, 1.0, to_peak=True)
+    assert 700 < len(ended) < 740 and len(S._long_surprise(x, tables, 1.0)) == 2_000
+    rows = {**long_rows(), "spike": x, "late spike": x[::-1], "early spike": np.r_[x[690:], x[:690]], "short": x[:40]}
+    width = max(map(len, rows.values()))
+    values, lengths = np.stack([np.pad(v, (0, width - len(v))) for v in rows.values()]), np.array([len(v) for v in rows.values()])
+    for name, v, n, got in zip(rows, values, lengths, S.change_scores(values, lengths)):
+        assert got == pytest.approx(S.change_score(S._full_surprise(v[None, :n], np.array([n]), 1.0)[0]), abs=1e-9), name
+
+
+def test_robust_fit_on_a_known_basis_is_the_same_fit():
+    """Medians and the basis of growing prefixes are found faster; not one bit may change."""
+    rng = np.random.default_rng(13)
+    hours = np.sort(rng.uniform(0, 6, 150))
+    basis, values = basis_matrix(hours), rng.exponential(0.5, 150)
+    for n in (10, 11, 64, 149, 150):
+        assert middle(values[:n]) == np.median(values[:n])
+        assert np.array_equal(fit_robust_on(basis[:n], values[:n]), fit_robust(hours[:n], values[:n]))

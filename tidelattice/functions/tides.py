@@ -73,17 +73,31 @@ def solve_moments(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 
 def fit_robust(hours: np.ndarray, values: np.ndarray, mean: float | None = None, span: float | None = None) -> np.ndarray:
     """Cauchy-weighted least squares of one bounded series, with drift where `mean` and `span` are given."""
-    basis = basis_matrix(hours, mean, span)
+    return fit_robust_on(basis_matrix(hours, mean, span), values)
+
+
+def fit_robust_on(basis: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """`fit_robust` where the basis is known, as for the growing prefixes of one window."""
     coefficients = np.linalg.lstsq(basis, values, rcond=None)[0]
+    weighted = np.empty_like(basis)
     for _ in range(IRLS_ROUNDS):
         left = values - basis @ coefficients
-        scale = 1.4826 * np.median(np.abs(left - np.median(left)))
+        scale = 1.4826 * middle(np.abs(left - middle(left)))
         if scale < 1e-12:
             break
         root = 1.0 / np.sqrt(1.0 + (left / scale) ** 2)
-        updated = np.linalg.lstsq(basis * root[:, None], values * root, rcond=None)[0]
-        moved = np.max(np.abs(updated - coefficients))
+        updated = np.linalg.lstsq(np.multiply(basis, root[:, None], out=weighted), values * root, rcond=None)[0]
+        moved = np.abs(updated - coefficients).max()
         coefficients = updated
         if moved < IRLS_TOLERANCE:
             break
     return coefficients
+
+
+def middle(values: np.ndarray) -> float:
+    """The median; numpy's own spends most of its time on checks where a series is short."""
+    half = len(values) // 2
+    if len(values) % 2:
+        return np.partition(values, half)[half]
+    both = np.partition(values, (half - 1, half))
+    return (both[half - 1] + both[half]) / 2

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import scores as score
 from ..functions import signals
-from ..functions.tides import basis_matrix, fit_robust
+from ..functions.tides import basis_matrix, fit_robust, fit_robust_on
 from ..schemas import T1, T2, T3, WINDOW_HOURS, WINDOW_MIN_SAMPLES
 from .partitioned import broadcast_if_small
 
@@ -107,14 +107,14 @@ def _slice_features(part: pd.DataFrame) -> pd.DataFrame:
     if good.any():
         at = np.flatnonzero(good)
         filtered = signals.bandpass(residuals[at].copy(), 1.0 / steps[at], lengths[at])
-        surprise = signals.change_surprise(residuals[at], lengths[at])
+        change = signals.change_scores(residuals[at], lengths[at])
         for j, i in enumerate(at):
             y, n, step = filtered[j, : lengths[i]], lengths[i], steps[i]
             tail = [float(np.mean(y[-max(1, int(sec / step)) :] ** 2)) for sec in (300.0, 900.0)]
             jump = float(np.max(np.abs(np.diff(y)))) if n > 1 else 0.0
             early = y[: early_samples(n, step)]
             found[i] = (
-                np.max(np.abs(y)), signals.wavelet_energy(y, step), signals.change_score(surprise[j, :n]), *tail, jump,
+                np.max(np.abs(y)), signals.wavelet_energy(y, step), change[j], *tail, jump,
                 signals.wavelet_energy(early, step) / max(len(early), 1),
             )
     out[names] = found
@@ -196,17 +196,17 @@ def _window_prefixes(row, step_min: int, max_min: int) -> pd.DataFrame:
             left = (values[:longest] - basis_matrix(hours) @ np.asarray(row.coefficients))[None, :]
             filtered = signals.bandpass(left.copy(), np.array([1.0 / step]), np.array([longest]))[0]
             surprise = signals.change_surprise(left, np.array([longest]))[0]
-            parts = [(signals.settled(filtered[:e]), surprise[:e]) for e in ends[at]]
+            parts = [(signals.settled(filtered[:e]), signals.change_score(surprise[:e])) for e in ends[at]]
         else:
             hours = (times[:longest] - times[0]) / 3.6e9
             left = np.zeros((len(at), longest))
+            basis = basis_matrix(hours)
             for i, e in enumerate(ends[at]):
-                left[i, :e] = values[:e] - basis_matrix(hours[:e]) @ fit_robust(hours[:e], values[:e])
+                left[i, :e] = values[:e] - basis[:e] @ fit_robust_on(basis[:e], values[:e])
                 left[i, e:] = left[i, e - 1]
             filtered = signals.bandpass(left.copy(), np.full(len(at), 1.0 / step), ends[at])
-            surprise = signals.change_surprise(left, ends[at])
-            parts = [(f[:e], s[:e]) for f, s, e in zip(filtered, surprise, ends[at])]
-        found[at] = [(np.max(np.abs(y)), signals.wavelet_energy(y, step), signals.change_score(s)) for y, s in parts]
+            parts = [(f[:e], s) for f, s, e in zip(filtered, signals.change_scores(left, ends[at]), ends[at])]
+        found[at] = [(np.max(np.abs(y)), signals.wavelet_energy(y, step), s) for y, s in parts]
     out[["peak_m", "wavelet_energy", "bocpd_score"]] = found
     finite = np.array([np.all(np.isfinite(values[:e])) for e in ends], bool)
     out["status"] = np.where(enough, "SCORING_SUCCEEDED", np.where(finite, "INSUFFICIENT_DATA", "SCORING_FAILED"))

@@ -231,7 +231,8 @@ def score_prefixes(spark, sf_dir):
     fitted = windows.join(J.broadcast_if_small(fits), STATION, "left")
     found = cut_lineage(D.prefix_features(fitted).withColumn("ts_us", F.col("window_end_us")), once=True)
     quake = quakes(spark, sf_dir)
-    baselines = D.calibrate_baseline(D.window_features(fitted), CAL_END_US)
+    # Only buoys have a baseline; held, as the join counts it before it is sent out.
+    baselines = cut_lineage(D.calibrate_baseline(D.window_features(fitted.where(F.col("source_type") == "dart")), CAL_END_US))
     scored = D.score_features(J.with_quiet_then(found, quake), baselines, F.col("quiet"))
     return D.with_first_crossings(scored).select(
         *STATION, "window_no", "prefix", F.round("minutes", 1).alias("minutes"), "n_samples", "status", "quiet",
